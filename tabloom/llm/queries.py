@@ -9,13 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as c
 
 
+def op1_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import link_components
+
+    return link_components(c.read(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contamination
+
+    return find_contamination(c.read(spark, sf_dir, "documents"), c.read(spark, sf_dir, "benchmark"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode
+
+    return encode(c.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
     return dedup_substrings(c.read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_substring_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dup, op6_decontaminate, op8_bpe, op9_substring_dedup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from . import common as c
 
 WINDOW, PAIR_ROUNDS, LONGEST = 35, 8, 16
@@ -151,11 +152,10 @@ def _ranges(starts: np.ndarray, *same: np.ndarray) -> np.ndarray:
 
 def _window_rows(window, buckets, bits):
     def run(it):
-        table = np.frombuffer(bits.value, np.uint8)
         for b, counts, h, starts, name, first in _chunks(it, window):
             if not len(starts):
                 continue
-            hit = _in_filter(table, name)
+            hit = bloom.contains(bits.value, name)
             starts, name, first = starts[hit], name[hit], first[hit]
             if not len(starts):
                 continue
@@ -234,43 +234,6 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(v) for v in x], names=["id", "tag", "start", "n"])
 
 
-def _slots(bits: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (c.mix(x, 201) & c.U64(bits - 1)), (c.mix(x, 202) & c.U64(bits - 1))
-
-
-def _in_filter(table: np.ndarray, x: np.ndarray) -> np.ndarray:
-    ok = np.ones(len(x), bool)
-    for at in _slots(8 * len(table), x):
-        ok &= (table[at >> c.U64(3)] >> (at & c.U64(7)).astype(np.uint8)) & 1 == 1
-    return ok
-
-
-def _filter(shared: DataFrame, most_bits: int):
-    """A Bloom filter of the anchors, as bytes: each task fills one part of it."""
-    spark = shared.sparkSession
-    n = shared.count()
-    bits = 1 << min(max(20, int(12 * n).bit_length()), most_bits.bit_length() - 1)
-    parts = 16
-
-    def spread(it):
-        for b in it:
-            at = np.unique(np.concatenate(_slots(bits, b.column(0).to_numpy().view(c.U64))))
-            part = (at * c.U64(parts) // c.U64(bits)).astype(np.int32)
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            yield pa.record_batch([pa.array(np.arange(parts, dtype=np.int32)), pa.array([at[i:j].astype(np.uint32).tobytes() for i, j in zip(edges[:-1], edges[1:])])], ["part", "at"])
-
-    def fill(table: pa.Table) -> pa.Table:
-        k = table.column("part")[0].as_py()
-        out = np.zeros(bits // parts // 8, np.uint8)
-        for x in table.column("at").to_pylist():
-            at = np.frombuffer(x, np.uint32).astype(np.int64) - k * (bits // parts)
-            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        return pa.table({"part": [k], "bits": [out.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("bits", pa.binary())]))
-
-    got = {r.part: bytes(r.bits) for r in shared.mapInArrow(spread, "part int, at binary").groupBy("part").applyInArrow(fill, "part int, bits binary").collect()}
-    return spark.sparkContext.broadcast(b"".join(got.get(k, bytes(bits // parts // 8)) for k in range(parts)))
-
-
 def _kept(window):
     def run(it):
         for b in c.gathered(it, 1):
@@ -302,7 +265,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     rows = own.select("id", "tag", "text")
     shared = rows.mapInArrow(_anchor_rows(window), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor").checkpoint()
-    bits = _filter(shared, filter_bits)
+    bits = bloom.build(shared, filter_bits)
     buckets = 4 * c.partitions(spark)
     found = rows.mapInArrow(_window_rows(window, buckets, bits), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(_repeated, "id long, tag long, start long, n long")
     marks = found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("marks")).select("id", "tag", F.col("marks.start").alias("start"), F.col("marks.n").alias("n"))
