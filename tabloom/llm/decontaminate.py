@@ -201,42 +201,46 @@ def _one_pass(windows, finish):
 def _annotated(docs: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, bench_text_col: str, slice_words: int, carry: list[str], only_clean: bool) -> DataFrame:
     spark = c.prepare(docs.sparkSession)
     slices = [spark.sparkContext.broadcast(Windows(x)) for x in _slices(benchmark, item_col, bench_text_col, slice_words)]
-    own = docs.select(*[F.col(f"`{x}`") for x in carry], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
+    text, key, found = (c.fresh(docs, x) for x in ("__text", "__key", "__hits"))
+    own = docs.select(*[F.col(f"`{x}`") for x in carry], F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias(text))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+    result = schema if only_clean else f"{schema}, {RESULT}"
+
+    def finished(b, rows):
+        if only_clean:
+            return b.filter(pa.array([not r["contaminated"] for r in rows], pa.bool_()))
+        return pa.record_batch([*b.columns, *_columns(rows, _TYPES)], [*b.schema.names, *_TYPES])
+
     if len(slices) == 1:
 
         def finish(b, found):
-            rows = [verdict(h) for h in found]
-            if only_clean:
-                return pa.record_batch(b.columns[:-1], b.schema.names[:-1]).filter(pa.array([not r["contaminated"] for r in rows]))
-            return pa.record_batch([*b.columns[:-1], *_columns(rows, _TYPES)], [*b.schema.names[:-1], *_TYPES])
+            return finished(pa.record_batch(b.columns[:-1], b.schema.names[:-1]), [verdict(h) for h in found])
 
-        return own.mapInArrow(_one_pass(slices[0], finish), schema if only_clean else f"{schema}, {RESULT}")
+        return own.mapInArrow(_one_pass(slices[0], finish), result)
 
     raw = {"n_words": pa.int64(), "start": pa.list_(pa.int64()), "stop": pa.list_(pa.int64()), "items": pa.list_(pa.string()), "longest": pa.int64(), "longest_start": pa.int64(), "longest_item": pa.string()}
     raw_sql = "n_words long, start array<long>, stop array<long>, items array<string>, longest long, longest_start long, longest_item string"
 
     def finish(b, found):
         some = [i for i, h in enumerate(found) if h["start"]]
-        return pa.record_batch([b.column(0).take(pa.array(some, pa.int64())), *_columns([found[i] for i in some], raw)], ["__key", *raw])
+        return pa.record_batch([b.column(0).take(pa.array(some, pa.int64())), *_columns([found[i] for i in some], raw)], [key, *raw])
 
-    keyed = own.withColumn("__key", F.xxhash64("__text"))
-    pairs = reduce(DataFrame.unionAll, [keyed.select("__key", "__text").mapInArrow(_one_pass(w, finish), f"__key long, {raw_sql}") for w in slices])
+    keyed = own.withColumn(key, F.xxhash64(text))
+    pairs = reduce(DataFrame.unionAll, [keyed.select(key, text).mapInArrow(_one_pass(w, finish), f"{key} long, {raw_sql}") for w in slices])
     best = F.max_by(F.struct("longest_start", "longest_item"), F.struct("longest", -F.col("longest_start")))
     # equal texts have equal hits, so the hits of one text are merged under the text's hash
-    merged = pairs.groupBy("__key").agg(F.max("n_words").alias("n_words"), *[F.array_distinct(F.flatten(F.collect_set(x))).alias(x) for x in ("items",)], F.flatten(F.collect_set(F.arrays_zip("start", "stop"))).alias("cover"), F.max("longest").alias("longest"), best.alias("best"))
+    merged = pairs.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.flatten(F.collect_set(F.arrays_zip("start", "stop"))).alias("cover"), F.max("longest").alias("longest"), best.alias("best"))
 
     def close(it):
         for b in it:
             rows = []
-            for r in b.select(["n_words", "cover", "items", "longest", "best", "__text"]).to_pylist():
-                n = r["n_words"] if r["n_words"] is not None else len(words_of(pa.array([r["__text"]]))[0])
+            for text, r in zip(b.column(len(carry)).to_pylist(), b.column(len(carry) + 1).to_pylist()):
+                n = r["n_words"] if r["n_words"] is not None else len(words_of(pa.array([text]))[0])
                 rows.append(verdict({"n_words": n, "start": [x["start"] for x in r["cover"] or ()], "stop": [x["stop"] for x in r["cover"] or ()], "items": r["items"] or [], "longest": r["longest"] or 0, **(r["best"] or {"longest_start": None, "longest_item": None})}))
-            yield pa.record_batch([*b.columns[: len(carry)], *_columns(rows, _TYPES)], [*carry, *_TYPES])
+            yield finished(pa.record_batch(b.columns[: len(carry)], carry), rows)
 
-    out = keyed.join(merged, "__key", "left").select(*[F.col(f"`{x}`") for x in carry], "__text", "n_words", "cover", "items", "longest", "best")
-    out = out.mapInArrow(close, f"{schema}, {RESULT}" if schema else RESULT)
-    return out.where("not contaminated").select(*carry) if only_clean else out
+    out = keyed.join(merged, key, "left").select(*[keyed[f"`{x}`"] for x in carry], text, F.struct(*[merged[x] for x in ("n_words", "cover", "items", "longest", "best")]).alias(found))
+    return out.mapInArrow(close, result)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", slice_words: int = SLICE_WORDS) -> DataFrame:
