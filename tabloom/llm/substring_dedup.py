@@ -183,7 +183,7 @@ def _window_rows(window, buckets, bits):
                 spread = (c.mix(tags[d].astype(np.int64).view(c.U64)) % c.U64(buckets)).astype(np.int64)
                 rows += [(int(k), 1, marks[:, spread == k].tobytes()) for k in np.unique(spread)]
             p, f, m, s, w = starts[send], first[send], many[send], name[send], whole[send]
-            at = _ranges(p, f, m, doc[p])
+            at = _ranges(p, f, s, m, doc[p])
             n = np.diff(np.r_[at, len(p)])
             d = doc[p[at]]
             fixed = np.stack([s[at].view(np.int64), m[at], ids[d], tags[d], p[at] - begin[d], n]).astype(np.int64)
