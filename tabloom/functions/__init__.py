@@ -1,0 +1 @@
+"""Functions over names and columns that operators are made of."""

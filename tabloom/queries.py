@@ -1,19 +1,500 @@
-"""The registered queries of the table operators, and their SQL."""
+"""The registered queries of the table operators, and their SQL.
+
+The driver tables have no nulls, so queries about them make some, alike on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import qa
+from .functions import expr
+from .functions import score as sc
+from .functions import text as tx
+from .operators import apply
+from .plans import execute
+from .position import POS, filled, numbered, with_position
+from .profile import has_year, issues, stats_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, read) as a query of its name, with the SQL that gives the same rows."""
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# names and projection
+
+
+@query("SELECT row_number() OVER (ORDER BY n_nationkey) AS _row_id, n_nationkey, n_name FROM nation")
+def add_row_id(spark, read):
+    return apply(with_position(read("nation").select("n_nationkey", "n_name"), ["n_nationkey"]), "add_row_id").drop(POS)
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS n, o_orderkey FROM orders")
+def row_numbers_by_bucket(spark, read):
+    """The numbering that large tables get, range of positions by range of positions."""
+    df = read("orders").select("o_orderkey", F.col("o_orderkey").alias(POS))
+    return numbered(df, "n", small=0).drop(POS)
+
+
+@query("SELECT c_mktsegment AS segment, c_name AS name, c_custkey AS id FROM customer")
+def rename_select_reorder(spark, read):
+    df = apply(read("customer"), "rename", col_map={"C_NAME": "name", "c_mktsegment": "segment"}, resolver="fuzzy")
+    df = apply(df, "rename", mapping={"c_custkey": "id"})
+    return apply(apply(df, "select", cols=["id", "name", "segment", "c_acctbal"]), "reorder_columns", order=["segment", "name", "id"])
+
+
+@query("SELECT r_regionkey, r_name AS r_name_1, r_regionkey AS r_name FROM region")
+def clean_column_names(spark, read):
+    r = read("region")
+    return apply(r.select("r_regionkey", F.col("r_regionkey").alias(" R  Name"), F.col("r_name").alias("R Name!")), "clean_column_names")
+
+
+@query("SELECT r_regionkey, r_name AS region, 'x' AS source, CASE WHEN r_name = 'ASIA' THEN 'A' WHEN r_name = 'EUROPE' THEN 'E' ELSE r_name END AS short, r_name AS region_raw FROM region")
+def derive_copy_snapshot(spark, read):
+    df = apply(read("region"), "derive_columns", columns_map={"r_name": "region", "none": "x"}, add_constant_col={"col_name": "source", "value": "x"})
+    df = apply(df, "copy_and_replace", col="region", out="short", replacements={"ASIA": "A", "EUROPE": "E"})
+    return apply(df, "keep_raw_snapshot", sidecar_cols=["region"])
+
+
+# text
+
+
+@query("SELECT p_partkey, p_name AS trimmed, upper(p_name) AS p_upper, lower(p_type) AS cleaned FROM part")
+def trim_sanitize_clean(spark, read):
+    p = read("part")
+    df = p.select("p_partkey", F.concat(F.lit(" \t"), "p_name", F.lit("\u00a0\n")).alias("trimmed"), F.regexp_replace("p_name", " ", "  ").alias("p_upper"), F.concat("p_type", F.lit("  ")).alias("cleaned"))
+    df = apply(df, "trim_whitespace", cols=["trimmed"])
+    df = apply(df, "sanitize_text", cols=["p_upper"], case="upper")
+    return apply(df, "clean_text", col="cleaned", operations=["strip", "lower"])
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || '-X 3Rd' AS t FROM part")
+def title_case(spark, read):
+    return apply(read("part").select("p_partkey", F.concat("p_name", F.lit("-x 3rd")).alias("t")), "sanitize_text", cols=["t"], case="title")
+
+
+@query("SELECT n_nationkey, n_name || ' / ' || n_regionkey AS both, coalesce(nullif(n_name, 'FRANCE'), 'nan') || '|' || n_regionkey AS as_text FROM nation")
+def combine_columns(spark, read):
+    df = apply(read("nation"), "combine_columns", cols=["n_name", "n_regionkey", "none"], out="both", sep=" / ")
+    df = df.withColumn("n_name", F.nullif("n_name", F.lit("FRANCE")))
+    return apply(df, "combine_columns", cols=["n_name", "n_regionkey"], out="as_text", sep="|", null_policy="text").select("n_nationkey", "both", "as_text")
+
+
+@query("SELECT o_orderkey, regexp_replace(o_orderpriority, '(\\d)-(.+)', '\\2 (\\1)', 'g') AS p, replace(o_orderpriority, '-', '$1') AS plain FROM orders")
+def replace_string(spark, read):
+    df = read("orders").select("o_orderkey", "o_orderpriority")
+    df = apply(df, "replace_string", col="o_orderpriority", pattern=r"(?P<n>\d)-(.+)", replacement=r"\2 (\g<n>)", out="p")
+    return apply(df, "replace_string", col="o_orderpriority", pattern="-", replacement="$1", regex=False, out="plain").drop("o_orderpriority")
+
+
+@query(
+    "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'done' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus IN ('O', 'F') THEN 'C' ELSE o_orderstatus END AS chained,"
+    " CASE WHEN o_orderpriority = '5-LOW' THEN 'LOW' ELSE o_orderpriority END AS one FROM orders"
+)
+def map_and_replace_values(spark, read):
+    df = read("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    df = apply(df, "map_values", col="o_orderstatus", mapping={"O": "open", "F": "done", "P": None}, out="status")
+    df = apply(df, "replace_value", col="o_orderstatus", mapping={"O": "F", "F": "C"}, out="chained")
+    return apply(df, "replace_value", col="o_orderpriority", old_value="5-LOW", new_value="LOW", out="one").drop("o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT p_partkey, 'name of ' || p_partkey AS p_name FROM part")
+def map_values_large(spark, read):
+    """A mapping too large for an expression is joined."""
+    df = read("part").select("p_partkey", F.col("p_partkey").cast("string").alias("p_name"))
+    n = read("part").count()
+    return apply(df, "map_values", col="p_name", mapping={str(i): f"name of {i}" for i in range(n + 10)})
+
+
+# regular expressions
+
+
+@query("SELECT o_orderkey, nullif(regexp_extract(o_orderpriority, '^(\\d)-(.+)$', 1), '') AS num, nullif(regexp_extract(o_orderpriority, '^(\\d)-(.+)$', 2), '') AS name FROM orders")
+def extract_regex(spark, read):
+    df = read("orders").select("o_orderkey", "o_orderpriority")
+    return apply(df, "extract_regex", col="o_orderpriority", pattern=r"^(\d)-(.+)$", out_groups=["num", "name"]).drop("o_orderpriority")
+
+
+@query(
+    "SELECT p_partkey, regexp_extract(p_brand, '#(\\d)', 1)::BIGINT AS brand, CASE WHEN regexp_matches(p_name, '^small (\\w+)') THEN regexp_extract(p_name, '^small (\\w+)', 1) ELSE 'none' END AS small,"
+    " nullif(regexp_extract(p_brand, '#(\\d+)', 1), '') AS p_brand_extracted, nullif(regexp_extract(p_type, '#(\\d+)', 1), '') AS p_type_extracted FROM part"
+)
+def extract_regex_modes(spark, read):
+    df = read("part").select("p_partkey", "p_brand", "p_name", "p_type")
+    df = apply(df, "extract_regex", col="p_brand", patterns=[{"regex": r"#(\d)", "out_col": "brand", "type": "int"}])
+    df = apply(df, "extract_regex", col="p_name", patterns=[{"regex": r"^small (\w+)", "out_col": "small", "default": "none"}])
+    df = apply(df, "extract_regex", col=["p_brand", "p_type"], pattern=r"#(\d+)")
+    return df.drop("p_brand", "p_name", "p_type")
+
+
+@query("SELECT event_id, '1,' || user_id AS first, event_id::VARCHAR AS second FROM events")
+def extract_regex_best(spark, read):
+    """The attempt that most rows match: digits with commas among them."""
+    df = read("events").select("event_id", F.concat(F.lit("1,"), "user_id", F.lit(" of "), "event_id").alias("s"))
+    return apply(df, "extract_regex", col="s", pattern=r"(\d+) of (\d+)", out_groups=["first", "second"], mode="best").drop("s")
+
+
+@query("SELECT c_custkey, nullif(regexp_extract(c_name, '(\\w+)#0*(\\d+)', 1), '') AS kind, regexp_extract(c_name, '(\\w+)#0*(\\d+)', 2)::BIGINT AS num, nullif(regexp_extract(c_name, '#(\\d+)', 1), '') AS digits, regexp_extract(c_name, '(\\d)$', 1) AS last, regexp_matches(c_name, '(7)$') AS seven FROM customer")
+def parse_pattern_structured_flag(spark, read):
+    df = read("customer").select("c_custkey", "c_name")
+    df = apply(df, "parse_pattern", col="c_name", pattern=r"(\w+)#0*(\d+)", output_cols=["kind", "num"], type_map={"num": "int"})
+    df = apply(df, "extract_structured_data", col="c_name", out_cols=["digits"], patterns=[r"#(\d+)"])
+    df = apply(df, "extract_pattern", col="c_name", pattern=r"(\d)$", capture_groups=["last"])
+    return apply(df, "extract_and_flag", col="c_name", pattern="(7)$", out_extracted="e", out_flag="seven").drop("c_name", "e")
+
+
+# numbers
+
+
+@query(
+    "SELECT event_id, CASE event_id % 4 WHEN 3 THEN NULL ELSE round(value, 2) END AS v, CASE event_id % 4 WHEN 0 THEN '$' WHEN 1 THEN '%' END AS u FROM events"
+)
+def parse_number(spark, read):
+    v = F.round("value", 2)
+    shown = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit(" $"), F.format_number(v, 2))).when(F.col("event_id") % 4 == 1, F.concat(v.cast("decimal(20,2)").cast("string"), F.lit("%"))).when(F.col("event_id") % 4 == 2, v.cast("decimal(20,2)").cast("string")).otherwise(F.concat(v.cast("string"), F.lit(" m")))
+    df = read("events").select("event_id", shown.alias("s"))
+    return apply(df, "parse_number", col="s", out_value="v", out_unit="u").drop("s")
+
+
+@query("SELECT event_id, regexp_extract(props, '(\\d+)', 1)::BIGINT AS k, CASE WHEN value = floor(value) THEN value::BIGINT END AS whole, event_id::VARCHAR AS t, event_id % 2 = 1 AS b FROM events")
+def cast_column(spark, read):
+    df = read("events").select("event_id", F.regexp_extract("props", r"(\d+)", 1).alias("k"), F.col("value").alias("whole"), F.when(F.col("event_id") % 2 == 1, "Yes").otherwise("no").alias("b"))
+    df = apply(apply(df, "cast_column", col="k", dtype="integer"), "cast_column", col="whole", dtype="int")
+    return apply(apply(df, "cast_column", col="event_id", dtype="string", out="t"), "cast_column", col="b", dtype="boolean")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) / l_quantity AS unit, (l_partkey % 7)::DOUBLE AS m, year(l_shipdate)::DOUBLE AS y, (isodow(l_shipdate) - 1)::DOUBLE AS w, length(l_returnflag)::DOUBLE AS n, l_quantity ** 2 > 400 AS big FROM lineitem"
+)
+def derive_math(spark, read):
+    df = read("lineitem")
+    for out, e in (("unit", "l_extendedprice * (1 - l_discount) / l_quantity"), ("m", "l_partkey % 7"), ("y", "year(l_shipdate)"), ("w", "weekday(l_shipdate)"), ("n", "len(l_returnflag)"), ("big", "l_quantity ** 2 > 400")):
+        df = apply(df, "derive_math", out=out, expr=e)
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "unit", "m", "y", "w", "n", "big")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size >= 1 AND p_size <= 10 THEN 'small' WHEN p_size > 10 AND p_size <= 30 THEN 'mid' WHEN p_size > 30 AND p_size <= 40 THEN 'large' END AS bin FROM part")
+def bin_numeric(spark, read):
+    return apply(read("part").select("p_partkey", "p_size"), "bin_numeric", col="p_size", bins=[1, 10, 30, 40], labels=["small", "mid", "large"], out="bin").drop("p_size")
+
+
+@query("SELECT o_orderkey, o_orderstatus = 'F' AS s_F, o_orderstatus = 'O' AS s_O, o_orderstatus = 'P' AS s_P FROM orders")
+def one_hot(spark, read):
+    df = apply(read("orders").select("o_orderkey", "o_orderstatus"), "one_hot", col="o_orderstatus", prefix="s")
+    for x in "FOP":  # a value no row has has no column
+        df = df if f"s_{x}" in df.columns else df.withColumn(f"s_{x}", F.lit(False))
+    return df.select("o_orderkey", "s_F", "s_O", "s_P")
+
+
+# dates
+
+
+@query("SELECT o_orderkey, date_trunc('day', o_orderdate) AS d, year(o_orderdate) AS s_year, month(o_orderdate) AS s_month, day(o_orderdate) AS s_day, dayname(o_orderdate) AS s_day_of_week FROM orders")
+def parse_date_text(spark, read):
+    """Three ways to write a date, one of them with an age behind."""
+    d = F.col("o_orderdate")
+    shown = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(d, "MMMM d, yyyy")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.date_format(d, "d MMM yyyy"), F.lit(" (age 30)"))).otherwise(F.date_format(d, "yyyy-MM-dd"))
+    df = read("orders").select("o_orderkey", shown.alias("s"))
+    return apply(df, "parse_date_text", col="s", formats=["%B %d, %Y"], out_date="d", out_parts=["year", "month", "day", "day_of_week"]).drop("s")
+
+
+@query("SELECT o_orderkey, make_timestamp(1990, month(o_orderdate), day(o_orderdate), 0, 0, 0.0) AS d FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
+def parse_date_default_year(spark, read):
+    df = read("orders").where("not (month(o_orderdate) = 2 and day(o_orderdate) = 29)").select("o_orderkey", F.date_format("o_orderdate", "MMMM d").alias("s"))
+    return apply(df, "parse_date_text", col="s", out_date="d", default_year=1990).drop("s")
+
+
+@query("SELECT o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN [year(o_orderdate)::VARCHAR, (year(o_orderdate) // 100 * 100 + (year(o_orderdate) + 1) % 100)::VARCHAR] WHEN 2 THEN [year(o_orderdate)::VARCHAR, (year(o_orderdate) + 1)::VARCHAR] ELSE [year(o_orderdate)::VARCHAR] END) AS season FROM orders")
+def expand_year_range(spark, read):
+    y = F.year("o_orderdate")
+    s = F.when(F.col("o_orderkey") % 4 == 0, F.concat(y, F.lit("/"), F.substring((y + 1).cast("string"), 3, 2))).when(F.col("o_orderkey") % 4 == 2, F.concat(y, F.lit("/"), y + 1)).otherwise(y.cast("string"))
+    return apply(read("orders").select("o_orderkey", s.alias("s")), "expand_year_range", col="s", out="season").drop("s")
+
+
+# conditions
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '%urgent%' OR o_orderpriority ILIKE '%high%' THEN 'fast' WHEN o_totalprice > 150000 AND NOT o_orderstatus = 'F' THEN 'rich' ELSE 'plain' END AS c,"
+    " CASE WHEN o_orderstatus IN ('O', 'P') THEN o_totalprice ELSE 0 END AS open_value FROM orders"
+)
+def derive_conditional(spark, read):
+    cases = [{"if": "o_totalprice > 150000 and not o_orderstatus = 'F'", "then": "rich"}, {"condition": "o_orderpriority contains 'high'", "value": "fast"}]
+    df = apply(read("orders"), "derive_conditional", out="c", conditions=cases, default="plain")
+    return apply(df, "derive_conditional", out="open_value", cases=[{"if": "o_orderstatus in ['O', 'P']", "then": "o_totalprice"}], default=0).select("o_orderkey", "c", "open_value")
+
+
+@query("SELECT o_orderkey, (o_orderstatus = 'F' AND (o_totalprice > 100000 OR o_custkey < 50)) AS f FROM orders")
+def condition_or_first(spark, read):
+    """The precedence in which ``or`` binds tighter than ``and``."""
+    df = read("orders")
+    return df.select("o_orderkey", expr.condition(df, "o_orderstatus == 'F' and o_totalprice > 100000 or o_custkey < 50", "or_first").alias("f"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 20.5 AND l_returnflag <> 'N' AND NOT (l_linestatus = 'O' AND l_discount > 0.05)")
+def filter_rows(spark, read):
+    df = apply(read("lineitem"), "filter_rows", condition="l_quantity >= 10 and l_quantity <= 20.5 and l_returnflag != 'N'", exclude="l_linestatus == 'O' & l_discount > 0.05")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+# cells, shapes, unions
+
+
+@query("SELECT p_partkey, w AS word, i AS place, n FROM (SELECT p_partkey, unnest(l) AS w, generate_subscripts(l, 1) AS i, len(l) AS n FROM (SELECT p_partkey, string_split_regex(p_name || '; x,' || p_type, ' |; |,') AS l FROM part))")
+def split_multi_value(spark, read):
+    df = read("part").select("p_partkey", F.concat("p_name", F.lit("; x,"), "p_type").alias("s"))
+    return apply(df, "split_multi_value", col="s", separators=["; ", " ", ","], value_out="word", order_out="place", count_out="n").select("p_partkey", "word", F.col("place").cast("long").alias("place"), F.col("n").cast("long").alias("n"))
+
+
+@query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS e FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_partkey % 5 = 0")
+def explode_entities(spark, read):
+    df = read("part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("s"))
+    df = apply(df, "explode_entities", col="s", pattern=r"\s+", out="e", explode=False)
+    return apply(df.drop("s"), "explode_column", col="e")
+
+
+@query("SELECT year(o_orderdate) AS y, sum(CASE WHEN o_orderstatus = 'F' THEN 1 END)::BIGINT AS F, sum(CASE WHEN o_orderstatus = 'O' THEN 1 END)::BIGINT AS O, sum(CASE WHEN o_orderstatus = 'P' THEN 1 END)::BIGINT AS P FROM orders GROUP BY 1")
+def pivot_wider(spark, read):
+    df = read("orders").groupBy(F.year("o_orderdate").alias("y"), "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return apply(df, "pivot_wider", index=["y"], names_from="o_orderstatus", values_from="n")
+
+
+@query("SELECT s_suppkey, 'nation' AS what, s_nationkey::DOUBLE AS v FROM supplier UNION ALL SELECT s_suppkey, 'balance', s_acctbal FROM supplier")
+def pivot_longer(spark, read):
+    df = read("supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"), "s_name")
+    return apply(df, "pivot_longer", id_vars=["s_suppkey"], cols=["nation", "balance"], names_to="what", values_to="v")
+
+
+@query("SELECT c_custkey AS id, c_name AS name, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT NULL, c_mktsegment, c_acctbal FROM customer")
+def union_tables(spark, read):
+    steps = [{"step_id": "a", "writes": ["c_custkey", "c_name"]}, {"step_id": "b", "writes": ["c_mktsegment", "c_acctbal"]}]
+    return apply(read("customer"), "union_tables", tables_to_union=["a", "b"], column_mapping={"c_custkey": "id", "c_name": "name", "c_mktsegment": "name", "c_acctbal": "balance"}, all_steps=steps)
+
+
+# missing values, repeats, order
+
+_HOLES = "SELECT event_id, user_id, CASE WHEN event_id % 7 < 3 THEN NULL ELSE value END AS v, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS t FROM events"
+
+
+def _holes(read):
+    return read("events").select("event_id", "user_id", F.when(F.col("event_id") % 7 >= 3, F.col("value")).alias("v"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("t"))
+
+
+@query(f"WITH h AS ({_HOLES}) SELECT event_id, coalesce(v, -1) AS v, coalesce(t, 'none') AS t FROM h")
+def fillna_static(spark, read):
+    return apply(apply(_holes(read), "fillna_static", col="v", value=-1), "fillna_static", col="t", value="none").drop("user_id")
+
+
+@query(f"WITH h AS ({_HOLES}) SELECT event_id, coalesce(v, (SELECT median(v) FROM h)) AS v, round(coalesce(v, (SELECT avg(v) FROM h)), 6) AS m, coalesce(t, (SELECT t FROM h WHERE t IS NOT NULL GROUP BY t ORDER BY count(*) DESC, t LIMIT 1)) AS t FROM h")
+def fillna_dynamic(spark, read):
+    df = apply(_holes(read).withColumn("m", F.col("v")), "fillna_dynamic", col="v", method="median")
+    df = apply(apply(df, "fillna_dynamic", col="m", method="mean"), "fillna_dynamic", col="t", method="mode")
+    return df.select("event_id", "v", F.round("m", 6).alias("m"), "t")
+
+
+@query(
+    f"WITH h AS ({_HOLES}) SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v, last_value(t IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS t, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM h"
+)
+def fill_in_order(spark, read):
+    df = with_position(_holes(read).withColumn("b", F.col("v")), ["event_id"])
+    df = apply(apply(df, "fill_down", col="v"), "forward_fill", col="t")
+    return apply(df, "fillna_dynamic", col="b", method="bfill").drop("user_id", POS)
+
+
+@query(f"WITH h AS ({_HOLES}) SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS v FROM h")
+def fill_by_bucket(spark, read):
+    """The fill that large tables get: what a range of positions hands on is one row."""
+    df = _holes(read).select("event_id", "v", (F.col("event_id") * (1 << 14)).alias(POS))
+    return filled(df, {"v": F.col("v")}, small=0).drop(POS)
+
+
+@query(
+    "SELECT 'first' AS keep, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1 UNION ALL SELECT 'last', event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1"
+    " UNION ALL SELECT 'none', event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE n = 1"
+)
+def deduplicate_rows(spark, read):
+    df = with_position(read("events").select("event_id", "user_id", "event_type"), ["event_id"])
+    parts = [apply(df, "deduplicate_rows", keys=["user_id", "event_type"], keep=k).select(F.lit(n).alias("keep"), "event_id") for k, n in (("first", "first"), ("last", "last"), (False, "none"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def sort_top(spark, read):
+    return apply(read("orders").select("o_orderkey", "o_custkey", "o_totalprice"), "sort", by=["o_totalprice", "o_orderkey"], ascending=[False, True], limit=25)
+
+
+# domains
+
+_TENNIS = "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'RET' ELSE (o_orderkey % 8) || '-' || (o_custkey % 8) || ' 6' || chr(8211) || '4(3), ' || (o_custkey % 7) || '-6' END AS s FROM orders"
+
+
+@query(
+    f"WITH t AS ({_TENNIS}), g AS (SELECT o_orderkey, s, list_transform(regexp_extract_all(s, '(\\d+)[-\u2013\u2014]\\d+', 1), lambda x: x::INT) AS a, list_transform(regexp_extract_all(s, '\\d+[-\u2013\u2014](\\d+)', 1), lambda x: x::INT) AS b FROM t)"
+    " SELECT o_orderkey, s = 'RET' AS is_default_score, CASE WHEN s <> 'RET' THEN len(a) END AS total_sets_played, CASE WHEN s <> 'RET' THEN (a[1] > b[1])::INT + (a[2] > b[2])::INT + (a[3] > b[3])::INT END AS player_sets_won, CASE WHEN s <> 'RET' THEN (list_sum(a) + list_sum(b))::INT END AS total_games_played, CASE WHEN s <> 'RET' THEN a[1] > b[1] END AS player_won_first_set, CASE WHEN s <> 'RET' THEN a[1] > b[1] AND a[2] > b[2] AND a[3] > b[3] END AS player_won_in_straight_sets FROM g"
+)
+def parse_tennis_score(spark, read):
+    s = F.when(F.col("o_orderkey") % 11 == 0, "RET").otherwise(F.concat(F.col("o_orderkey") % 8, F.lit("-"), F.col("o_custkey") % 8, F.lit(" 6\u20134(3), "), F.col("o_custkey") % 7, F.lit("-6")))
+    names = ["is_default_score", "total_sets_played", "player_sets_won", "total_games_played", "player_won_first_set", "player_won_in_straight_sets"]
+    df = apply(read("orders").select("o_orderkey", s.alias("s"), F.lit("Winner").alias("w")), "parse_tennis_score", score_col="s", outcome_col="w", writes=names)
+    return df.select("o_orderkey", "is_default_score", *[F.col(c).cast("int").alias(c) for c in names[1:4]], *names[4:])
+
+
+@query("SELECT p_partkey, p_partkey > 1 AND NOT EXISTS (SELECT 1 FROM range(2, 1000) t(d) WHERE d * d <= p_partkey AND p_partkey % d = 0) AS prime FROM part")
+def custom_is_prime(spark, read):
+    return apply(read("part").select("p_partkey"), "custom", name="is_prime_number", col="p_partkey", out="prime")
+
+
+@query("SELECT c_custkey, nullif(regexp_extract(s, '^(\\S+ \\d+, \\d{4})', 1), '') AS born, nullif(regexp_extract(s, 'age (\\d+)', 1), '') AS age, regexp_extract(s, '(\\w+) \\d+, (\\d{4})', 1) AS mon, regexp_extract(s, '(\\w+) \\d+, (\\d{4})', 2) AS yr FROM (SELECT c_custkey, 'March ' || (c_custkey % 28 + 1) || ', ' || (1950 + c_custkey % 50) || ' (age ' || (20 + c_custkey % 40) || ')' AS s FROM customer)")
+def custom_extractors(spark, read):
+    k = F.col("c_custkey")
+    s = F.concat(F.lit("March "), k % 28 + 1, F.lit(", "), k % 50 + 1950, F.lit(" (age "), k % 40 + 20, F.lit(")"))
+    df = read("customer").select("c_custkey", s.alias("s"))
+    df = apply(df, "custom", name="extract_birth_date_and_age", col="s", date_pattern=r"^(\S+ \d+, \d{4})", age_pattern=r"age (\d+)", writes=["born", "age"])
+    return apply(df, "custom", name="extract_regex_groups", col="s", pattern=r"(?P<mon>\w+) \d+, (?P<yr>\d{4})", writes=["mon", "yr"]).drop("s")
+
+
+# profile, issues, scores
+
+
+@query(
+    "SELECT 'o_orderkey' AS \"column\", count(DISTINCT o_orderkey) AS n_unique, 0::BIGINT AS n_missing FROM orders UNION ALL SELECT 'o_orderstatus', count(DISTINCT nullif(o_orderstatus, 'P')), count(*) FILTER (o_orderstatus = 'P') FROM orders"
+)
+def profile(spark, read):
+    return stats_table(read("orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus")))
+
+
+@query("SELECT * FROM (VALUES ('dates', true), ('keys', false)) t(name, year)")
+def has_year_share(spark, read):
+    df = read("orders").select(F.date_format("o_orderdate", "MMMM d, yyyy").alias("dates"), F.concat(F.lit("#"), F.col("o_orderkey") % 100).alias("keys"))
+    return spark.createDataFrame(sorted(has_year(df, ["dates", "keys"]).items()), "name string, year boolean")
+
+
+@query(
+    "WITH q AS (SELECT conv_id * 100 + turn AS k, conv_id || '.' || turn AS qid, CASE WHEN turn = 1 THEN ' ' ELSE role || ' side' END AS r FROM conversations), g AS (SELECT r AS description, min(k) AS k, list(qid ORDER BY k) AS blocking, list_sort(list_distinct(flatten(list([split_part(qid, '.', 2)])))) AS cols FROM q WHERE trim(r) <> '' GROUP BY r)"
+    " SELECT 'iss_' || lpad((row_number() OVER (ORDER BY k))::VARCHAR, 3, '0') AS issue_id, description, len(cols)::INT AS n_cols, len(blocking)::INT AS n_questions, blocking[1] AS first_question FROM g"
+)
+def issues_of_questions(spark, read):
+    c = read("conversations")
+    qid = F.concat("conv_id", F.lit("."), "turn")
+    df = c.select(qid.alias("qid"), F.array(F.col("turn").cast("string")).alias("depends_on"), F.when(F.col("turn") == 1, " ").otherwise(F.concat("role", F.lit(" side"))).alias("failure_reason"), (F.col("conv_id") * 100 + F.col("turn")).alias("k"))
+    df = with_position(df, ["k"]).drop("k")
+    return issues(df).select("issue_id", "description", F.size("cols").alias("n_cols"), F.size("blocking_questions").alias("n_questions"), F.col("blocking_questions")[0].alias("first_question"))
+
+
+@query(
+    "WITH p AS (SELECT doc_id, regexp_replace(lower(substring(text, 1, 40)), '[^a-z ]', ' ', 'g') AS a, regexp_replace(lower(substring(text, 21, 40)), '[^a-z ]', ' ', 'g') AS b FROM documents WHERE lang = 'en'),"
+    " s AS (SELECT doc_id, a, b, list_distinct(list_filter(string_split_regex(a, ' +'), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split_regex(b, ' +'), lambda x: x <> '')) AS y FROM p)"
+    " SELECT doc_id, round(CASE WHEN trim(regexp_replace(a, ' +', ' ', 'g')) = trim(regexp_replace(b, ' +', ' ', 'g')) THEN 1.0 WHEN len(list_intersect(x, y)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END, 9)::DOUBLE AS f1 FROM s"
+    " WHERE NOT regexp_matches(a || ' ' || b, '(^| )(i|ii|iii|iv|v|vi|x|ix|yes|no|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)( |$)')"
+)
+def score_token_f1(spark, read):
+    def part(start):
+        return F.regexp_replace(F.lower(F.substring("text", start, 40)), "[^a-z ]", " ")
+
+    df = read("documents").where("lang = 'en'").select("doc_id", part(1).alias("a"), part(21).alias("b"))
+    df = df.where(~F.concat("a", F.lit(" "), "b").rlike(r"(^| )(i|ii|iii|iv|v|vi|x|ix|yes|no|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)( |$)"))
+    return df.select("doc_id", F.round(sc.token_f1(F.col("a"), F.col("b")), 9).alias("f1"))
+
+
+@query("SELECT n_nationkey, true AS exact_match, 1.0::DOUBLE AS f1 FROM nation")
+def score_exact(spark, read):
+    """The same answer in other words."""
+    df = read("nation").select("n_nationkey", F.concat(F.lit("The answer is '"), F.initcap("n_name"), F.lit("; "), "n_regionkey", F.lit(".0'")).alias("predicted"), F.array("n_name", F.col("n_regionkey").cast("string")).alias("targets"))
+    return sc.score_table(df).select("n_nationkey", "exact_match", "f1")
+
+
+# questions in SQL
+
+
+def _sql_query(name: str, table: str, engine: str, oracle: str):
+    def run(spark, sf_dir):
+        for t in table.split():
+            qa.register(spark.read.parquet(f"{sf_dir}/{t}.parquet"), t)
+        return spark.sql(qa.spark_sql(engine))
+
+    QUERIES[name], SQL[name] = run, oracle
+
+
+for _name, _tables, _text in (
+    ("sql_count_filter", "lineitem", "SELECT count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25"),
+    ("sql_extreme_row", "orders", 'SELECT "o_orderkey", o_totalprice FROM orders ORDER BY "o_totalprice" DESC, o_orderkey LIMIT 1'),
+    ("sql_group_having", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q, round(avg(l_discount), 6) AS d FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10"),
+    ("sql_distinct_aggregate", "orders", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, min(o_orderdate) AS first_day FROM orders GROUP BY o_orderstatus"),
+    ("sql_window_rank", "orders", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders"),
+    ("sql_cte_self_join", "orders", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 250000) SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM big a JOIN big b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey"),
+    ("sql_set_operations", "customer supplier", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier UNION SELECT -1 EXCEPT SELECT 3"),
+    ("sql_semi_anti", "customer orders", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) UNION ALL SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
+    ("sql_join_aggregate", "customer orders nation", "SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM nation JOIN customer ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name"),
+    ("sql_grouping_sets", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)"),
+):
+    _sql_query(_name, _tables, _text, _text)
+_sql_query("sql_like_any_case", "part", "SELECT p_partkey FROM part WHERE p_name LIKE '%SMALL%' AND \"p_type\" NOT LIKE 'X%'", "SELECT p_partkey FROM part WHERE p_name ILIKE '%SMALL%' AND p_type NOT ILIKE 'X%'")
+
+
+@query("SELECT o.a AS question, o.b AS answer FROM (SELECT 'n' AS a, count(*)::VARCHAR AS b FROM orders UNION ALL SELECT 'row', (SELECT o_orderkey || ' | ' || o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 1) UNION ALL SELECT 'list', (SELECT string_agg(n_name, ', ' ORDER BY n_name) FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 10)) UNION ALL SELECT 'none', 'EMPTY') o")
+def sql_answers(spark, read):
+    """Answers as texts: a value, a row, the first ten rows, nothing."""
+    o, n = read("orders"), read("nation")
+    rows = [("n", qa.answer(o, "orders", "SELECT count(*) FROM orders;")[0]), ("row", qa.answer(o, "orders", 'SELECT "o_orderkey", o_orderstatus FROM orders ORDER BY 1 LIMIT 1')[0])]
+    rows += [("list", qa.answer(n, "nation", "SELECT n_name FROM nation ORDER BY n_name")[0]), ("none", qa.answer(n, "nation", "SELECT n_name FROM nation WHERE n_nationkey < 0")[0])]
+    return spark.createDataFrame(rows, "question string, answer string")
+
+
+# whole plans
+
+PLAN = {
+    "table_id": "orders",
+    "strategy": "priorities as number and name, urgency, year",
+    "steps": [
+        {"step_id": "s1", "op": "extract_regex", "reads": ["o_orderpriority"], "writes": ["prio_num", "prio_name"], "params": {"col": "o_orderpriority", "pattern": r"^(\d)-(.+)$", "out_groups": ["prio_num", "prio_name"]}},
+        {"step_id": "s2", "op": "cast_column", "reads": ["prio_num"], "writes": ["prio_num"], "params": {"col": "prio_num", "dtype": "integer"}},
+        {"step_id": "s3", "op": "derive_conditional", "reads": ["prio_num"], "writes": ["is_urgent"], "params": {"out": "is_urgent", "conditions": [{"if": "prio_num <= 2", "then": True}], "default": False}},
+        {"step_id": "s4", "op": "derive_math", "reads": ["o_orderdate"], "writes": ["order_year"], "params": {"expr": "year(o_orderdate)"}},
+        {"step_id": "s5", "op": "keep_raw_snapshot", "reads": ["o_orderpriority"], "writes": [], "params": {"sidecar_cols": ["o_orderpriority"]}},
+    ],
+    "final_output": {"primary_key": ["o_orderkey"], "columns": [{"name": n, "role": r} for n, r in (("o_orderkey", "canonical"), ("prio_num", "derived"), ("prio_name", "derived"), ("is_urgent", "derived"), ("order_year", "derived"), ("o_totalprice", "canonical"), ("o_orderpriority", "raw_snapshot"))]},
+}
+
+_PLANNED = "SELECT o_orderkey, regexp_extract(o_orderpriority, '^(\\d)-(.+)$', 1)::BIGINT AS prio_num, regexp_extract(o_orderpriority, '^(\\d)-(.+)$', 2) AS prio_name, regexp_extract(o_orderpriority, '^(\\d)-(.+)$', 1)::BIGINT <= 2 AS is_urgent, year(o_orderdate)::DOUBLE AS order_year, o_totalprice FROM orders"
+
+
+@query(_PLANNED)
+def plan_table(spark, read):
+    return execute(read("orders"), PLAN, mode="strict", order_by=["o_orderkey"])[0]
+
+
+@query(f"SELECT prio_name, is_urgent, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM ({_PLANNED}) GROUP BY prio_name, is_urgent")
+def plan_end_to_end(spark, read):
+    """A plan over orders, and a question in SQL over what it gives."""
+    df, _ = execute(read("orders"), PLAN, mode="strict", order_by=["o_orderkey"])
+    view = qa.register(df, "orders planned")
+    return spark.sql(qa.spark_sql(f'SELECT "prio_name", is_urgent, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {view} GROUP BY prio_name, is_urgent'))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return QUERIES["plan_end_to_end"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
