@@ -142,7 +142,7 @@ s AS (SELECT *, {_LENGTHS} + length(regexp_replace(text, '([<\\[])(\\\\*)({_REST
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars)::BIGINT AS formatted_chars,
   list(role ORDER BY turn, role, text) AS roles FROM s GROUP BY conv_id),
-w AS (SELECT *, list_transform(range(1, len(roles) + 1), i -> list_reduce(list_prepend('start', roles[1:i]), (acc, x) -> {_STEP})) AS states FROM g)
+w AS (SELECT *, list_transform(range(1, len(roles) + 1), lambda i: list_reduce(list_prepend('start', roles[1:i]), lambda acc, x: {_STEP})) AS states FROM g)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
   list_position(states, 'error') IS NULL AND states[-1] = 'assistant' AS valid, (list_position(states, 'error') - 1)::INT AS first_bad FROM w
 """

@@ -106,12 +106,12 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 _SQL_FINGERPRINT = f"""
-  SELECT *, md5(array_to_string(list_transform(sections, s -> md5(array_to_string(list_transform(s, p -> p.digest), ''))), '')) || '|' ||
-    array_to_string(list_transform(sections, s -> md5(array_to_string(list_transform(s, p -> p.digest), ''))[1:{DIGITS}] || 'x' || len(s)), ' ') || '|' ||
-    array_to_string(list_transform(flatten(sections), p -> p.digest[1:{DIGITS}] || 'x' || len(p.leaves)), ' ') || '|' ||
-    array_to_string(list_transform(flatten(list_transform(flatten(sections), p -> p.leaves)), x -> x[1:{DIGITS}]), ' ') AS fp
-  FROM (SELECT *, list_transform(string_split(t, chr(10) || chr(10)), s -> list_transform(string_split(s, chr(10)),
-    p -> {{'digest': md5(array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,{LEAF}}}'), x -> md5(x)), '')), 'leaves': list_transform(regexp_extract_all(p, '(?s).{{1,{LEAF}}}'), x -> md5(x))}})) AS sections FROM texts)
+  SELECT *, md5(array_to_string(list_transform(sections, lambda s: md5(array_to_string(list_transform(s, lambda p: p.digest), ''))), '')) || '|' ||
+    array_to_string(list_transform(sections, lambda s: md5(array_to_string(list_transform(s, lambda p: p.digest), ''))[1:{DIGITS}] || 'x' || len(s)), ' ') || '|' ||
+    array_to_string(list_transform(flatten(sections), lambda p: p.digest[1:{DIGITS}] || 'x' || len(p.leaves)), ' ') || '|' ||
+    array_to_string(list_transform(flatten(list_transform(flatten(sections), lambda p: p.leaves)), lambda x: x[1:{DIGITS}]), ' ') AS fp
+  FROM (SELECT *, list_transform(string_split(t, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+    lambda p: {{'digest': md5(array_to_string(list_transform(regexp_extract_all(p, '(?s).{{1,{LEAF}}}'), lambda x: md5(x)), '')), 'leaves': list_transform(regexp_extract_all(p, '(?s).{{1,{LEAF}}}'), lambda x: md5(x))}})) AS sections FROM texts)
 """
 
 #: What the query returns, for DuckDB (distinct ids without nulls).
@@ -121,7 +121,7 @@ n AS (SELECT *, coalesce(lead(text) OVER w, first_value(text) OVER w) AS followi
 e AS (SELECT doc_id, n, text, left(text, n - n // 4) || left(following, n // 4) AS edited, following FROM n),
 texts AS (SELECT doc_id, 0 AS kind, text AS t FROM e UNION ALL SELECT doc_id, 1, edited FROM e UNION ALL SELECT doc_id, 2, following FROM e),
 f AS ({_SQL_FINGERPRINT}),
-g AS (SELECT doc_id, kind, fp, list_distinct(list_filter(string_split(string_split(fp, '|')[4], ' '), x -> x <> '')) AS leaves FROM f)
+g AS (SELECT doc_id, kind, fp, list_distinct(list_filter(string_split(string_split(fp, '|')[4], ' '), lambda x: x <> '')) AS leaves FROM f)
 SELECT e.doc_id, e.n::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
   CASE WHEN a.fp = b.fp THEN 1.0 WHEN len(a.leaves) + len(b.leaves) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a.leaves, b.leaves)) / (len(a.leaves) + len(b.leaves)) END::DOUBLE AS near_edited,
   CASE WHEN a.fp = x.fp THEN 1.0 WHEN len(a.leaves) + len(x.leaves) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(a.leaves, x.leaves)) / (len(a.leaves) + len(x.leaves)) END::DOUBLE AS near_next
