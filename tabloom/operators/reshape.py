@@ -67,7 +67,7 @@ def explode_column(df: DataFrame, ctx: Context, col: str) -> DataFrame:
 def pivot_wider(df: DataFrame, ctx: Context, index=None, names_from: str = "", values_from: str = "", most: int = 1000) -> DataFrame:
     """A column for each name. Two values for one place raise; so do more names than ``most``."""
     keys = [q(c) for c in listed(index)]
-    r = df.groupBy(*keys, q(names_from)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
+    r = df.groupBy(*keys, q(names_from)).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").limit(1).collect()
     if r:
         raise OperatorError(f"pivot_wider: several values for {r[0].asDict()}")
     names = sorted(x[0] for x in df.select(q(names_from)).where(q(names_from).isNotNull()).distinct().limit(most + 1).collect())

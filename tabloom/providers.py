@@ -62,11 +62,10 @@ def retried(f: Callable, times: int = 3, wait: float = 2.0, again: Callable[[Exc
 def clean_json(text: str) -> str:
     """A JSON text out of what a model may write around it: fences, other text, commas too many or too few, single quotes."""
     text = re.sub(r"\n?```\s*$", "", re.sub(r"^```\w*\s*\n", "", (text or "").strip()))
-    for first, last in ("{}", "[]"):
-        a, b = text.find(first), text.rfind(last)
-        if 0 <= a < b:
-            text = text[a : b + 1]
-            break
+    spans = [(text.find(first), text.rfind(last)) for first, last in ("{}", "[]")]
+    spans = sorted(x for x in spans if 0 <= x[0] < x[1])  # what opens first holds the rest
+    if spans:
+        text = text[spans[0][0] : spans[0][1] + 1]
     try:
         json.loads(text)
         return text

@@ -20,8 +20,11 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True, positions: bool
     All is read as text, missing words become null, and ``infer`` then gives columns
     of whole numbers, numbers or truth values their type, by one aggregate.
     """
-    df = spark.read.options(header=True, multiLine=True, escape='"', mode="DROPMALFORMED", inferSchema=False, **options).csv(path)
-    df = df.toDF(*names.unique(df.columns))
+    how = {"multiLine": True, "escape": '"', "mode": "DROPMALFORMED", "inferSchema": False, **options}
+    # Spark renames columns that differ in case only; the first line has their own names
+    first = spark.read.options(**how).csv(path).first()
+    df = spark.read.options(header=True, **how).csv(path)
+    df = df.toDF(*names.unique([n or f"column_{i + 1}" for i, n in enumerate(first or df.columns)]))
     df = df.select(*[F.when(~q(c).isin(*MISSING), q(c)).alias(c) for c in df.columns])
     if infer:
         df = inferred(df)
