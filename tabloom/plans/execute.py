@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import inspect
 import json
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ class Report:
     @property
     def completion(self) -> float:
         """Share of steps that did what they should."""
-        return sum(s["status"] in ("ok", "skipped") for s in self.steps) / len(self.steps) if self.steps else 1.0
+        return sum(s["status"] in ("ok", "skipped", "replaced") for s in self.steps) / len(self.steps) if self.steps else 1.0
 
     def json(self) -> str:
         return json.dumps({"steps": self.steps, "warnings": self.warnings, "completion": self.completion}, indent=1)
@@ -70,11 +70,45 @@ def run_step(df: DataFrame, step: Step, plan: Plan, ctx: Context) -> DataFrame:
     return op(df, ctx, **parameters(step, plan))
 
 
-def execute(df: DataFrame, plan: Plan | dict | str, mode: str = "lenient", order_by: list[str] | None = None, sanitized: bool = False, finalize: bool = True) -> tuple[DataFrame, Report]:
+def replaced(df: DataFrame, step: Step, plan: Plan, code, error: str) -> DataFrame | None:
+    """The table after what a provider gives for a step that failed, if that writes all the step should, with the right types."""
+    got = code.replace(asdict(step), df, error) if code is not None else None
+    if got is None:
+        return None
+    out = df
+    if callable(got):
+        out = got(df)
+    else:
+        for one in got:
+            out = run_step(out, Step.of(one), plan, Context("lenient"))
+    return typed_by_name(out, step.writes) if all(w in out.columns for w in step.writes) else None
+
+
+#: Ends of names that tell a column's type.
+NUMBER_ENDS = ("_year", "_month", "_day")
+
+
+def typed_by_name(df: DataFrame, writes: list[str]) -> DataFrame:
+    """Years, months and days as numbers, and days of the week by name (0 is Monday)."""
+    from ..functions import text as tx
+
+    made = {}
+    for w in writes:
+        if w in df.columns and w.lower().endswith("day_of_week"):
+            n = tx.number(q(w)).cast("int")
+            made[w] = F.coalesce(F.get(F.array(*[F.lit(d) for d in ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")]), n), q(w).cast("string"))
+        elif w in df.columns and w.lower().endswith(NUMBER_ENDS):
+            made[w] = tx.number(q(w)).cast("long")
+    return df.withColumns(made) if made else df
+
+
+def execute(df: DataFrame, plan: Plan | dict | str, mode: str = "lenient", order_by: list[str] | None = None, sanitized: bool = False, finalize: bool = True, code=None, copy_reads: bool = False) -> tuple[DataFrame, Report]:
     """The table that a plan gives, and what became of each step.
 
     lenient: a step that fails leaves the table as it is and is reported; strict: it raises.
-    ``order_by``: columns that give the rows' order; else it is that of the scan.
+    ``order_by``: columns that give the rows' order; else it is that of the scan. ``code``:
+    a provider that is asked about steps that fail; ``copy_reads``: columns that are still
+    not written then are copies of what the step reads.
     """
     raw = plan if isinstance(plan, dict) else plan.json() if isinstance(plan, Plan) else json.loads(plan)
     checked = validate_plan(raw, df.columns)
@@ -99,7 +133,14 @@ def execute(df: DataFrame, plan: Plan | dict | str, mode: str = "lenient", order
         except Exception as e:  # a step's failure is reported, whatever it is
             if mode == "strict":
                 raise
-            row["status"], row["notes"] = "failed", [f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"]
+            error = f"{type(e).__name__}: {str(e).splitlines()[0][:300]}"
+            row["status"], row["notes"] = "failed", [error]
+            out = replaced(df, step, plan, code, error)
+            if out is not None:
+                df, row["status"] = out, "replaced"
+            elif copy_reads:
+                there = [c for c in step.reads if c in df.columns]
+                df = df.withColumns({w: q(there[0]) for w in step.writes if w not in df.columns}) if there else df
             continue
         row["notes"] += ctx.notes
         gone = [w for w in step.writes if w not in df.columns]

@@ -19,6 +19,12 @@ class SqlProvider(Protocol):
     def sql(self, table: str, df: DataFrame, question: str) -> str | None: ...
 
 
+class CodeProvider(Protocol):
+    """What to do for a step that no operator can do: other steps (a list of objects), or a function of the DataFrame, or nothing."""
+
+    def replace(self, step: dict, df: DataFrame, error: str) -> list[dict] | Callable[[DataFrame], DataFrame] | None: ...
+
+
 class FilePlans:
     """Plans in ``<folder>/<table_id>.json``."""
 
