@@ -96,6 +96,13 @@ def parse(html: str) -> Node:
                 at = n if not end else (html.find(">", end.end()) + 1 or n)
             elif name not in VOID and not (closed and name in ("svg", "path", "math")):
                 open_.append(node)
+    if any(isinstance(x, str) and x.strip() for x in root.children):
+        # text outside of all elements belongs to the body
+        body = Node("body", {}, root)
+        body.children, root.children = root.children, [body]
+        for x in body.children:
+            if isinstance(x, Node):
+                x.parent = body
     return root
 
 

@@ -9,9 +9,9 @@ The trees are trained here, on pages that a seeded generator builds with known l
 from many ways to mark up articles, menus, notices, adverts, forms, comments and so on;
 no page of the corpus is used. The model is of fixed size and is broadcast.
 
-Edge cases: null and empty html give an empty text; pages without an element give one
-too; broken markup is repaired as browsers roughly do; rows are independent, so repeated
-rows get equal texts; null ids and urls are kept; an empty table gives an empty one.
+Edge cases: null and empty html give an empty text; text outside of all elements is taken
+for the body's; broken markup is repaired as browsers roughly do; rows are independent, so
+repeated rows get equal texts; null ids and urls are kept; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from . import common as c
 from . import dom
 
 #: Generated training pages, trees, depth, learning rate and bins of a feature.
-PAGES, TREES, DEPTH, RATE, BINS = 500, 60, 4, 0.25, 24
+PAGES, TREES, DEPTH, RATE, BINS = 700, 70, 5, 0.25, 24
 
 
 class Boosted:
@@ -164,7 +164,8 @@ def _page(r: random.Random) -> tuple[str, set[str]]:
         if k == "notice":
             return f"<div{a or ' class=notice'}><p>{words(r.randint(5, 40), False)}</p>{r.choice(('', '<button>ok</button>', '<a href=/p>' + words(2, False) + '</a>'))}</div>"
         if k == "form":
-            return f"<form{a}><label>{words(2, False)}</label><input name=q><p>{words(r.randint(2, 15), False)}</p><button>go</button></form>"
+            parts = [f"<label>{words(2, False)}</label>", "<input name=q>", f"<p>{words(r.randint(2, 15), False)}</p>", f"<h3>{words(2, False)}</h3>", "<button>go</button>"]
+            return f"<form{a}>{''.join(x for x in parts if r.random() < 0.6) or parts[2]}</form>"
         if k == "comments":
             t, one = r.choice(("section", "div", "aside", "ol")), r.choice(("div", "article", "li", "p"))
             items = "".join(f"<{one} class=\"{r.choice(('comment', 'reply', 'comment-body'))}\">{words(r.randint(3, 60), False) if one == 'p' else '<p>' + words(r.randint(3, 60), False) + '</p>'}</{one}>" for _ in range(r.randint(1, 6)))
@@ -174,7 +175,9 @@ def _page(r: random.Random) -> tuple[str, set[str]]:
             return f"<{(t := r.choice(('section', 'div', 'aside')))}{a or ' class=related'}><h2>{words(2, False)}</h2>{items}</{t}>"
         if k == "share":
             return f"<div{a or ' class=share'}>{''.join(f'<a href=/s>{words(1, False)}</a> ' for _ in range(r.randint(2, 6)))}</div>"
-        return f"<aside{a}><h3>{words(2, False)}</h3><p>{words(r.randint(5, 40), False)}</p><ul>{links(r.randint(1, 5))}</ul></aside>"
+        t, head = r.choice(("aside", "div", "div")), r.choice(("", f"<h3>{words(2, False)}</h3>"))
+        body = r.choice((f"<p>{words(r.randint(5, 40), False)}</p>", f"<p>{words(r.randint(5, 40), False)}</p><ul>{links(r.randint(1, 5))}</ul>", f"<ul>{links(r.randint(1, 5))}</ul>"))
+        return f"<{t}{a if a or t == 'aside' else ' id=sidebar'}>{head}{body}</{t}>"
 
     style = r.choice(("", "", "", "", "shout", "noise", "table", "digits"))
     # now and then the whole article is a line or two
@@ -213,7 +216,9 @@ def _page(r: random.Random) -> tuple[str, set[str]]:
         inner = f"<{(t := r.choice(('div', 'main', 'section', 'div')))}{attr('wrapper container page layout row content main', 0.7)}>{inner}{boiler() if r.random() < 0.3 else ''}</{t}>"
     top = "".join(boiler() for _ in range(r.choice((0, 1, 1, 2, 3))))
     if r.random() < 0.5:
-        top = f"<header{attr(hints('head'), 0.4)}><a href=/>{words(2, False)}</a>{r.choice(('', '<p>' + words(6, False) + '</p>', '<h1>' + words(3, False) + '</h1>'))}</header>" + top
+        t = r.choice(("header", "header", "div"))
+        name = r.choice((f"<a href=/>{words(2, False)}</a>", f"<h1>{words(2, False)}</h1>", f"<h1><a href=/>{words(3, False)}</a></h1>"))
+        top = f"<{t}{attr(hints('head'), 0.4 if t == 'header' else 1)}>{name}{r.choice(('', '<p>' + words(6, False) + '</p>'))}</{t}>" + top
     if r.random() < 0.6:
         top = f"<nav><ul>{links(r.randint(3, 9))}</ul></nav>" + top
     end = "".join(boiler() for _ in range(r.choice((0, 0, 1, 1, 2, 3))))

@@ -26,6 +26,8 @@ from .labelled import held_out, training_rows
 #: Labelled vectors of either label, dimensions of the latent space, neighbours that vote.
 MOST_LABELLED, DIMENSIONS, NEIGHBOURS = 2000, 48, 15
 CLASSES = 40
+#: Weight of the terms of repetition, which are few among many pairs; from 2 to 8 it does not matter.
+REPEAT_WEIGHT = 3.0
 TERMS = CLASSES * CLASSES + 4
 
 
@@ -79,6 +81,7 @@ class Space:
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, weight: np.ndarray, dimensions: int, neighbours: int):
         self.weight, self.neighbours = weight.astype(np.float32), neighbours
+        self.weight[CLASSES * CLASSES :] *= REPEAT_WEIGHT
         self.prior = float(labels.mean()) if len(labels) else 0.5
         x = self._weighted(counts)
         value, vector = np.linalg.eigh((x.T @ x).astype(np.float64))
