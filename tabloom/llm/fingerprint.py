@@ -92,14 +92,17 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = c.prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    none = F.lit(-(1 << 63))
+    # both joins take these very columns by these very keys, so the texts are shuffled once
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
     # of each document: which one comes before it, and how many code points that one takes
     pairs = successors(rows.select("k", "h", (F.length("text") / 4).cast("long").alias("take")), ["k", "h", "take"], c.partitions(spark))
     before = pairs.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), "take")
-    sent = rows.select("k", "h", "text").join(before, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.expr("left(text, cast(take as int))").alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    sent = rows.join(before, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.expr("left(text, cast(take as int))").alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
     sent = sent.groupBy("k", "h").agg(F.first("head").alias("head"), F.first("next_fingerprint").alias("next_fingerprint"))
     n = F.length("text")
-    out = rows.join(sent, ["k", "h"]).select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head")).alias("edited"), "next_fingerprint")
+    doc_id = F.when(F.col("k") != none, F.col("k")).cast(docs.schema[id_col].dataType).alias("doc_id")
+    out = rows.join(sent, ["k", "h"]).select(doc_id, n.cast("long").alias("n_chars"), "text", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head")).alias("edited"), "next_fingerprint")
     out = out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
     a, b = F.col("fingerprint"), F.col("edited_fingerprint")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(a, b).alias("near_edited"), likeness(a, F.col("next_fingerprint")).alias("near_next"), differing(a, b).alias("edited_paragraphs"))
