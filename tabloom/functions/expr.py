@@ -205,8 +205,11 @@ class _Arithmetic(_Reader):
             name = t.value.lower()
             if name in self.CALLS or name == "round":
                 x = self.either()
-                digits = int(self.need(self.peek().kind == "number" and self.tokens[self.at], "digits").value) if self.sign(",") else 0
-                self.at += digits is not None and self.peek().kind == "number"
+                digits = 0
+                if self.sign(","):
+                    self.need(self.peek().kind == "number", "digits")
+                    digits = int(self.peek().value)
+                    self.at += 1
                 self.need(self.sign(")"), ")")
                 return F.round(x, digits) if name == "round" else self.CALLS[name](x).cast("double")
             arg = self.peek()
