@@ -5,15 +5,22 @@ keeps of its smallest hash the number of leading zeros (6 bits) and the ten bits
 first one. Bands of six registers give the candidates, the collision-corrected estimate of
 the Jaccard similarity drops the hopeless ones, and the full sets decide.
 
-Equal sets are one class, and only classes are compared. In each band's bucket all classes
-are first compared with one hub, the class that has most company over all its buckets;
-what the hub links is one component already. Only classes of different components that
-still share a bucket are compared with each other, in blocks within large buckets, so a
-large group of copies costs about one comparison a copy.
-
-Two documents at the threshold share a band with probability 1 - 2.3e-9; the estimate's
-threshold lies over five standard deviations below theirs. Small sets leave most buckets
-empty, and bands of empty buckets are not used; for them the sketch is nearly the set.
+Equal sets are one class, and only classes are compared. Classes that share a band's
+bucket are candidates if their sizes allow the similarity and if their signatures (the low
+bits of all registers, 32 bytes) do not differ too much; the registers' estimate and then
+the full sets decide. Within small buckets that is done pair by pair. In a large bucket
+all classes are first compared with one hub, the class that has most company over all its
+buckets; what the hub links is one component already. What is left of large buckets is
+compared cell by cell (classes of like size, in blocks). A cell with many likely pairs
+gives no pairs but its members: their sets are compared block by block by exact counts of
+common shingles, each pair of blocks once however many buckets it shares, and only the
+links of a spanning forest leave a block. So a large group of copies costs about one
+comparison a copy, and a large group of unlinked relatives costs arithmetic but no rows.
+
+Two documents at the threshold share no band with probability 2.3e-9; the limits on
+signature and estimate lie five standard deviations beyond what linked sets show. Small
+sets leave most buckets empty; bands of empty buckets are not used, and for such sets the
+sketch is nearly the set.
 
 Edge cases: null and empty texts have the empty set and stay alone; texts of fewer than
 five words have one shingle, the whole; rows of one ``doc_id`` are one document; rows
@@ -37,8 +44,10 @@ BANDS = BUCKETS // ROWS
 MANTISSA, VALUE_BITS, EMPTY = 10, 52, 0xFFFF
 #: The rule of linking, 100 * intersection >= PERCENT * union, and the least estimate that is verified.
 PERCENT, LEAST_ESTIMATE = 85, 0.7
-#: Members a bucket has at most for its pairs to be listed; larger ones are compared in blocks of so many.
-SMALL, BLOCK = 48, 512
+#: Members of a bucket whose pairs are listed; larger ones are compared in blocks of so many classes and elements.
+SMALL, BLOCK, BLOCK_ELEMENTS = 48, 512, 300_000
+#: Likely pairs a member that a cell lists; with more its members' sets are compared.
+DENSE = 4
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +136,25 @@ def _bands(it):
             yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(b.column(0).to_numpy()[row])], ["key", "id"])
 
 
+def signatures(regs: np.ndarray) -> np.ndarray:
+    """The low bit of each register, 0 for an empty one, packed."""
+    return np.packbits((regs & 1).astype(bool) & (regs != EMPTY), axis=1)
+
+
+def _signed(it):
+    for b in it:
+        if b.num_rows:
+            sig = signatures(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n", "sig"])
+
+
+def _most_differing(n: np.ndarray, percent: int) -> np.ndarray:
+    """Signature bits in which a set of size n and one it is linked with differ at most (by five standard deviations)."""
+    used = BUCKETS * -np.expm1(-n / BUCKETS)
+    p = (100 - percent) / 200
+    return used * p + 5 * np.sqrt(used * p * (1 - p)) + 3
+
+
 def _sets(size, ids):
     def run(it):
         for b in it:
@@ -140,25 +168,20 @@ def _sets(size, ids):
     return run
 
 
-def _likely(least):
-    def run(it):
-        for b in it:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, BUCKETS) for i in (2, 3))
-                ok = estimate(x, y, b.column(4).to_numpy(), b.column(5).to_numpy()) >= least
-                yield pa.record_batch(b.columns[:2], ["a", "b"]).filter(pa.array(ok))
-
-    return run
+def _verified(percent, least):
+    """Of pairs with their registers, sizes and sets: those whose estimate will do and whose sets then are linked."""
 
-
-def _verified(percent):
     def run(it):
         for b in it:
-            ok, last, y = [], None, None
-            for i, (x, other) in enumerate(zip(b.column(2), b.column(3))):
-                if last is None or b.column(1)[i] != last:
-                    last, y = b.column(1)[i], np.frombuffer(other.as_buffer(), c.U64)
-                x = np.frombuffer(x.as_buffer(), c.U64)
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in ("ra", "rb"))
+            ok = estimate(x, y, b.column("na").to_numpy(), b.column("nb").to_numpy()) >= least
+            b, ok, last, y = b.select(["a", "b", "xa", "xb"]).filter(pa.array(ok)), [], None, None
+            for one, two, mine, other in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if two != last:
+                    last, y = two, np.frombuffer(other.as_buffer(), c.U64)
+                x = np.frombuffer(mine.as_buffer(), c.U64)
                 both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
                 ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield pa.record_batch(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -166,33 +189,110 @@ def _verified(percent):
     return run
 
 
-def _block_pairs(least):
-    """Pairs of different components within the buckets (or pairs of blocks of one) of a group."""
+def _small_pairs(percent):
+    """Likely pairs of classes of each (small) bucket of a group of buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, ids, comp, n, block, low, high = (table.column(x).to_numpy() for x in ("key", "id", "component", "n", "block", "low", "high"))
-        order = np.lexsort((ids, high, low, key))
-        cut = np.flatnonzero(np.r_[True, (np.diff(key[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0), True])
-        regs = None
-        found: list[np.ndarray] = []
-        for i, j in zip(cut[:-1], cut[1:]):
-            at = order[i:j]
-            if low[at[0]] < 0:  # a small bucket
-                x, y = np.triu_indices(len(at), 1)
-                ok = comp[at[x]] != comp[at[y]]
-                found.append(np.stack([ids[at[x[ok]]], ids[at[y[ok]]]]))
-                continue
-            if regs is None:
-                regs = table.column("regs").to_pylist()
-            own = np.frombuffer(b"".join(regs[k] for k in at), np.uint16).reshape(-1, BUCKETS)
-            right = np.flatnonzero(block[at] == high[at[0]])
-            for k in np.flatnonzero(block[at] == low[at[0]]):
-                o = right[(comp[at[right]] != comp[at[k]]) & ((ids[at[right]] > ids[at[k]]) | (low[at[0]] != high[at[0]]))]
-                if len(o):
-                    o = o[estimate(own[k][None], own[o], np.full(len(o), n[at[k]]), n[at[o]]) >= least]
-                    found.append(np.stack([np.full(len(o), ids[at[k]]), ids[at[o]]]))
-        x = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table([pa.array(x[0]), pa.array(x[1])], names=["a", "b"])
+        key, ids, n = (table.column(x).to_numpy() for x in ("key", "id", "n"))
+        order = np.lexsort((ids, key))
+        key, ids, n = key[order], ids[order], n[order]
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), c.U64).reshape(len(ids), -1)[order]
+        most = _most_differing(n, percent)
+        out = [np.zeros((2, 0), np.int64)]
+        for k in range(1, SMALL):
+            x = np.flatnonzero(key[k:] == key[:-k])
+            if not len(x):
+                break
+            x = x[100 * np.minimum(n[x], n[x + k]) >= percent * np.maximum(n[x], n[x + k])]
+            x = x[np.bitwise_count(sig[x] ^ sig[x + k]).sum(axis=1) <= np.maximum(most[x], most[x + k])]
+            out.append(np.stack([ids[x], ids[x + k]]))
+        a = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table([pa.array(a[0]), pa.array(a[1])], names=["a", "b"])
+
+    return run
+
+
+def _cell_pairs(percent):
+    """Likely pairs of two cells of a large bucket (or of one); of a dense one, its members with the bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, ids, comp, n, high = (table.column(x).to_numpy() for x in ("key", "id", "component", "n", "high"))
+        n = n.astype(np.float32)
+        bits = np.unpackbits(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32)
+        one, two = (np.flatnonzero(~high), np.flatnonzero(high)) if high.any() else (np.arange(len(ids)),) * 2
+        ones = bits.sum(axis=1)
+        differ = ones[one][:, None] + ones[two][None, :] - 2 * (bits[one] @ bits[two].T)
+        most = _most_differing(n, percent).astype(np.float32)
+        ok = differ <= np.maximum(most[one][:, None], most[two][None, :])
+        ok &= np.float32(100) * np.minimum(n[one][:, None], n[two][None, :]) >= percent * np.maximum(n[one][:, None], n[two][None, :])
+        ok &= comp[one][:, None] != comp[two][None, :]
+        if not high.any():
+            ok = np.triu(ok, 1)
+        x, y = np.nonzero(ok)
+        if len(x) > DENSE * len(ids):
+            own = np.unique(np.r_[one[x], two[y]])
+            a, b, dense = key[own], ids[own], np.ones(len(own), bool)
+        else:
+            a, b, dense = np.minimum(ids[one[x]], ids[two[y]]), np.maximum(ids[one[x]], ids[two[y]]), np.zeros(len(x), bool)
+        return pa.table([pa.array(a), pa.array(b), pa.array(dense)], names=["a", "b", "dense"])
+
+    return run
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """The number of common elements of each two sets."""
+    n = len(sets)
+    x, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(x, kind="stable")
+    x, row = x[order], row[order]
+    heads = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    size = np.diff(np.r_[heads, len(x)])
+    rare = np.repeat(size <= 16, size)
+    out = np.zeros((n, n), np.float32)
+    y, r = x[rare], row[rare]  # elements of few sets: their pairs are counted one by one
+    for k in range(1, 16):
+        same = np.flatnonzero(y[k:] == y[:-k])
+        if not len(same):
+            break
+        out += np.bincount(r[same] * n + r[same + k], minlength=n * n).reshape(n, n)
+    out += out.T
+    column = np.repeat(np.cumsum(size > 16) - 1, size)[~rare]  # the others by products of 0-1 matrices
+    r = row[~rare]
+    for lo in range(0, int((size > 16).sum()), 2048):
+        here = (column >= lo) & (column < lo + 2048)
+        m = np.zeros((n, 2048), np.float32)
+        m[r[here], column[here] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _block_links(percent):
+    """A spanning forest of the links between classes of two blocks (or of one)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("id").to_numpy())
+        ids, comp = table.column("id").to_numpy()[order], table.column("component").to_numpy()[order]
+        elements = table.column("elements").to_pylist()
+        sets = [np.frombuffer(elements[i], c.U64) for i in order]
+        n = np.array([len(s) for s in sets], np.float32)
+        both = common_counts(sets)
+        linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (comp[:, None] != comp[None, :])
+        up = {int(x): int(x) for x in comp}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for i, j in np.argwhere(np.triu(linked, 1)):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((ids[i], ids[j]))
+        a = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
     return run
 
@@ -207,43 +307,74 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = c.partitions(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sketch = own.mapInArrow(_sketches(size), "id long, n long, s1 long, s2 long, regs binary").checkpoint()
-    cls = sketch.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"))
+    cls = sketch.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("regs").alias("regs")).checkpoint()
     bands = cls.select("rep", "regs").mapInArrow(_bands, "key long, id long")
-    bands = bands.checkpoint()
     crowd = bands.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    shared = bands.join(crowd, "key").checkpoint()
-
-    ids = shared.select("id").distinct()
-    sets = own.where("id is not null").mapInArrow(_sets(size, bloom.build(ids)), "id long, regs binary, n long, elements binary").checkpoint()
-    regs = sets.select("id", "regs", "n")
-
-    def verify(pairs: DataFrame, checked: bool = False) -> DataFrame:
-        x, y = (sets.select(F.col("id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
-        if not checked:
-            pairs = pairs.join(x, "a").join(y, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(least), "a long, b long")
-        x, y = (sets.select(F.col("id").alias(k), F.col("elements").alias(f"x{k}")) for k in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_verified(percent), "a long, b long").distinct()
-
-    # each bucket's members against its hub
-    company = shared.groupBy("id").agg(F.sum("crowd").alias("company"))
-    hub = shared.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    star = shared.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    first = verify(star).checkpoint()
-    comp = components(first)
-
-    # members that the hub has not brought into one component, against each other
-    placed = shared.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    signed = cls.select("rep", "n", "regs").mapInArrow(_signed, "id long, n long, sig binary").groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
+    shared = bands.join(crowd, "key").join(signed, "id").checkpoint()
+
+    small = shared.where(F.col("crowd") <= SMALL).withColumn("g", F.pmod("key", F.lit(4 * parts)))
+    pairs = small.select("g", "key", "id", "n", "sig").groupBy("g").applyInArrow(_small_pairs(percent), "a long, b long").distinct().checkpoint()
+
+    large = shared.where(F.col("crowd") > SMALL)
+    company = large.groupBy("id").agg(F.sum("crowd").alias("company"))
+    hub = large.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
+    star = large.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+    ids = pairs.select("a").union(pairs.select("b")).union(large.select("id")).distinct()
+    sets = own.where("id is not null").mapInArrow(_sets(size, bloom.build(ids)), "id long, regs binary, n long, elements binary").dropDuplicates(["id"]).checkpoint()
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("elements").alias(f"x{k}")) for k in "ab")
+        return pairs.join(x, "a").join(y, "b").mapInArrow(_verified(percent, least), "a long, b long")
+
+    def ties(comp: DataFrame) -> DataFrame:
+        return comp.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a <> b")
+
+    comp = components(verify(star).checkpoint())
+    # large buckets that still hold more than one component
+    placed = large.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = placed.join(open_keys, "key")
-    blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
-    large = rest.where(F.col("crowd") > SMALL).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    large = large.join(regs, "id").select("key", "id", "component", "n", "block", "low", "high", "regs", F.xxhash64("key", "low", "high").alias("g"))
-    few = rest.where(F.col("crowd") <= SMALL).select("key", "id", "component", F.lit(0).cast("long").alias("n"), F.lit(0).alias("block"), F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(None).cast("binary").alias("regs"), F.pmod(F.xxhash64("key"), F.lit(4 * parts)).alias("g"))
-    pairs = few.unionByName(large).groupBy("g").applyInArrow(_block_pairs(least), "a long, b long").distinct()
-    second = verify(pairs)
-    linked = comp.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a <> b").unionByName(second).checkpoint()
-    comp = components(linked)
+    rest = placed.join(open_keys, "key").checkpoint()
+    if not rest.isEmpty():
+        # a bucket is one cell, or, if it is too large, one for each class of sizes or more;
+        # linked sets lie in one class or in two neighbouring ones
+        sizes = F.when(F.col("crowd") <= 4 * BLOCK, 0).otherwise(F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+        rest = rest.withColumn("sizes", sizes)
+        count = rest.where(F.col("crowd") > 4 * BLOCK).groupBy("key", "sizes").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * BLOCK)).alias("blocks"))
+        rest = rest.join(count, ["key", "sizes"], "left").withColumn("cell", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))).drop("blocks").checkpoint()
+        cells = rest.select("key", "sizes", "cell").distinct()
+        other = cells.select("key", F.col("sizes").alias("sizes2"), F.col("cell").alias("cell2"))
+        met = cells.join(other, "key").where("sizes2 = sizes + 1 or sizes2 = sizes and cell <= cell2").withColumn("g", F.xxhash64("key", "sizes", "cell", "sizes2", "cell2"))
+        one = met.select("g", "key", "sizes", "cell", F.lit(False).alias("high"))
+        two = met.where("sizes2 > sizes or cell2 > cell").select("g", "key", F.col("sizes2").alias("sizes"), F.col("cell2").alias("cell"), F.lit(True).alias("high"))
+        likely = one.unionByName(two).join(rest, ["key", "sizes", "cell"]).select("g", "key", "id", "component", "n", "high", "sig")
+        likely = likely.groupBy("g").applyInArrow(_cell_pairs(percent), "a long, b long, dense boolean").distinct().checkpoint()
+        dense = likely.where("dense").select(F.col("a").alias("key"), F.col("b").alias("id")).join(rest.select("key", "id", "component", "crowd"), ["key", "id"])
+        # a class lies in a block of its largest dense bucket; blocks that meet in a bucket are compared.
+        # classes of a home with few go to the home that most members of its bucket have
+        home = dense.groupBy("id", "component").agg(F.max(F.struct("crowd", "key")).alias("h")).select("id", "component", F.col("h.key").alias("home")).checkpoint()
+        few = home.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < BLOCK // 2).select(F.col("home").alias("key"))
+        moved = dense.select("key", "id").join(few, "key").join(home.select("id", "home"), "id").groupBy("key", "home").agg(F.count(F.lit(1)).alias("n"))
+        moved = moved.groupBy("key").agg(F.max(F.struct("n", "home")).alias("m")).select(F.col("key").alias("home"), F.col("m.home").alias("to"))
+        home = home.join(moved, "home", "left").select("id", "component", F.coalesce("to", "home").alias("home")).join(sets.select("id", "n"), "id")
+        count = home.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_ELEMENTS))).alias("blocks"))
+        home = home.join(count, "home").select("id", "component", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")).checkpoint()
+        met = dense.select("key", "id").join(home, "id").select("key", "block").distinct()
+        twos = met.join(met.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct().checkpoint()
+        held = twos.select(F.xxhash64("block", "other").alias("g"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+        held = held.join(home, "block").join(sets.select("id", "elements"), "id").select("g", "id", "component", "elements")
+        links = verify(likely.where("not dense").select("a", "b")).unionByName(held.groupBy("g").applyInArrow(_block_links(percent), "a long, b long"))
+        comp = components(ties(comp).unionByName(links).checkpoint())
+        # pairs of small buckets that blocks have compared need no other look
+        blocks = home.select("id", "block")
+        pairs = pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a", "left").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b", "left")
+        pairs = pairs.select("a", "b", F.least("x", "y").alias("block"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.greatest("x", "y")).alias("other"))
+        pairs = pairs.join(twos, ["block", "other"], "left_anti").select("a", "b")
+    # so do those that are in one component by now
+    pairs = pairs.join(comp.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
+    pairs = pairs.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+    comp = components(ties(comp).unionByName(verify(pairs)).checkpoint())
 
     cls = cls.select("s1", "s2", "n", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("id", "n", "s1", "s2").join(cls, ["s1", "s2", "n"], "left")
@@ -253,5 +384,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with the least doc_id of their component, with all their columns."""
-    gone = link_components(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    gone = c.fresh(docs, "__gone")
+    out = link_components(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(out, F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")
