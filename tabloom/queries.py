@@ -420,6 +420,50 @@ def score_exact(spark, read):
     return sc.score_table(df).select("n_nationkey", "exact_match", "f1")
 
 
+@query("WITH q AS (SELECT o_orderkey, o_orderstatus = 'F' AS e, CASE WHEN o_orderstatus = 'F' THEN 1.0 WHEN o_orderstatus = 'O' THEN 0.5 ELSE 0.0 END AS f, o_orderpriority AS p FROM orders) SELECT p AS table_id, count(*) AS n, count(*) FILTER (e) AS exact, round(100 * avg(e::INT), 1) AS exact_percent, round(avg(f), 4) AS mean_f1 FROM q GROUP BY p")
+def score_summary(spark, read):
+    """Scores by table: answers with all, half and none of the words asked for."""
+    o = read("orders")
+    said = F.when(F.col("o_orderstatus") == "F", "red cat").when(F.col("o_orderstatus") == "O", "red dog").otherwise("none")
+    df = sc.score_table(o.select(F.col("o_orderpriority").alias("table_id"), said.alias("predicted"), F.array(F.lit("red cat")).alias("targets")))
+    return qa.summary(df)
+
+
+# sources
+
+
+@query("SELECT n_regionkey::VARCHAR AS table_id, (dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INT AS row, c AS col, ['key', 'name', 'name_value'][c + 1] AS name, CASE c WHEN 0 THEN n_nationkey::VARCHAR WHEN 1 THEN n_name ELSE 'of ' || n_regionkey END AS value FROM nation, (VALUES (0), (1), (2)) v(c)")
+def markdown_cells(spark, read):
+    """A corpus of markdown tables with a title, a rule, a header twice and cells over two lines, parsed in tasks."""
+    n = read("nation")
+    line = F.concat(F.lit("| "), "n_nationkey", F.lit(" | "), "n_name", F.lit(" | of\n"), "n_regionkey", F.lit(" |"))
+    rows = n.groupBy("n_regionkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("rows"))
+    from .sources.markdown import explode_tables
+
+    return explode_tables(rows.select(F.col("n_regionkey").alias("table_id"), F.concat(F.lit("# nations\n| key | name | name |\n|---|:-:|---|\n"), "rows").alias("markdown")))
+
+
+@query("SELECT r_regionkey::VARCHAR AS table_id, i::INT AS row, name, CASE name WHEN 'row_level_0' THEN 'line ' || i WHEN 'A / x' THEN r_name ELSE (r_regionkey * 10 + i)::VARCHAR END AS value FROM region, (VALUES (0), (1)) t(i), (VALUES ('row_level_0'), ('A / x'), ('B')) c(name)")
+def hierarchical_cells(spark, read):
+    """A corpus of tables with trees as headers, flattened in tasks."""
+    from .sources.hierarchical import explode_tables
+
+    top = '{"name": "root", "children_dict": [{"name": "A", "children_dict": [{"name": "x", "line_idx": 0}]}, {"name": "B", "line_idx": 1}]}'
+    left = '{"name": "root", "children_dict": [{"name": "line 0", "line_idx": 0}, {"name": "line 1", "line_idx": 1}]}'
+    lines = [F.concat(F.lit('[{"value": "'), "r_name", F.lit('"}, {"value": '), F.col("r_regionkey") * 10 + i, F.lit('}, {"value": "no path"}]')) for i in (0, 1)]
+    content = F.concat(F.lit(f'{{"top_root": {top}, "left_root": {left}, "data": ['), lines[0], F.lit(", "), lines[1], F.lit("]}"))
+    return explode_tables(read("region").select(F.col("r_regionkey").alias("table_id"), content.alias("content")))
+
+
+@query("SELECT s_suppkey AS col_1st_key, s_nationkey::BIGINT AS nation_text, s_acctbal AS balance, s_name AS s_name, s_name AS S_Name_2 FROM supplier")
+def sql_ready_table(spark, read):
+    """Plain names, texts of numbers as numbers, and no column without values."""
+    from .plans.finalize import sql_ready
+
+    df = read("supplier").select(F.col("s_suppkey").alias("1st key"), F.col("s_nationkey").cast("string").alias("nation/text"), F.col("s_acctbal").cast("string").alias("balance"), "s_name", F.col("s_name").alias("S Name"), F.lit(None).cast("string").alias("empty"))
+    return sql_ready(df)
+
+
 # questions in SQL
 
 

@@ -51,6 +51,11 @@ def read_hierarchical(spark: SparkSession, table: dict | str) -> DataFrame:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A folder of such tables, cell by cell (table_id is the file): each task flattens its own files."""
+    return explode_tables(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("table_id"), F.col("value").alias("content")))
+
+
+def explode_tables(tables: DataFrame, table_id: str = "table_id", content: str = "content") -> DataFrame:
+    """Such tables as JSON in a column, cell by cell."""
 
     def run(it: Iterator) -> Iterator:
         import pandas as pd
@@ -59,5 +64,5 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
             out = [(t, i, k, None if v is None else str(v)) for t, content in zip(pdf["table_id"], pdf["content"]) for i, r in enumerate(flatten(json.loads(content))) for k, v in r.items()]
             yield pd.DataFrame(out, columns=["table_id", "row", "name", "value"])
 
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("table_id"), F.col("value").alias("content"))
-    return files.mapInPandas(run, "table_id string, row int, name string, value string")
+    own = tables.select(F.col(table_id).cast("string").alias("table_id"), F.col(content).cast("string").alias("content"))
+    return own.mapInPandas(run, "table_id string, row int, name string, value string")
