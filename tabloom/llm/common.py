@@ -27,7 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
-            if not spark.sparkContext.master.startswith("local["):
+            if not spark.sparkContext.master.split("[")[0] == "local":
                 raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
             named = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
