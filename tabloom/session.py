@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -22,3 +24,16 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def plan_bytes(df) -> int:
     """The optimiser's estimate of a DataFrame's size; a guard, never a result."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, whatever the folder they start in.
+
+    That serves workers which share the driver's files; on a cluster the package is
+    installed or sent with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import names
 from ..position import POS
+from ..session import importable
 
 
 def paths(root: dict) -> dict[int, list[str]]:
@@ -64,5 +65,6 @@ def explode_tables(tables: DataFrame, table_id: str = "table_id", content: str =
             out = [(t, i, k, None if v is None else str(v)) for t, content in zip(pdf["table_id"], pdf["content"]) for i, r in enumerate(flatten(json.loads(content))) for k, v in r.items()]
             yield pd.DataFrame(out, columns=["table_id", "row", "name", "value"])
 
+    importable(tables.sparkSession)
     own = tables.select(F.col(table_id).cast("string").alias("table_id"), F.col(content).cast("string").alias("content"))
     return own.mapInPandas(run, "table_id string, row int, name string, value string")

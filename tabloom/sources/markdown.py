@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import names
 from ..position import POS
+from ..session import importable
 
 _RULE = re.compile(r"[\s|:-]+$")
 
@@ -69,6 +70,7 @@ def explode_tables(tables: DataFrame, table_id: str = "table_id", markdown: str
                     out += [(t, i, j, h, r[j] or None) for i, r in enumerate(got[1]) for j, h in enumerate(got[0])]
             yield pd.DataFrame(out, columns=["table_id", "row", "col", "name", "value"])
 
+    importable(tables.sparkSession)
     return tables.select(F.col(table_id).cast("string").alias("table_id"), F.col(markdown).cast("string").alias("markdown")).mapInPandas(run, CELLS)
 
 
