@@ -26,6 +26,8 @@ from .labelled import held_out, training_rows
 #: Labelled vectors of either label, dimensions of the latent space, neighbours that vote.
 MOST_LABELLED, DIMENSIONS, NEIGHBOURS = 2000, 48, 15
 CLASSES = 40
+#: Bytes of text that are counted and compared at a time.
+CHUNK_BYTES = 1 << 20
 #: Weight of the terms of repetition, which are few among many pairs; from 2 to 8 it does not matter.
 REPEAT_WEIGHT = 3.0
 TERMS = CLASSES * CLASSES + 4
@@ -115,13 +117,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     def frequency(it):
         n, df = 0, np.zeros(TERMS, np.int64)
-        for b in c.batches(it, 0, 1 << 22):
+        for b in c.batches(it, 0, CHUNK_BYTES):
             x = term_counts(b.column(0))
             n, df = n + len(x), df + (x > 0).sum(axis=0)
         yield pa.record_batch([pa.array([n]), pa.array([df.tobytes()], pa.binary())], ["n", "df"])
 
     def counted(it):
-        for b in c.batches(it, 0, 1 << 22):
+        for b in c.batches(it, 0, CHUNK_BYTES):
             yield pa.record_batch([b.column(1), pa.array([r.tobytes() for r in term_counts(b.column(0))], pa.binary())], ["label", "counts"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
@@ -144,7 +146,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id
     own = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(it):
-        for b in c.batches(it, 2, 1 << 22):
+        for b in c.batches(it, 2, CHUNK_BYTES):
             s = space.value.scores(term_counts(b.column(2)))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(s.astype(np.float64)), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
