@@ -13,9 +13,9 @@ the shared ones, one brings the windows of shared anchors together and compares
 anchor and window hash (128 bits).
 
 Scale: both rounds aggregate within a chunk of a task first, so a passage that a third of
-all documents hold is sent once a chunk. The filter of shared anchors is a Bloom filter of
-at most ``filter_bits`` bits; where it is too full it lets more windows through, which
-costs shuffle but changes no result.
+all documents hold is sent once a chunk. Shared anchors come back to the documents as a
+Bloom filter if it needs at most ``filter_bits`` bits, else by a join: each document then
+gets the list of its own shared anchors. What either lets through in vain changes no result.
 
 Edge cases: null and empty texts have no words and lose none (SHA-256 of the empty text);
 texts shorter than a window keep all words; a null ``doc_id`` is an id like another;
@@ -124,17 +124,73 @@ def window_hashes(h: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np
     return c.mix(out, 105)
 
 
-def _chunks(it, window):
+def _chunks(it, window, segment):
+    """Batches with, of a segment each, the row, the place of its first word, the number of words; all word hashes; and what ``anchors`` gives.
+
+    A long document is several segments that overlap by a window less one word. Each window
+    lies in one of them, and its anchor depends on nothing around it.
+    """
     for b in c.gathered(it, 2):
-        words, counts = c.split_words(b.column(2))
-        h = c.word_hashes(words)
-        yield b, counts, h, *anchors(h, counts, window)
+        rows: list[int] = []
+        offsets: list[int] = []
+        parts: list[list[bytes]] = []
+        held = 0
+
+        def chunk():
+            words, counts = c.flat(parts)
+            h = c.word_hashes(words)
+            return b, np.array(rows), np.array(offsets), counts, h, *anchors(h, counts, window)
+
+        for i, text in enumerate(b.column(2).to_pylist()):
+            words = text.encode().split() if text else []
+            for at in range(0, len(words) - window + 1, segment):
+                part = words[at : at + segment + window - 1]
+                if parts and held + len(part) > segment + window:
+                    yield chunk()
+                    rows, offsets, parts, held = [], [], [], 0
+                rows.append(i)
+                offsets.append(at)
+                parts.append(part)
+                held += len(part)
+        if parts:
+            yield chunk()
+
+
+def _own_anchors(window, segment):
+    """Each document's distinct anchors."""
+
+    def run(it):
+        for b, row, _, counts, _, starts, name, first in _chunks(it, window, segment):
+            if len(name):
+                new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (name[1:] != name[:-1])])
+                own = row[np.repeat(np.arange(len(counts)), counts)[starts[new]]]
+                order = np.lexsort((name[new], own))
+                a, o = name[new][order], own[order]
+                one = np.r_[True, (a[1:] != a[:-1]) | (o[1:] != o[:-1])]
+                at = pa.array(o[one])
+                yield pa.record_batch([pa.array(a[one].view(np.int64)), b.column(0).take(at), b.column(1).take(at)], ["anchor", "id", "tag"])
+
+    return run
 
 
-def _anchor_rows(window):
+def _pairs(row: np.ndarray, name: np.ndarray) -> np.ndarray:
+    return c.mix(name ^ c.mix(row.astype(c.U64), 107), 108)
+
+
+def _shared(b, bits, row: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Which anchors are shared, by the filter or by the lists of a fourth column."""
+    if bits is not None:
+        return bloom.contains(bits.value, name)
+    lists = b.column(3)
+    sizes = np.diff(lists.offsets.to_numpy())
+    known = _pairs(np.repeat(np.arange(b.num_rows), sizes), lists.flatten().to_numpy().view(c.U64))
+    return np.isin(_pairs(row, name), known)
+
+
+def _anchor_rows(window, segment):
     def run(it):
-        for _, _, _, starts, name, first in _chunks(it, window):
-            if len(starts):
+        for *_, name, first in _chunks(it, window, segment):
+            if len(name):
                 new = np.r_[True, (first[1:] != first[:-1]) | (name[1:] != name[:-1])]
                 one, n = np.unique(name[new], return_counts=True)
                 yield pa.record_batch([pa.array(one.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["anchor", "n"])
@@ -150,12 +206,13 @@ def _ranges(starts: np.ndarray, *same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _window_rows(window, buckets, bits):
+def _window_rows(window, segment, buckets, bits):
     def run(it):
-        for b, counts, h, starts, name, first in _chunks(it, window):
+        for b, row, offset, counts, h, starts, name, first in _chunks(it, window, segment):
             if not len(starts):
                 continue
-            hit = bloom.contains(bits.value, name)
+            doc = np.repeat(np.arange(len(counts)), counts)
+            hit = _shared(b, bits, row[doc[starts]], name)
             starts, name, first = starts[hit], name[hit], first[hit]
             if not len(starts):
                 continue
@@ -168,10 +225,10 @@ def _window_rows(window, buckets, bits):
             many[order] = np.repeat(size > 1, size)
             send = ~many
             send[order[heads]] = True
-            doc = np.repeat(np.arange(len(counts)), counts)
             begin = np.cumsum(counts) - counts
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            tags = b.column(1).to_numpy(zero_copy_only=False)
+            begin -= offset  # places are those in the document
+            ids = b.column(0).to_numpy(zero_copy_only=False)[row]
+            tags = b.column(1).to_numpy(zero_copy_only=False)[row]
             rows = []
             # windows that repeat within this chunk need no answer from the others
             p = starts[many]
@@ -254,19 +311,24 @@ def _kept(window):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = 1 << 30) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = 1 << 30, segment: int = c.CHUNK_WORDS) -> DataFrame:
     """Each document without the words of windows that start more than once in the corpus.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by
-    one space).
+    one space). ``segment``: words that are compressed at a time.
     """
     spark = c.prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     rows = own.select("id", "tag", "text")
-    shared = rows.mapInArrow(_anchor_rows(window), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor").checkpoint()
-    bits = bloom.build(shared, filter_bits)
+    shared = rows.mapInArrow(_anchor_rows(window, segment), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor").checkpoint()
     buckets = 4 * c.partitions(spark)
-    found = rows.mapInArrow(_window_rows(window, buckets, bits), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(_repeated, "id long, tag long, start long, n long")
+    if 8 * shared.count() <= filter_bits:
+        bits = bloom.build(shared, filter_bits)
+    else:
+        bits = None
+        lists = rows.mapInArrow(_own_anchors(window, segment), "anchor long, id long, tag long").join(shared, "anchor").groupBy("id", "tag").agg(F.collect_set("anchor").alias("shared"))
+        rows = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "shared")
+    found = rows.mapInArrow(_window_rows(window, segment, buckets, bits), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(_repeated, "id long, tag long, start long, n long")
     marks = found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("marks")).select("id", "tag", F.col("marks.start").alias("start"), F.col("marks.n").alias("n"))
     return own.join(marks, ["id", "tag"], "left").select("doc_id", "text", "start", "n").mapInArrow(_kept(window), RESULT + ", kept_text string")

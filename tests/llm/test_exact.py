@@ -174,8 +174,8 @@ def test_substring_dedup(spark, sf_dir, docs):
     assert {k: tuple(r)[1:] for k, r in got.items()} == without_repeats(docs)
 
 
-@pytest.mark.parametrize("window", [35, 6, 2])
-def test_substring_dedup_small(spark, window):
+@pytest.mark.parametrize(("window", "segment", "filter_bits"), [(35, 500_000, 1 << 30), (35, 7, 1 << 30), (6, 500_000, 1 << 30), (6, 20, 8), (35, 500_000, 8), (2, 500_000, 1 << 30)])
+def test_substring_dedup_small(spark, window, segment, filter_bits):
     """Runs, periods, passages at the ends, few different words."""
     from tabloom.llm.substring_dedup import dedup_substrings
 
@@ -184,7 +184,7 @@ def test_substring_dedup_small(spark, window):
     docs = {i: " ".join(r.choice("abc") for _ in range(r.choice((0, 1, 30, 90)))) for i in range(30)}
     docs |= {40 + i: " ".join([f"l{i}"] * i + passage[i : 40 + i] + [f"r{i}"] * 3) for i in range(12)}
     docs |= {60: "run " * 50, 61: "run " * 35, 62: "run " * 34, 63: "x y " * 60, 64: " ".join(passage), 65: " ".join(passage), 66: None, 67: "é\xa0ü " * 3}
-    got = rows(dedup_substrings(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), window=window))
+    got = rows(dedup_substrings(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), window=window, segment=segment, filter_bits=filter_bits))
     assert {k: tuple(x)[1:4] for k, x in got.items()} == without_repeats(docs, window)
 
 
