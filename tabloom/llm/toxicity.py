@@ -209,8 +209,8 @@ def mine(rows: DataFrame, most: int = MOST_TERMS) -> tuple[list[str], list[str]]
             yield pa.record_batch([b.column(0), b.column(1), *(pa.array([r[i] for r in x], pa.int64()) for i in range(4))], ["text", "label", "m0", "m1", "m2", "m3"])
 
     own = rows.mapInArrow(signed, "text string, label int, m0 long, m1 long, m2 long, m3 long")
-    for k in range(4):
-        own = own.dropDuplicates([f"m{k}"])
+    for k in range(4):  # the least row of each, so that every run mines the same texts
+        own = own.groupBy(f"m{k}").agg(F.min(F.struct("label", "text", *[f"m{i}" for i in range(4) if i != k])).alias("r")).select(f"m{k}", "r.*")
     own = own.select("text", "label").checkpoint()
     n = {r.label: r.n for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
@@ -266,6 +266,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     every = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(patterns, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect()
     own = rows.mapInArrow(seen, "bits long, stats array<double>, label int").collect()
+    # sums of floats depend on their order
+    every, own = sorted(every, key=lambda r: r.bits), sorted(own, key=lambda r: (r.bits, r.label, r.stats))
     told = Counter((r.bits, r.label) for r in own)
     bits = np.array([r.bits for r in every] + [k for k, _ in told], np.int64)
     weight = np.array([float(r.n) for r in every] + [float(n) for n in told.values()])
