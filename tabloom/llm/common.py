@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import importable
+
 #: Documents handed to Python at a time; small enough for texts of some MB each.
 BATCH_ROWS = 1024
 #: Words a numpy chunk holds at most, besides those of its last document.
@@ -27,10 +29,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
-            if not spark.sparkContext.master.split("[")[0] == "local":
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
             named = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
