@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -38,6 +39,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The DataFrame from checkpoint files, without its lineage.
+
+    Shuffle files of the steps before go once the JVM has collected what refers to them, so
+    it is asked to: else those of all steps of an operator lie on disk side by side.
+    """
+    out = df.checkpoint()
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

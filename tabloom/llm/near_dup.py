@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -216,25 +216,32 @@ def _cell_pairs(percent):
     """Likely pairs of two cells of a large bucket (or of one); of a dense one, its members with the bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, ids, comp, n, high = (table.column(x).to_numpy() for x in ("key", "id", "component", "n", "high"))
-        n = n.astype(np.float32)
-        bits = np.unpackbits(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32)
-        one, two = (np.flatnonzero(~high), np.flatnonzero(high)) if high.any() else (np.arange(len(ids)),) * 2
-        ones = bits.sum(axis=1)
-        differ = ones[one][:, None] + ones[two][None, :] - 2 * (bits[one] @ bits[two].T)
-        most = _most_differing(n, percent).astype(np.float32)
-        ok = differ <= np.maximum(most[one][:, None], most[two][None, :])
-        ok &= np.float32(100) * np.minimum(n[one][:, None], n[two][None, :]) >= percent * np.maximum(n[one][:, None], n[two][None, :])
-        ok &= comp[one][:, None] != comp[two][None, :]
-        if not high.any():
-            ok = np.triu(ok, 1)
-        x, y = np.nonzero(ok)
-        if len(x) > DENSE * len(ids):
-            own = np.unique(np.r_[one[x], two[y]])
-            a, b, dense = key[own], ids[own], np.ones(len(own), bool)
-        else:
-            a, b, dense = np.minimum(ids[one[x]], ids[two[y]]), np.maximum(ids[one[x]], ids[two[y]]), np.zeros(len(x), bool)
-        return pa.table([pa.array(a), pa.array(b), pa.array(dense)], names=["a", "b", "dense"])
+        ids, comp, n, high = (table.column(x).to_numpy() for x in ("id", "component", "n", "high"))
+        none = np.zeros(0, np.int64)
+        a, b, own = none, none, none
+        if (comp != comp[0]).any():
+            n = n.astype(np.float32)
+            bits = np.unpackbits(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1).astype(np.float32)
+            one, two = (np.flatnonzero(~high), np.flatnonzero(high)) if high.any() else (np.arange(len(ids)),) * 2
+            ones = bits.sum(axis=1)
+            differ = ones[one][:, None] + ones[two][None, :] - 2 * (bits[one] @ bits[two].T)
+            most = _most_differing(n, percent).astype(np.float32)
+            ok = differ <= np.maximum(most[one][:, None], most[two][None, :])
+            ok &= np.float32(100) * np.minimum(n[one][:, None], n[two][None, :]) >= percent * np.maximum(n[one][:, None], n[two][None, :])
+            ok &= comp[one][:, None] != comp[two][None, :]
+            if not high.any():
+                ok = np.triu(ok, 1)
+            x, y = np.nonzero(ok)
+            if len(x) > DENSE * len(ids):
+                own = np.unique(np.r_[one[x], two[y]])
+            else:
+                a, b = np.minimum(ids[one[x]], ids[two[y]]), np.maximum(ids[one[x]], ids[two[y]])
+        rows = pa.array(own)
+        blank = pa.nulls(len(a), pa.int64())
+        return pa.table(
+            [pa.array(np.r_[a, ids[own]]), pa.chunked_array([pa.array(b), pa.nulls(len(own), pa.int64())])] + [pa.chunked_array([blank, table.column(x).combine_chunks().take(rows)]) for x in ("key", "component", "crowd", "hub", "n")],
+            names=["a", "b", "key", "component", "crowd", "hub", "n"],
+        )
 
     return run
 
@@ -306,75 +313,67 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = c.prepare(docs.sparkSession)
     parts = c.partitions(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sketch = own.mapInArrow(_sketches(size), "id long, n long, s1 long, s2 long, regs binary").checkpoint()
-    cls = sketch.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("regs").alias("regs")).checkpoint()
+    sketch = c.held(own.mapInArrow(_sketches(size), "id long, n long, s1 long, s2 long, regs binary"))
+    cls = c.held(sketch.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("regs").alias("regs")))
     bands = cls.select("rep", "regs").mapInArrow(_bands, "key long, id long")
     crowd = bands.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     signed = cls.select("rep", "n", "regs").mapInArrow(_signed, "id long, n long, sig binary").groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
-    shared = bands.join(crowd, "key").join(signed, "id").checkpoint()
+    company = F.sum(F.when(F.col("crowd") > SMALL, F.col("crowd"))).over(Window.partitionBy("id"))  # at most a row a band
+    shared = c.held(bands.join(crowd, "key").join(signed, "id").withColumn("company", company))
 
     small = shared.where(F.col("crowd") <= SMALL).withColumn("g", F.pmod("key", F.lit(4 * parts)))
-    pairs = small.select("g", "key", "id", "n", "sig").groupBy("g").applyInArrow(_small_pairs(percent), "a long, b long").distinct().checkpoint()
+    pairs = c.held(small.select("g", "key", "id", "n", "sig").groupBy("g").applyInArrow(_small_pairs(percent), "a long, b long").distinct())
 
     large = shared.where(F.col("crowd") > SMALL)
-    company = large.groupBy("id").agg(F.sum("crowd").alias("company"))
-    hub = large.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
-    star = large.join(hub, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    hub = large.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
+    large = c.held(large.join(hub, "key").drop("company"))
+    star = large.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
-    ids = pairs.select("a").union(pairs.select("b")).union(large.select("id")).distinct()
-    sets = own.where("id is not null").mapInArrow(_sets(size, bloom.build(ids)), "id long, regs binary, n long, elements binary").dropDuplicates(["id"]).checkpoint()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
+    sets = c.held(own.where("id is not null").mapInArrow(_sets(size, bloom.build(ids)), "id long, regs binary, n long, elements binary").dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("elements").alias(f"x{k}")) for k in "ab")
         return pairs.join(x, "a").join(y, "b").mapInArrow(_verified(percent, least), "a long, b long")
 
-    def ties(comp: DataFrame) -> DataFrame:
-        return comp.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a <> b")
-
-    comp = components(verify(star).checkpoint())
-    # large buckets that still hold more than one component
-    placed = large.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = placed.join(open_keys, "key").checkpoint()
-    if not rest.isEmpty():
-        # a bucket is one cell, or, if it is too large, one for each class of sizes or more;
+    links = c.held(verify(star))
+    if not large.isEmpty():
+        # classes with one least neighbour are surely connected
+        near = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o")), F.struct(F.col("b").alias("id"), F.col("a").alias("o")))).alias("e")).groupBy("e.id").agg(F.min("e.o").alias("o"))
+        placed = large.join(near, "id", "left").withColumn("component", F.coalesce(F.least("id", "o"), "id")).drop("o")
+        # a bucket is one cell; one that is too large is a cell for each class of sizes, or several:
         # linked sets lie in one class or in two neighbouring ones
-        sizes = F.when(F.col("crowd") <= 4 * BLOCK, 0).otherwise(F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
-        rest = rest.withColumn("sizes", sizes)
-        count = rest.where(F.col("crowd") > 4 * BLOCK).groupBy("key", "sizes").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * BLOCK)).alias("blocks"))
-        rest = rest.join(count, ["key", "sizes"], "left").withColumn("cell", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))).drop("blocks").checkpoint()
-        cells = rest.select("key", "sizes", "cell").distinct()
-        other = cells.select("key", F.col("sizes").alias("sizes2"), F.col("cell").alias("cell2"))
-        met = cells.join(other, "key").where("sizes2 = sizes + 1 or sizes2 = sizes and cell <= cell2").withColumn("g", F.xxhash64("key", "sizes", "cell", "sizes2", "cell2"))
-        one = met.select("g", "key", "sizes", "cell", F.lit(False).alias("high"))
-        two = met.where("sizes2 > sizes or cell2 > cell").select("g", "key", F.col("sizes2").alias("sizes"), F.col("cell2").alias("cell"), F.lit(True).alias("high"))
-        likely = one.unionByName(two).join(rest, ["key", "sizes", "cell"]).select("g", "key", "id", "component", "n", "high", "sig")
-        likely = likely.groupBy("g").applyInArrow(_cell_pairs(percent), "a long, b long, dense boolean").distinct().checkpoint()
-        dense = likely.where("dense").select(F.col("a").alias("key"), F.col("b").alias("id")).join(rest.select("key", "id", "component", "crowd"), ["key", "id"])
-        # a class lies in a block of its largest dense bucket; blocks that meet in a bucket are compared.
-        # classes of a home with few go to the home that most members of its bucket have
-        home = dense.groupBy("id", "component").agg(F.max(F.struct("crowd", "key")).alias("h")).select("id", "component", F.col("h.key").alias("home")).checkpoint()
-        few = home.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < BLOCK // 2).select(F.col("home").alias("key"))
-        moved = dense.select("key", "id").join(few, "key").join(home.select("id", "home"), "id").groupBy("key", "home").agg(F.count(F.lit(1)).alias("n"))
-        moved = moved.groupBy("key").agg(F.max(F.struct("n", "home")).alias("m")).select(F.col("key").alias("home"), F.col("m.home").alias("to"))
-        home = home.join(moved, "home", "left").select("id", "component", F.coalesce("to", "home").alias("home")).join(sets.select("id", "n"), "id")
+        whole = placed.where(F.col("crowd") <= 4 * BLOCK).withColumns({"g": F.col("key"), "high": F.lit(False)})
+        columns = ["g", "key", "id", "component", "n", "high", "sig", "crowd", "hub"]
+        cells = whole.select(*columns)
+        if not large.where(F.col("crowd") > 4 * BLOCK).isEmpty():
+            rest = placed.where(F.col("crowd") > 4 * BLOCK).withColumn("sizes", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+            count = rest.groupBy("key", "sizes").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * BLOCK)).alias("blocks"))
+            rest = c.held(rest.join(count, ["key", "sizes"]).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks"))
+            own_cells = rest.select("key", "sizes", "cell").distinct()
+            other = own_cells.select("key", F.col("sizes").alias("sizes2"), F.col("cell").alias("cell2"))
+            met = own_cells.join(other, "key").where("sizes2 = sizes + 1 or sizes2 = sizes and cell <= cell2").withColumn("g", F.xxhash64("key", "sizes", "cell", "sizes2", "cell2"))
+            one = met.select("g", "key", "sizes", "cell", F.lit(False).alias("high"))
+            two = met.where("sizes2 > sizes or cell2 > cell").select("g", "key", F.col("sizes2").alias("sizes"), F.col("cell2").alias("cell"), F.lit(True).alias("high"))
+            cells = cells.unionByName(one.unionByName(two).join(rest, ["key", "sizes", "cell"]).select(*columns))
+        likely = c.held(cells.groupBy("g").applyInArrow(_cell_pairs(percent), "a long, b long, key long, component long, crowd long, hub long, n long"))
+        found = likely.where("key is null").select("a", "b")
+        dense = likely.where("key is not null").withColumnRenamed("a", "id")
+        # a class lies in a block of the hub of its largest dense bucket; blocks that meet in a bucket are compared
+        home = dense.groupBy("id", "component", "n").agg(F.max(F.struct("crowd", "key", "hub")).alias("h")).select("id", "component", "n", F.col("h.hub").alias("home"))
         count = home.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_ELEMENTS))).alias("blocks"))
-        home = home.join(count, "home").select("id", "component", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")).checkpoint()
+        home = c.held(home.join(count, "home").select("id", "component", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")))
         met = dense.select("key", "id").join(home, "id").select("key", "block").distinct()
-        twos = met.join(met.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct().checkpoint()
+        twos = c.held(met.join(met.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct())
         held = twos.select(F.xxhash64("block", "other").alias("g"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
         held = held.join(home, "block").join(sets.select("id", "elements"), "id").select("g", "id", "component", "elements")
-        links = verify(likely.where("not dense").select("a", "b")).unionByName(held.groupBy("g").applyInArrow(_block_links(percent), "a long, b long"))
-        comp = components(ties(comp).unionByName(links).checkpoint())
+        links = links.unionByName(c.held(held.groupBy("g").applyInArrow(_block_links(percent), "a long, b long")))
         # pairs of small buckets that blocks have compared need no other look
         blocks = home.select("id", "block")
         pairs = pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a", "left").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b", "left")
         pairs = pairs.select("a", "b", F.least("x", "y").alias("block"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.greatest("x", "y")).alias("other"))
-        pairs = pairs.join(twos, ["block", "other"], "left_anti").select("a", "b")
-    # so do those that are in one component by now
-    pairs = pairs.join(comp.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
-    pairs = pairs.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
-    comp = components(ties(comp).unionByName(verify(pairs)).checkpoint())
+        pairs = c.held(pairs.join(twos, ["block", "other"], "left_anti").select("a", "b").unionByName(found).distinct())
+    comp = components(c.held(links.unionByName(verify(pairs))))
 
     cls = cls.select("s1", "s2", "n", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("id", "n", "s1", "s2").join(cls, ["s1", "s2", "n"], "left")
