@@ -413,6 +413,31 @@ def score_token_f1(spark, read):
     return df.select("doc_id", F.round(sc.token_f1(F.col("a"), F.col("b")), 9).alias("f1"))
 
 
+#: The words that scores take for others, as a map in DuckDB.
+_SAME_WORDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in {**sc.SHORT_MONTHS, **sc.ORDINALS, **sc.ROMANS, **sc.TRUTH}.items()) + "}"
+
+
+@query(
+    r"WITH t AS (SELECT doc_id, text, regexp_replace(regexp_replace(lower(text), '^\s+', ''), '\s+$', '') AS t FROM documents),"
+    r" d AS (SELECT doc_id, text, CASE WHEN regexp_full_match(t, '\d{4}-\d{2}-\d{2}') AND TRY_CAST(t[6:7] AS INT) BETWEEN 1 AND 12 THEN TRY_CAST(t[9:10] AS INT) || ' ' || lower(monthname(make_date(2000, TRY_CAST(t[6:7] AS INT), 1))) || ' ' || t[1:4] ELSE t END AS t FROM t),"
+    r" n AS (SELECT doc_id, text, regexp_replace(replace(t, ',', ''), '^([+-]?\d+)\.0+$', '\1') AS t FROM d),"
+    rf" w AS (SELECT doc_id, text, array_to_string(list_transform(regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+'), lambda x: coalesce({_SAME_WORDS}[x], x)), '') AS t FROM n),"
+    r" m AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[@;|]', ' ', 'g'), '\s*%\s*', ' percent ', 'g'), '\$\s*', '', 'g'), '\s*°([cf]($|[^\p{L}\p{M}\p{Nd}\p{Pc}]))?', '\1', 'g') AS t FROM w),"
+    r" a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[^\p{L}\p{M}\p{Nd}\p{Pc}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t, CASE WHEN regexp_full_match(trim(replace(text, ',', '')), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?') THEN TRY_CAST(replace(text, ',', '') AS DOUBLE) END AS v FROM m),"
+    " b AS (SELECT doc_id, t, v, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS s FROM a),"
+    " p AS (SELECT x.doc_id, x.t, y.t AS u, x.v, y.v AS z, len(x.s) + len(y.s) AS n, len(list_intersect(x.s, y.s)) AS common FROM b x LEFT JOIN b y ON y.doc_id = x.doc_id + 1)"
+    " SELECT doc_id, round(CASE WHEN t IS NULL OR u IS NULL THEN NULL WHEN t = u THEN 1.0 WHEN abs(v - z) < 0.01 THEN 1.0 WHEN common = 0 THEN 0.0 ELSE 2.0 * common / n END, 9)::DOUBLE AS f1 FROM p"
+)
+def score_token_f1_documents(spark, read):
+    """Every document's whole text against the whole text of the next one; the last has none, and no score."""
+    d = read("documents").select("doc_id", sc.forms(F.col("text")).alias("form"))
+    # each text meets two others but is normalised once, so its form goes to both instead of into a join
+    sides = F.array(F.struct("doc_id", F.col("form").alias("own"), F.lit(None).alias("other")), F.struct((F.col("doc_id") - 1).alias("doc_id"), F.lit(None).alias("own"), F.col("form").alias("other")))
+    met = d.select(F.explode(sides).alias("side")).groupBy("side.doc_id").agg(F.collect_list("side.own").alias("own"), F.collect_list("side.other").alias("other"))
+    pairs = met.select("doc_id", F.explode("own").alias("own"), F.when(F.col("doc_id").isNotNull(), F.col("other")).alias("other")).select("doc_id", "own", F.explode_outer("other").alias("other"))
+    return pairs.select("doc_id", F.round(sc.forms_f1(F.col("own"), F.col("other")), 9).alias("f1"))
+
+
 @query("SELECT n_nationkey, true AS exact_match, 1.0::DOUBLE AS f1 FROM nation")
 def score_exact(spark, read):
     """The same answer in other words."""
