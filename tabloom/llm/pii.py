@@ -38,13 +38,15 @@ _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(][Aa][Tt][\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(][Dd][Oo][Tt][\])]|\.) ?[A-Za-z0-9-]{2,24}){1,4}")
+_SPELLED_AT = re.compile(r" ?[\[(][Aa][Tt][\])] ?")
+_SPELLED_HOST = re.compile(r"[A-Za-z0-9-]++(?: ?(?:[\[(][Dd][Oo][Tt][\])]|\.) ?[A-Za-z0-9-]{2,}+){1,4}")
 _NUMBER = re.compile(r"[0-9][0-9 ()./-]{5,40}[0-9]")
 _LOCAL_PHONE = re.compile(r"(?:[0-9]{2,4}\) ?|[0-9]{2,5}[ ./-])[0-9]{2,4}(?:[ ./-]?[0-9]{2,4}){1,4}")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _NAME = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sr|Sra)\.? ([A-ZÀ-Þ][a-zà-ÿ]{1,20}(?: [A-ZÀ-Þ][a-zà-ÿ]{1,20}){0,2})")
-_ASSIGNED = re.compile(r"[\"']? ?[=:] ?[\"']?([^\s\"',;]{6,200})")
+_ASSIGN = re.compile(r"[\"']? ?[=:] ?[\"']?")
+_ASSIGNED = re.compile(r"[^\s\"',;]{6,}")
 _KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])")
 SECRET_WORDS = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey")
 
@@ -113,9 +115,16 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
 
     low = text.lower() if len(text.lower()) == len(text) else text
     if "at]" in low or "at)" in low:
-        for m in _SPELLED.finditer(text):
-            if free("email", *m.span()):
-                yield "email", *m.span(), False
+        done = 0
+        for sign in _SPELLED_AT.finditer(text):
+            # as in base_spans, each character before a sign is seen once
+            s = sign.start()
+            while s > done and text[s - 1] in LOCAL:
+                s -= 1
+            m = _SPELLED_HOST.match(text, sign.end()) if s < sign.start() else None
+            done = m.end() if m else sign.end()
+            if m and free("email", s, done):
+                yield "email", s, done, False
     for m in _NUMBER.finditer(text):
         s, e = m.span()
         x = m[0]
@@ -143,10 +152,11 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
             at = text.find(mark, at + 1)
     seen = -1
     for at, word in sorted((m.start(), w) for w in SECRET_WORDS if w in low for m in re.finditer(re.escape(w), low)):
-        m = _ASSIGNED.match(text, at + len(word))
-        if m and m.start(1) > seen:
-            seen = m.end(1)
-            yield "secret", *m.span(1), False
+        m = _ASSIGN.match(text, at + len(word))
+        m = _ASSIGNED.match(text, m.end()) if m and m.end() > seen else None  # a run is read once, whatever cues it holds
+        if m:
+            seen = m.end()
+            yield "secret", *m.span(), False
     for m in _NAME.finditer(text):
         if m.start() == 0 or not text[m.start() - 1].isalnum():
             yield "name", *m.span(1), False
