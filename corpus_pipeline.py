@@ -26,7 +26,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from tabloom.llm.near_dup import drop_near_duplicates
 
-    return drop_near_duplicates(docs)
+    # near copies are texts of a similarity of 0.8 or more; 0.65 lies six standard deviations of the estimate below
+    return drop_near_duplicates(docs, percent=80, least=0.65)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
