@@ -12,7 +12,8 @@ votes and hit statistics is trained on them; it scores every text.
 Mining takes a bounded sample (``most_labelled`` of either label). Copies would make any
 of their words look like a toxic term, so of texts that agree in one of four min-hashes
 one counts. A term counts if chance makes none such (a likelihood-ratio test corrected for
-the number of terms) and over four fifths of the texts with it are toxic.
+the number of terms) and over four fifths of the texts with it are toxic; all such terms
+vote, as many as the bounded sample has.
 
 Edge cases: null and empty texts have no hits and score as clean texts do; without
 labels only the written lexicons vote; null ids are kept and not held out; repeated rows
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from . import common as c
 from .labelled import held_out, training_rows
 
-#: Labelled texts of either label that are mined, mined terms of each sort, lengths of stems.
-MOST_LABELLED, MOST_TERMS, STEMS = 4000, 200, (4, 5, 6, 7)
+#: Labelled texts of either label that are mined, lengths of stems.
+MOST_LABELLED, STEMS = 4000, (4, 5, 6, 7)
 #: The score from which a text counts as toxic.
 THRESHOLD = 0.7
 #: Written lexicons, by voter.
@@ -200,7 +201,7 @@ def _min_hashes(text: str) -> list[int]:
     return [int(c.mix(h, k).min().view(np.int64)) if len(h) else 0 for k in (61, 62, 63, 64)]
 
 
-def mine(rows: DataFrame, most: int = MOST_TERMS) -> tuple[list[str], list[str]]:
+def mine(rows: DataFrame) -> tuple[list[str], list[str]]:
     """Words and stems of toxic texts, from (text, label)."""
 
     def signed(it):
@@ -236,9 +237,9 @@ def mine(rows: DataFrame, most: int = MOST_TERMS) -> tuple[list[str], list[str]]
     ratio = 2 * (F.col("toxic") * F.log(F.col("toxic") / (F.col("n") * p)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (F.col("n") * (1 - p)))).otherwise(0))
     # as many terms as words and stems of some texts: 100,000 times a level of 0.05; fewer texts, fewer terms
     level = 2 * math.log(min(1e5, 300.0 * (toxic + clean)) / 0.05)
-    chosen = both.withColumn("ratio", ratio).where(F.col("ratio") >= level).orderBy(F.desc("ratio"), "term").limit(4 * most).collect()
+    chosen = both.withColumn("ratio", ratio).where(F.col("ratio") >= level).orderBy(F.desc("ratio"), "term").collect()
     words, stems = [r.term[1:] for r in chosen if r.term[0] == "="], [r.term for r in chosen if r.term[0] != "="]
-    return words[:most], stems[:most]
+    return words, stems
 
 
 def _counted(counts) -> pa.RecordBatch:
