@@ -23,9 +23,10 @@ sets leave most buckets empty; bands of empty buckets are not used, and for such
 sketch is nearly the set.
 
 Edge cases: null and empty texts have the empty set and stay alone; texts of fewer than
-five words have one shingle, the whole; rows of one ``doc_id`` are one document; rows
-without ``doc_id`` take the component of an equal set or none, and are kept if they have
-none; an empty table gives an empty one.
+five words have one shingle, the whole; rows of one ``doc_id`` with different texts are
+judged each by its own text; rows without ``doc_id`` are linked like all others, take the
+least doc_id of their component and go, or, where no row of it has one, have none and are
+all kept; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def _sketches(percent_size):
                 total = np.r_[c.U64(0), np.cumsum(c.mix(x, salt), dtype=c.U64)]
                 ends = np.cumsum(n)
                 sums.append((total[ends] - total[ends - n]).view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "n", "s1", "s2", "regs"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), pa.array([r.tobytes() for r in regs], pa.binary())], ["id", "key", "n", "s1", "s2", "regs"])
 
     return run
 
@@ -304,17 +305,27 @@ def _block_links(percent):
     return run
 
 
+def _key(text_col: str):
+    """What tells texts of one doc_id apart, and names a class: a 64-bit hash of the text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, least: float = LEAST_ESTIMATE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets;
     component_id is the least doc_id of those that links reach.
     """
+    return _linked(docs, id_col, text_col, percent, size, least).drop("key")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, size: int = SHINGLE, least: float = LEAST_ESTIMATE) -> DataFrame:
+    """The columns of link_components and the key of each row's text. Within, the id of a class is the least key of its texts."""
     spark = c.prepare(docs.sparkSession)
     parts = c.partitions(spark)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sketch = c.held(own.mapInArrow(_sketches(size), "id long, n long, s1 long, s2 long, regs binary"))
-    cls = c.held(sketch.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("regs").alias("regs")))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _key(text_col).alias("key"))
+    sketch = c.held(own.mapInArrow(_sketches(size), "id long, key long, n long, s1 long, s2 long, regs binary"))
+    cls = c.held(sketch.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"), F.min("id").alias("first"), F.first("regs").alias("regs")))
     bands = cls.select("rep", "regs").mapInArrow(_bands, "key long, id long")
     crowd = bands.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
     signed = cls.select("rep", "n", "regs").mapInArrow(_signed, "id long, n long, sig binary").groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
@@ -325,12 +336,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = c.held(small.select("g", "key", "id", "n", "sig").groupBy("g").applyInArrow(_small_pairs(percent), "a long, b long").distinct())
 
     large = shared.where(F.col("crowd") > SMALL)
-    hub = large.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"))).alias("h")).select("key", (-F.col("h.minus")).alias("hub"))
+    hub = large.groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("id").alias("minus"))).alias("h")).select("key", F.bitwise_not("h.minus").alias("hub"))
     large = c.held(large.join(hub, "key").drop("company"))
     star = large.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
-    sets = c.held(own.where("id is not null").mapInArrow(_sets(size, bloom.build(ids)), "id long, regs binary, n long, elements binary").dropDuplicates(["id"]))
+    sets = c.held(own.select(F.col("key").alias("id"), "text").mapInArrow(_sets(size, bloom.build(ids)), "id long, regs binary, n long, elements binary").dropDuplicates(["id"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("elements").alias(f"x{k}")) for k in "ab")
@@ -375,14 +386,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = c.held(pairs.join(twos, ["block", "other"], "left_anti").select("a", "b").unionByName(found).distinct())
     comp = components(c.held(links.unionByName(verify(pairs))))
 
-    cls = cls.select("s1", "s2", "n", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("id", "n", "s1", "s2").join(cls, ["s1", "s2", "n"], "left")
+    comp = c.held(comp.withColumnRenamed("id", "rep").join(cls.select("rep", "first"), "rep"))
+    comp = comp.join(comp.groupBy("component").agg(F.min("first").alias("reached")), "component").select("rep", "reached")
+    cls = cls.select("s1", "s2", "n", "rep", "first").join(comp, "rep", "left").select("s1", "s2", "n", F.coalesce("reached", "first").alias("component"))
+    out = sketch.select("id", "key", "n", "s1", "s2").join(cls, ["s1", "s2", "n"], "left")
     found = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, found.isNull()).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, found.isNull()).alias("kept"), "key")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with the least doc_id of their component, with all their columns."""
-    gone = c.fresh(docs, "__gone")
-    out = link_components(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(out, F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")
+    gone, text = c.fresh(docs, "__gone"), c.fresh(docs, "__text")
+    out = _linked(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(gone), F.col("key").alias(text)).distinct()
+    return docs.join(out, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gone)) & (_key(text_col) == F.col(text)), "left_anti")
