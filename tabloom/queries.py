@@ -221,6 +221,13 @@ def parse_date_default_year(spark, read):
     return apply(df, "parse_date_text", col="s", out_date="d", default_year=1990).drop("s")
 
 
+@query("SELECT o_orderkey, CASE WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN NULL ELSE make_timestamp(1990, month(o_orderdate), day(o_orderdate), 0, 0, 0.0) END AS d FROM orders")
+def parse_date_default_year_all(spark, read):
+    """All orders; a day that the default year lacks is null."""
+    df = read("orders").select("o_orderkey", F.date_format("o_orderdate", "MMMM d").alias("s"))
+    return apply(df, "parse_date_text", col="s", out_date="d", default_year=1990).drop("s")
+
+
 @query("SELECT o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN [year(o_orderdate)::VARCHAR, (year(o_orderdate) // 100 * 100 + (year(o_orderdate) + 1) % 100)::VARCHAR] WHEN 2 THEN [year(o_orderdate)::VARCHAR, (year(o_orderdate) + 1)::VARCHAR] ELSE [year(o_orderdate)::VARCHAR] END) AS season FROM orders")
 def expand_year_range(spark, read):
     y = F.year("o_orderdate")
