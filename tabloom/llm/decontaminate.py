@@ -4,7 +4,8 @@ Each task cuts its documents into shards and builds a suffix array of each: posi
 words, sorted by the words that follow, never across the end of a document. All windows
 at which a suffix of a benchmark item starts are then binary-searched in it; the range
 that is found holds all verbatim occurrences, and neighbouring windows on one diagonal
-give the longest match and its place. A suffix whose first words start no benchmark
+give the longest match and its place, among matches of at least one window (13 words, or a
+whole shorter item); shorter common runs are not looked for. A suffix whose first words start no benchmark
 window cannot be found, so the array is sparse: it leaves those suffixes out.
 
 The documents are not shuffled at all. The benchmark is broadcast in slices of at most
