@@ -107,13 +107,15 @@ def contamination(docs, bench):
             windows[tuple(w[k : k + 13])].add(str(i))
     for i, t in docs.items():
         w = words(t)
-        hit, items = [False] * len(w), set()
+        hit, items, whole = [False] * len(w), set(), False
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
                 if s := windows.get(tuple(w[k : k + n])):
                     hit[k : k + n] = [True] * n
                     items |= s
-        out[i] = (len(w), sum(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), sum(hit) > 0 and 20 * sum(hit) >= len(w))
+                    whole |= n == 13
+        share = sum(hit) > 0 and 20 * sum(hit) >= len(w)
+        out[i] = (len(w), sum(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), share, whole or share)
     return out
 
 
@@ -121,11 +123,11 @@ def test_decontaminate(spark, sf_dir, docs):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = rows(q.op6_decontaminate(spark, sf_dir))
     want = contamination(docs, bench)
-    assert {k: tuple(r)[1:6] for k, r in got.items()} == want
+    assert {k: tuple(r)[1:6] for k, r in got.items()} == {k: w[:5] for k, w in want.items()}
     assert any(w[4] for w in want.values())
 
 
-@pytest.mark.parametrize("slice_words", [400_000, 30])
+@pytest.mark.parametrize("slice_words", [1_000_000, 30])
 def test_decontaminate_small(spark, slice_words):
     """Short items, prefixes of items, overlaps, repeated items; in one pass and in many."""
     from tabloom.llm.decontaminate import find_contamination, remove_contaminated
@@ -136,13 +138,54 @@ def test_decontaminate_small(spark, slice_words):
     docs = {i: " ".join(r.choice(pool + ["A", "b", "C"]) for _ in range(r.choice((0, 1, 4, 40)))) for i in range(60)}
     for i in range(60, 75):
         docs[i] = " ".join([f"x{i}"] * 5 + [r.choice(bench)[1] or ""] + [f"u{i}"] * 3)
+    for i in range(75, 80):  # a whole window in a long text is a small share of it
+        docs[i] = " ".join([f"x{i}"] * 300 + [f"v{k % 12}" for k in range(13)] + [f"u{i}"] * 300)
+    bench.append((97, " ".join(f"v{k % 12}" for k in range(20))))
     docs[80] = None
     df, b = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     got = rows(find_contamination(df, b, slice_words=slice_words))
     want = contamination(docs, bench)
-    assert {k: tuple(x)[1:6] for k, x in got.items()} == want
+    assert {k: tuple(x)[1:6] + (x.affected,) for k, x in got.items()} == want
+    assert all(want[i][5] and not want[i][4] for i in range(75, 80))
     left = {x.doc_id for x in remove_contaminated(df.withColumn("n_hit", F.lit("mine")), b, slice_words=slice_words).collect()}
-    assert left == {k for k, w in want.items() if not w[4]}
+    assert left == {k for k, w in want.items() if not w[5]}
+
+
+def odd_words(k):
+    """Two different words of 2**k bytes whose polynomial hashes modulo a power of two agree."""
+    a = "a"
+    for _ in range(k):
+        a += a.translate({97: 98, 98: 97})
+    return a, a.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_words_of_like_polynomials(spark, k):
+    """Words, and sequences of two words, made so that polynomial hashes take them for equal."""
+    from tabloom.llm.decontaminate import find_contamination
+    from tabloom.llm.near_dup import link_components
+    from tabloom.llm.substring_dedup import dedup_substrings
+
+    one, two = odd_words(k)
+    x, y = ([{"a": "left", "b": "right"}[z] for z in w] for w in odd_words(6))
+    common = [f"c{i}" for i in range(34)]
+    texts = {1: " ".join([*common, one]), 2: " ".join([*common, two]), 3: " ".join(x), 4: " ".join(y), 5: f"{one} b c d e", 6: f"{two} b c d e"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {i: tuple(r)[1:4] for i, r in rows(dedup_substrings(docs)).items()} == without_repeats(texts)
+    assert_components(rows(link_components(docs)), texts)
+    bench = [(1, " ".join([*common[-12:], two])), (2, " ".join(y[:40]))]
+    got = rows(find_contamination(docs, spark.createDataFrame(bench, "item_id long, text string")))
+    assert {i: tuple(r)[1:6] + (r.affected,) for i, r in got.items()} == contamination(texts, bench)
+
+
+def test_longest_match_across_slices(spark):
+    from tabloom.llm.decontaminate import find_contamination
+
+    item = [f"b{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(["p"] * 4 + item[5:180] + ["q"]))], "doc_id long, text string")
+    for n in (1_000_000, 40, 27):
+        r = find_contamination(docs, spark.createDataFrame([(7, " ".join(item)), (8, "p"), (9, None)], "item_id long, text string"), slice_words=n).collect()[0]
+        assert (r.longest, r.longest_start, r.longest_item, r.n_hit, r.n_items) == (175, 4, "7", 179, 2), n
 
 
 def test_longest_match(spark):
@@ -174,9 +217,9 @@ def test_substring_dedup(spark, sf_dir, docs):
     assert {k: tuple(r)[1:] for k, r in got.items()} == without_repeats(docs)
 
 
-@pytest.mark.parametrize(("window", "segment", "filter_bits"), [(35, 500_000, 1 << 30), (35, 7, 1 << 30), (6, 500_000, 1 << 30), (6, 20, 8), (35, 500_000, 8), (2, 500_000, 1 << 30)])
-def test_substring_dedup_small(spark, window, segment, filter_bits):
-    """Runs, periods, passages at the ends, few different words."""
+@pytest.mark.parametrize(("window", "segment", "filter_bits", "hot"), [(35, 500_000, 1 << 30, 64), (35, 7, 1 << 30, 1), (6, 20, 1 << 30, 3), (6, 20, 8, 64), (35, 500_000, 8, 64), (2, 7, 1 << 30, 2)])
+def test_substring_dedup_small(spark, window, segment, filter_bits, hot):
+    """Runs, periods, passages at the ends, few different words; anchors compared in one step and in two."""
     from tabloom.llm.substring_dedup import dedup_substrings
 
     r = random.Random(window)
@@ -184,7 +227,7 @@ def test_substring_dedup_small(spark, window, segment, filter_bits):
     docs = {i: " ".join(r.choice("abc") for _ in range(r.choice((0, 1, 30, 90)))) for i in range(30)}
     docs |= {40 + i: " ".join([f"l{i}"] * i + passage[i : 40 + i] + [f"r{i}"] * 3) for i in range(12)}
     docs |= {60: "run " * 50, 61: "run " * 35, 62: "run " * 34, 63: "x y " * 60, 64: " ".join(passage), 65: " ".join(passage), 66: None, 67: "é\xa0ü " * 3}
-    got = rows(dedup_substrings(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), window=window, segment=segment, filter_bits=filter_bits))
+    got = rows(dedup_substrings(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), window=window, segment=segment, filter_bits=filter_bits, hot=hot))
     assert {k: tuple(x)[1:4] for k, x in got.items()} == without_repeats(docs, window)
 
 

@@ -72,11 +72,8 @@ def test_base_spans(text):
 def test_contamination(items, docs):
     import pyarrow as pa
 
-    def hashed(words):
-        return c.word_hashes(pa.array([w.encode() for w in words], pa.large_binary())).tobytes()
-
-    windows = decontaminate.Windows([(str(i), hashed(w)) for i, w in enumerate(items)])
-    got = [decontaminate.verdict(h) for h in decontaminate.hits(pa.array([" ".join(d) for d in docs], pa.string()), windows)]
+    benchmark = decontaminate.Items([(str(i), 0, [x.encode() for x in w]) for i, w in enumerate(items)])
+    got = [decontaminate.verdict(**h) for h in decontaminate.hits(pa.array([" ".join(d) for d in docs], pa.string()), benchmark)]
     for d, g in zip(docs, got):
         hit, found = [False] * len(d), set()
         for i, w in enumerate(items):
