@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable
@@ -91,53 +92,25 @@ def flat(lists: list[list[bytes]]) -> tuple[pa.Array, np.ndarray]:
     return pa.array(list(itertools.chain.from_iterable(lists)), pa.large_binary()), counts
 
 
-#: Bytes hashed at a time, the longest word hashed by prefix sums, and the base of the polynomial.
-_BLOCK, _LONG, _BASE = 1 << 20, 4096, 0xD6E8FEB86659FD93
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i < n."""
-    out = np.ones(n, U64)
-    with np.errstate(over="ignore"):
-        out[1:] = U64(base)
-        return np.multiply.accumulate(out)
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """XXH3 of each word, 64 bits; a word that occurs often is hashed once."""
+    coded = words.dictionary_encode()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), U64, len(coded.dictionary))
+    return known[coded.indices.to_numpy()]
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit polynomial hash of the bytes of each word, by prefix sums over whole blocks.
+def sequence_hashes(h: np.ndarray, starts: np.ndarray | None, size: int, salt: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` words from each of ``starts`` on, or from every place (the last ones wrap).
 
-    Words of over 4,096 bytes get another hash, by their length alone, so that equal
-    words have equal hashes wherever they stand.
+    Each place of a sequence has a factor of its own, independent of the others, so
+    sequences that agree as polynomials do not agree here.
     """
-    n = len(words)
-    if not n:
-        return np.zeros(0, U64)
-    _, where, data = words.buffers()
-    at = np.frombuffer(where, np.int64)[words.offset : words.offset + n + 1]
-    raw = np.frombuffer(data, np.uint8)
-    if not _TABLES:
-        _TABLES["up"], _TABLES["down"] = powers(_BASE, _BLOCK + _LONG + 1), powers(pow(_BASE, -1, 1 << 64), _BLOCK + _LONG + 1)
-    up, down = _TABLES["up"], _TABLES["down"]
-    out = np.zeros(n, U64)
-    lengths = np.diff(at)
-    long = np.flatnonzero(lengths > _LONG)
-    first = 0
+    factors = mix(np.arange(size, dtype=U64), salt) | U64(1)
+    out = np.zeros(len(h) if starts is None else len(starts), U64)
     with np.errstate(over="ignore"):
-        while first < n:
-            last = max(first + 1, int(np.searchsorted(at, at[first] + _BLOCK, "right")) - 1)
-            lo, hi = at[first], at[last]
-            if hi - lo <= _BLOCK + _LONG:
-                sums = np.zeros(hi - lo + 1, U64)
-                np.cumsum((raw[lo:hi].astype(U64) + U64(1)) * up[: hi - lo], out=sums[1:])
-                a, b = at[first:last] - lo, at[first + 1 : last + 1] - lo
-                out[first:last] = (sums[b] - sums[a]) * down[a]
-            first = last
-    for i in long:
-        import xxhash
-
-        out[i] = xxhash.xxh3_64_intdigest(raw[at[i] : at[i + 1]].tobytes())
-    return mix(out, 7)
+        for i, f in enumerate(factors):
+            out += (np.roll(h, -i) if starts is None else h[starts + i]) * f
+    return mix(out, salt)
 
 
 def batches(it: Iterable[pa.RecordBatch], text: int, most_chars: int = 6 * CHUNK_WORDS) -> Iterator[pa.RecordBatch]:

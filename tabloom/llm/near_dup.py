@@ -56,18 +56,11 @@ def shingles(h: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np
     n, ends = len(h), np.cumsum(counts)
     doc = np.repeat(np.arange(len(counts)), counts)
     whole = np.arange(n) + size <= ends[doc]
-    x = h.copy()
-    with np.errstate(over="ignore"):
-        for i in range(1, size):
-            x = x * c.U64(0x9E3779B97F4A7C15) + np.roll(h, -i)
-        x, own = c.mix(x[whole], 21), doc[whole]
-        few = np.flatnonzero((counts > 0) & (counts < size))
+    x, own = c.sequence_hashes(h, None, size, 21)[whole], doc[whole]
+    for k in range(1, size):  # short texts: the whole sequence
+        few = np.flatnonzero(counts == k)
         if len(few):
-            extra = np.zeros(len(few), c.U64)
-            for j, d in enumerate(few):
-                for v in h[ends[d] - counts[d] : ends[d]]:
-                    extra[j] = extra[j] * c.U64(0x9E3779B97F4A7C15) + v
-            x, own = np.r_[x, c.mix(extra + counts[few].astype(c.U64), 22)], np.r_[own, few]
+            x, own = np.r_[x, c.sequence_hashes(h, ends[few] - k, k, 40 + k)], np.r_[own, few]
     order = np.argsort(x)
     order = order[np.argsort(own[order].astype(np.uint16 if len(counts) < 1 << 16 else np.int64), kind="stable")]
     x, own = x[order], own[order]

@@ -196,8 +196,7 @@ def _min_hashes(text: str) -> list[int]:
     words, _ = c.flat([tokens(text)])
     h = c.word_hashes(words)
     if len(h) > 4:
-        with np.errstate(over="ignore"):
-            h = h[:-4] + h[1:-3] * c.U64(3) + h[2:-2] * c.U64(5) + h[3:-1] * c.U64(7) + h[4:] * c.U64(11)
+        h = c.sequence_hashes(h, np.arange(len(h) - 4), 5, 60)
     return [int(c.mix(h, k).min().view(np.int64)) if len(h) else 0 for k in (61, 62, 63, 64)]
 
 
