@@ -1,6 +1,6 @@
 """A Bloom filter of 64-bit values that Spark tasks fill part by part.
 
-Its size is bounded by ``most_bits`` whatever the input. A filter that is too full lets
+Its size is bounded by ``most_bits`` (2^20 at the least) whatever the input. A filter that is too full lets
 more values through; who uses it must hold that harmless.
 """
 
@@ -31,7 +31,7 @@ def contains(table: bytes, x: np.ndarray) -> np.ndarray:
 def build(values: DataFrame, most_bits: int = 1 << 30):
     """Broadcast the filter of a DataFrame's one long column (without nulls); 12 to 24 bits a value at first."""
     spark = values.sparkSession
-    bits = 1 << min(max(20, int(12 * values.count()).bit_length()), most_bits.bit_length() - 1)
+    bits = 1 << max(20, min(int(12 * values.count()).bit_length(), most_bits.bit_length() - 1))
 
     def spread(it):
         for b in it:

@@ -9,13 +9,17 @@ symbols; only symbols near their ends may differ, for a neighbour outside may ta
 For each window of words the rounds give the symbols that are certain, whatever stands
 around the window. The longest of them is the window's anchor; equal windows have equal
 anchors at the same place. So two Spark rounds are enough: one counts anchors and finds
-the shared ones, one brings the windows of shared anchors together and compares them by
-anchor and window hash (128 bits).
+the shared ones, one brings the windows of shared anchors together and verifies them. What
+is compared there is the anchor and a BLAKE2b digest of the window's very words, 64 bits
+each, so no trick with words or their order makes different windows look equal.
 
 Scale: both rounds aggregate within a chunk of a task first, so a passage that a third of
-all documents hold is sent once a chunk. Shared anchors come back to the documents as a
-Bloom filter if it needs at most ``filter_bits`` bits, else by a join: each document then
-gets the list of its own shared anchors. What either lets through in vain changes no result.
+all documents hold is sent once a chunk. Anchors of more than ``HOT`` chunks are then
+compared in two steps, first among a part of the chunks, and only what is left of each part
+among all of them; no task gets a row a chunk of one anchor. Shared anchors come back to the
+documents as a Bloom filter if it needs at most ``filter_bits`` bits, else by a join: each
+document then gets the list of its own shared anchors. What either lets through in vain
+changes no result. Only texts that lose words are shuffled, to meet the places of their windows.
 
 Edge cases: null and empty texts have no words and lose none (SHA-256 of the empty text);
 texts shorter than a window keep all words; a null ``doc_id`` is an id like another;
@@ -25,6 +29,7 @@ repeated rows count as occurrences of their windows; an empty table gives an emp
 from __future__ import annotations
 
 import hashlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,8 @@ from . import bloom
 from . import common as c
 
 WINDOW, PAIR_ROUNDS, LONGEST = 35, 8, 16
+#: Occurrences (two a chunk at most) of an anchor whose windows are compared in two steps.
+HOT = 64
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -115,17 +122,20 @@ def anchors(h: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np
     return starts, name, first
 
 
-def window_hashes(h: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """A 64-bit hash of the words of each window."""
-    out = np.zeros(len(starts), c.U64)
-    with np.errstate(over="ignore"):
-        for i in range(window):
-            out = out * c.U64(0xD1342543DE82EF95) + h[starts + i]
-    return c.mix(out, 105)
+def window_digests(words: pa.Array, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """BLAKE2b of the words of each window, 64 bits."""
+    _, where, data = words.buffers()
+    at = np.frombuffer(where, np.int64)[words.offset : words.offset + len(words) + 1]
+    # the words with a space after each, so that their ends are told
+    spaced = np.full(at[-1] - at[0] + len(words), 32, np.uint8)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if len(words) else np.zeros(0, np.uint8)
+    spaced[np.arange(len(raw)) + np.repeat(np.arange(len(words)), np.diff(at))] = raw
+    text, at = spaced.tobytes(), at - at[0] + np.arange(len(at))
+    return np.frombuffer(b"".join([blake2b(text[i:j], digest_size=8).digest() for i, j in zip(at[starts].tolist(), at[starts + window].tolist())]), c.U64)
 
 
 def _chunks(it, window, segment):
-    """Batches with, of a segment each, the row, the place of its first word, the number of words; all word hashes; and what ``anchors`` gives.
+    """Batches with, of a segment each, the row, the place of its first word, the number of words; the words; and what ``anchors`` gives.
 
     A long document is several segments that overlap by a window less one word. Each window
     lies in one of them, and its anchor depends on nothing around it.
@@ -138,8 +148,7 @@ def _chunks(it, window, segment):
 
         def chunk():
             words, counts = c.flat(parts)
-            h = c.word_hashes(words)
-            return b, np.array(rows), np.array(offsets), counts, h, *anchors(h, counts, window)
+            return b, np.array(rows), np.array(offsets), counts, words, *anchors(c.word_hashes(words), counts, window)
 
         for i, text in enumerate(b.column(2).to_pylist()):
             words = text.encode().split() if text else []
@@ -206,9 +215,9 @@ def _ranges(starts: np.ndarray, *same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _window_rows(window, segment, buckets, bits):
+def _window_rows(window, segment, buckets, salts, bits, hot):
     def run(it):
-        for b, row, offset, counts, h, starts, name, first in _chunks(it, window, segment):
+        for b, row, offset, counts, words, starts, name, first in _chunks(it, window, segment):
             if not len(starts):
                 continue
             doc = np.repeat(np.arange(len(counts)), counts)
@@ -216,7 +225,7 @@ def _window_rows(window, segment, buckets, bits):
             starts, name, first = starts[hit], name[hit], first[hit]
             if not len(starts):
                 continue
-            whole = window_hashes(h, starts, window)
+            whole = window_digests(words, starts, window)
             order = np.lexsort((whole, name))
             a, w = name[order], whole[order]
             heads = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1])])
@@ -238,64 +247,94 @@ def _window_rows(window, segment, buckets, bits):
                 d, p, n = d[at], p[at], np.diff(np.r_[at, len(p)])
                 marks = np.stack([ids[d], tags[d], p - begin[d], n]).astype(np.int64)
                 spread = (c.mix(tags[d].astype(np.int64).view(c.U64)) % c.U64(buckets)).astype(np.int64)
-                rows += [(int(k), 1, marks[:, spread == k].tobytes()) for k in np.unique(spread)]
+                rows += [(int(k), -1, 1, marks[:, spread == k].tobytes()) for k in np.unique(spread)]
             p, f, m, s, w = starts[send], first[send], many[send], name[send], whole[send]
             at = _ranges(p, f, s, m, doc[p])
             n = np.diff(np.r_[at, len(p)])
             d = doc[p[at]]
             fixed = np.stack([s[at].view(np.int64), m[at], ids[d], tags[d], p[at] - begin[d], n]).astype(np.int64)
-            bucket = (c.mix(s[at], 9) % c.U64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.r_[True, np.diff(bucket[by]) != 0, True])
-            for i, j in zip(edges[:-1], edges[1:]):
-                own = by[i:j]
-                inside = np.repeat(at[own], n[own]) + _inner(n[own])
-                rows.append((int(bucket[own[0]]), 0, np.int64(len(own)).tobytes() + fixed[:, own].tobytes() + w[inside].tobytes()))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"])
+            inside = [at, n, w]
+            crowded = bloom.contains(hot.value, s[at])
+            part = int(c.mix(tags[:1].astype(np.int64).view(c.U64) + c.U64(offset[0]), 106)[0] % c.U64(salts))
+            for salt, own in ((-1, np.flatnonzero(~crowded)), (part, np.flatnonzero(crowded))):
+                rows += [(k, salt, 0, x) for k, x in _packed(fixed, inside, own, buckets)]
+            yield pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], ["bucket", "salt", "kind", "payload"])
 
     return run
 
 
+def _packed(fixed: np.ndarray, inside, own: np.ndarray, buckets: int):
+    """(bucket, payload) of ranges of windows: what each range has in common, and the digests of their windows."""
+    at, n, w = inside
+    bucket = (c.mix(fixed[0].view(c.U64), 9) % c.U64(buckets)).astype(np.int64)
+    by = own[np.argsort(bucket[own], kind="stable")]
+    edges = np.flatnonzero(np.r_[True, np.diff(bucket[by]) != 0, True]) if len(by) else []
+    for i, j in zip(edges[:-1], edges[1:]):
+        own = by[i:j]
+        x = np.repeat(at[own], n[own]) + _inner(n[own])
+        yield int(bucket[own[0]]), np.int64(len(own)).tobytes() + fixed[:, own].tobytes() + w[x].tobytes()
+
+
 def _inner(n: np.ndarray) -> np.ndarray:
     """0..n0-1, 0..n1-1, ..."""
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """The places of one bucket whose window also starts elsewhere."""
-    fixed, hashes, out = [], [], []
-    for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
-        if kind:
-            out.append(np.frombuffer(payload, np.int64).reshape(4, -1))
-            continue
-        m = int(np.frombuffer(payload, np.int64, 1)[0])
-        fixed.append(np.frombuffer(payload, np.int64, 6 * m, 8).reshape(6, m))
-        hashes.append(np.frombuffer(payload, c.U64, -1, 8 + 48 * m))
-    if fixed:
-        name, many, ids, tags, start, n = np.concatenate(fixed, axis=1)
-        w = np.concatenate(hashes)
-        owner = np.repeat(np.arange(len(n)), n)
-        a, m = name.view(c.U64)[owner], many[owner].astype(bool)
-        order = np.lexsort((w, a))
-        heads = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (w[order][1:] != w[order][:-1])])
-        size = np.diff(np.r_[heads, len(order)])
-        twice = np.repeat((size > 1) | np.logical_or.reduceat(m[order], heads), size)
-        found = np.empty(len(order), bool)
-        found[order] = twice
-        found &= ~m  # those have been marked where they stand
-        p, o = (start[owner] + _inner(n))[found], owner[found]
-        if len(p):
-            at = _ranges(p, o)
-            out.append(np.stack([ids[o[at]], tags[o[at]], p[at], np.diff(np.r_[at, len(p)])]))
-    x = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-    return pa.table([pa.array(v) for v in x], names=["id", "tag", "start", "n"])
-
-
-def _kept(window):
+def _repeated(buckets: int, final: bool):
+    """Of the windows of one bucket, the places of those that also start elsewhere; if others are still to be asked, what to ask them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        fixed, digests, out, left = [], [], [], []
+        ask = not final and table.column("salt")[0].as_py() >= 0
+        for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload").to_pylist()):
+            if kind:
+                out.append(np.frombuffer(payload, np.int64).reshape(4, -1))
+                continue
+            m = int(np.frombuffer(payload, np.int64, 1)[0])
+            fixed.append(np.frombuffer(payload, np.int64, 6 * m, 8).reshape(6, m))
+            digests.append(np.frombuffer(payload, c.U64, -1, 8 + 48 * m))
+        if fixed:
+            name, many, ids, tags, start, n = np.concatenate(fixed, axis=1)
+            w = np.concatenate(digests)
+            owner = np.repeat(np.arange(len(n)), n)
+            a, m, p = name.view(c.U64)[owner], many[owner].astype(bool), start[owner] + _inner(n)
+            order = np.lexsort((w, a))
+            heads = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (w[order][1:] != w[order][:-1])])
+            size = np.diff(np.r_[heads, len(order)])
+            again = (size > 1) | np.logical_or.reduceat(m[order], heads)
+            twice = np.empty(len(order), bool)
+            twice[order] = np.repeat(again, size)
+            found = np.flatnonzero(twice & ~m)  # the others have been marked where they stand
+            if len(found):
+                at = _ranges(p[found], owner[found])
+                o = owner[found][at]
+                out.append(np.stack([ids[o], tags[o], p[found][at], np.diff(np.r_[at, len(found)])]))
+            if ask:  # one of each window; those that are answered already need no place
+                one = np.sort(order[heads])
+                at = _ranges(p[one], owner[one], twice[one])
+                o = owner[one][at]
+                rest = np.stack([name[o], twice[one][at], ids[o], tags[o], p[one][at], np.diff(np.r_[at, len(one)])]).astype(np.int64)
+                left = list(_packed(rest, (at, rest[5], w[one]), np.arange(len(at)), buckets))
+        x = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+        none, many = pa.nulls(len(left), pa.int64()), x.shape[1]
+        marks = [pa.chunked_array([pa.array(v), none]) for v in x]
+        asked = [pa.chunked_array([pa.nulls(many, t), pa.array([r[i] for r in left], t)]) for i, t in ((0, pa.int32()), (1, pa.binary()))]
+        kinds = [pa.chunked_array([pa.nulls(many, pa.int32()), pa.array([v] * len(left), pa.int32())]) for v in (-1, 0)]
+        return pa.table([*marks, asked[0], *kinds, asked[1]], names=["id", "tag", "start", "n", "bucket", "salt", "kind", "payload"])
+
+    return run
+
+
+def _kept(window, known=None):
+    """The answer of texts with the places of their repeated windows; with a filter, of those texts that it does not know, which have none."""
+
     def run(it):
-        for b in c.gathered(it, 1):
+        for b in c.gathered(it, 2):
+            if known is not None:
+                b = b.filter(pa.array(~bloom.contains(known.value, b.column(1).to_numpy())))
             n_words, gone, digests = [], [], []
-            for text, at, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            marks = [b.column(i).to_pylist() for i in (3, 4)] if known is None else [[None] * b.num_rows] * 2
+            for text, at, n in zip(b.column(2).to_pylist(), *marks):
                 words = text.encode().split() if text else []
                 n_words.append(len(words))
                 if at:
@@ -306,12 +345,20 @@ def _kept(window):
                     words = [words[i] for i in np.flatnonzero(keep)]
                 gone.append(n_words[-1] - len(words))
                 digests.append(b" ".join(words))
-            yield pa.record_batch([b.column(0), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in digests]), pa.array([x.decode() for x in digests])], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.record_batch([b.column(0), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in digests], pa.string()), pa.array([x.decode() for x in digests], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    return run
+
+
+def _known(known):
+    def run(it):
+        for b in it:
+            yield b.filter(pa.array(bloom.contains(known.value, b.column(2).to_numpy())))
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = 1 << 30, segment: int = c.CHUNK_WORDS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = 1 << 30, segment: int = c.CHUNK_WORDS, hot: int = HOT) -> DataFrame:
     """Each document without the words of windows that start more than once in the corpus.
 
     Returns doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words joined by
@@ -321,14 +368,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
     rows = own.select("id", "tag", "text")
-    shared = rows.mapInArrow(_anchor_rows(window, segment), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor").checkpoint()
-    buckets = 4 * c.partitions(spark)
+    shared = c.held(rows.mapInArrow(_anchor_rows(window, segment), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"))
+    crowded = bloom.build(shared.where(F.col("n") > hot).select("anchor"), filter_bits)
+    shared = shared.select("anchor")
+    parts = c.partitions(spark)
     if 8 * shared.count() <= filter_bits:
         bits = bloom.build(shared, filter_bits)
     else:
         bits = None
         lists = rows.mapInArrow(_own_anchors(window, segment), "anchor long, id long, tag long").join(shared, "anchor").groupBy("id", "tag").agg(F.collect_set("anchor").alias("shared"))
         rows = rows.join(lists, ["id", "tag"]).select("id", "tag", "text", "shared")
-    found = rows.mapInArrow(_window_rows(window, segment, buckets, bits), "bucket int, kind int, payload binary").groupBy("bucket").applyInArrow(_repeated, "id long, tag long, start long, n long")
-    marks = found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("marks")).select("id", "tag", F.col("marks.start").alias("start"), F.col("marks.n").alias("n"))
-    return own.join(marks, ["id", "tag"], "left").select("doc_id", "text", "start", "n").mapInArrow(_kept(window), RESULT + ", kept_text string")
+    asked = "bucket int, salt int, kind int, payload binary"
+    answer = f"id long, tag long, start long, n long, {asked}"
+    found = c.held(rows.mapInArrow(_window_rows(window, segment, 4 * parts, parts, bits, crowded), asked).groupBy("bucket", "salt").applyInArrow(_repeated(4 * parts, False), answer))
+    rest = found.where("payload is not null").select("bucket", "salt", "kind", "payload").groupBy("bucket").applyInArrow(_repeated(4 * parts, True), answer)
+    marks = found.where("payload is null").unionByName(rest).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    marks = c.held(marks.select("id", "tag", F.col("marks.start").alias("start"), F.col("marks.n").alias("n")))
+    known = bloom.build(marks.select("tag").distinct(), filter_bits)
+    result = RESULT + ", kept_text string"
+    whole = own.select("doc_id", "tag", "text").mapInArrow(_kept(window, known), result)
+    some = own.mapInArrow(_known(known), own.schema).join(marks, ["id", "tag"], "left").select("doc_id", "tag", "text", "start", "n").mapInArrow(_kept(window), result)
+    return whole.unionByName(some)
