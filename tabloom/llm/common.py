@@ -41,15 +41,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """The DataFrame from checkpoint files, without its lineage.
+    """The DataFrame from checkpoint files, without its lineage."""
+    return df.checkpoint()
 
-    Shuffle files of the steps before go once the JVM has collected what refers to them, so
-    it is asked to: else those of all steps of an operator lie on disk side by side.
+
+def freed(spark: SparkSession) -> None:
+    """After a large step: let the files go that only finished steps needed.
+
+    Spark deletes shuffle files when the driver's JVM collects what refers to them, which a
+    driver with little to do may put off for long; checkpoints go with the session's
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
-    out = df.checkpoint()
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bloom
+from . import bloom, spread
 from . import common as c
 from .components import components
 
@@ -123,11 +123,19 @@ def _sketches(percent_size):
     return run
 
 
-def _bands(it):
-    for b in it:
-        if b.num_rows:
-            row, key = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS))
-            yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(b.column(0).to_numpy()[row])], ["key", "id"])
+def _bands(known=None):
+    """The bands of all sketches; with a filter, of those that it knows."""
+
+    def run(it):
+        for b in it:
+            if b.num_rows:
+                row, key = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, BUCKETS))
+                if known is not None:
+                    some = bloom.contains(known.value, key)
+                    row, key = row[some], key[some]
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(b.column(0).to_numpy()[row])], ["key", "id"])
+
+    return run
 
 
 def signatures(regs: np.ndarray) -> np.ndarray:
@@ -318,55 +326,71 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
     parts = c.partitions(spark)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _key(text_col).alias("key"))
     sketch = c.held(own.mapInArrow(_sketches(size), "id long, key long, n long, s1 long, s2 long, regs binary"))
-    cls = c.held(sketch.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"), F.min("id").alias("first"), F.first("regs").alias("regs")))
-    bands = cls.select("rep", "regs").mapInArrow(_bands, "key long, id long")
-    crowd = bands.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    cls = c.held(sketch.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"), F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("regs").alias("regs")))
+    bands = cls.select("rep", "regs")
+    crowd = c.held(bands.mapInArrow(_bands(), "key long, id long").groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1"))
+    # only bands that other classes have too go further
+    bands = bands.mapInArrow(_bands(bloom.build(crowd.select("key"))), "key long, id long")
     signed = cls.select("rep", "n", "regs").mapInArrow(_signed, "id long, n long, sig binary").groupBy("id").agg(F.max("n").alias("n"), F.max("sig").alias("sig"))
     company = F.sum(F.when(F.col("crowd") > SMALL, F.col("crowd"))).over(Window.partitionBy("id"))  # at most a row a band
-    shared = c.held(bands.join(crowd, "key").join(signed, "id").withColumn("company", company))
+    shared = c.held(spread.join(bands, crowd, ["key"], F.col("crowd"), F.col("id")).join(signed, "id").withColumn("company", company))
+    c.freed(spark)
 
     small = shared.where(F.col("crowd") <= SMALL).withColumn("g", F.pmod("key", F.lit(4 * parts)))
     pairs = c.held(small.select("g", "key", "id", "n", "sig").groupBy("g").applyInArrow(_small_pairs(percent), "a long, b long").distinct())
 
     large = shared.where(F.col("crowd") > SMALL)
-    hub = large.groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("id").alias("minus"))).alias("h")).select("key", F.bitwise_not("h.minus").alias("hub"))
-    large = c.held(large.join(hub, "key").drop("company"))
-    star = large.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    hub = large.groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("id").alias("minus"))).alias("h"), F.first("crowd").alias("members"))
+    hub = c.held(hub.select("key", F.bitwise_not("h.minus").alias("hub"), "members"))
+    large = c.held(spread.join(large, hub, ["key"], F.col("members"), F.col("id")).drop("company", "members"))
+    # members meet their hub in parts of some hundreds, each with a copy of the hub's set
+    star = large.where("id <> hub").groupBy("id", "hub").agg(F.max("crowd").alias("crowd")).select("id", "hub", F.pmod(F.xxhash64("id"), F.ceil(F.col("crowd") / F.lit(BLOCK))).alias("part"))
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
     sets = c.held(own.select(F.col("key").alias("id"), "text").mapInArrow(_sets(size, bloom.build(ids)), "id long, regs binary, n long, elements binary").dropDuplicates(["id"]))
+    c.freed(spark)
+
+    def side(k: str) -> DataFrame:
+        return sets.select(F.col("id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("elements").alias(f"x{k}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (sets.select(F.col("id").alias(k), F.col("regs").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("elements").alias(f"x{k}")) for k in "ab")
-        return pairs.join(x, "a").join(y, "b").mapInArrow(_verified(percent, least), "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified(percent, least), "a long, b long")
 
-    links = c.held(verify(star))
+    star = c.held(star.select(F.col("id").alias("a"), F.col("hub").alias("b"), "part"))
+    hubs = star.select("b", "part").distinct().join(side("b"), "b")
+    links = c.held(star.join(side("a"), "a").join(hubs, ["b", "part"]).mapInArrow(_verified(percent, least), "a long, b long"))
     if not large.isEmpty():
-        # classes with one least neighbour are surely connected
-        near = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("o")), F.struct(F.col("b").alias("id"), F.col("a").alias("o")))).alias("e")).groupBy("e.id").agg(F.min("e.o").alias("o"))
-        placed = large.join(near, "id", "left").withColumn("component", F.coalesce(F.least("id", "o"), "id")).drop("o")
+        # a label is a class that is surely connected: the least that the hub is linked with, for all that are linked with the hub
+        least_of = links.groupBy("b").agg(F.least(F.min("a"), F.col("b")).alias("o"))
+        parted = links.join(star, ["a", "b"])
+        heard = parted.join(parted.select("b", "part").distinct().join(least_of, "b"), ["b", "part"]).select(F.col("a").alias("id"), "o")
+        label = c.held(heard.unionByName(least_of.withColumnRenamed("b", "id")).groupBy("id").agg(F.min("o").alias("o")))
+        placed = large.join(label, "id", "left").withColumn("component", F.coalesce("o", "id")).drop("o")
         # a bucket is one cell; one that is too large is a cell for each class of sizes, or several:
         # linked sets lie in one class or in two neighbouring ones
         whole = placed.where(F.col("crowd") <= 4 * BLOCK).withColumns({"g": F.col("key"), "high": F.lit(False)})
         columns = ["g", "key", "id", "component", "n", "high", "sig", "crowd", "hub"]
         cells = whole.select(*columns)
         if not large.where(F.col("crowd") > 4 * BLOCK).isEmpty():
-            rest = placed.where(F.col("crowd") > 4 * BLOCK).withColumn("sizes", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
-            count = rest.groupBy("key", "sizes").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * BLOCK)).alias("blocks"))
-            rest = c.held(rest.join(count, ["key", "sizes"]).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks"))
-            own_cells = rest.select("key", "sizes", "cell").distinct()
-            other = own_cells.select("key", F.col("sizes").alias("sizes2"), F.col("cell").alias("cell2"))
-            met = own_cells.join(other, "key").where("sizes2 = sizes + 1 or sizes2 = sizes and cell <= cell2").withColumn("g", F.xxhash64("key", "sizes", "cell", "sizes2", "cell2"))
-            one = met.select("g", "key", "sizes", "cell", F.lit(False).alias("high"))
-            two = met.where("sizes2 > sizes or cell2 > cell").select("g", "key", F.col("sizes2").alias("sizes"), F.col("cell2").alias("cell"), F.lit(True).alias("high"))
-            cells = cells.unionByName(one.unionByName(two).join(rest, ["key", "sizes", "cell"]).select(*columns))
+            # classes with the hub's label need no look at each other, so no two cells of them meet
+            hubs = hub.where(F.col("members") > 4 * BLOCK).join(label.select(F.col("id").alias("hub"), "o"), "hub", "left").select("key", F.coalesce("o", "hub").alias("home"), "members")
+            rest = spread.join(placed.where(F.col("crowd") > 4 * BLOCK), c.held(hubs), ["key"], F.col("members"), F.col("id"))
+            rest = c.held(rest.withColumns({"sizes": F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"), "out": F.col("component") != F.col("home")}).drop("home", "members"))
+            count = c.held(rest.groupBy("key", "sizes", "out").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.count(F.lit(1)) / F.lit(4 * BLOCK)).alias("blocks")))
+            own_cells = count.select("key", "sizes", "out", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("cell"))
+            other = own_cells.select("key", *[F.col(x).alias(f"{x}2") for x in ("sizes", "out", "cell")])
+            met = own_cells.join(other, "key").where("(out or out2) and (sizes2 = sizes + 1 or sizes2 = sizes and (out < out2 or out = out2 and cell <= cell2))").withColumn("g", F.xxhash64("key", "sizes", "out", "cell", "sizes2", "out2", "cell2"))
+            one = met.select("g", "key", "sizes", "out", "cell", F.lit(False).alias("high"))
+            two = met.where("sizes2 > sizes or out2 <> out or cell2 > cell").select("g", "key", *[F.col(f"{x}2").alias(x) for x in ("sizes", "out", "cell")], F.lit(True).alias("high"))
+            rest = spread.join(rest, count, ["key", "sizes", "out"], F.col("members"), F.col("id")).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks", "members")
+            cells = cells.unionByName(one.unionByName(two).join(rest, ["key", "sizes", "out", "cell"]).select(*columns))
         likely = c.held(cells.groupBy("g").applyInArrow(_cell_pairs(percent), "a long, b long, key long, component long, crowd long, hub long, n long"))
         found = likely.where("key is null").select("a", "b")
         dense = likely.where("key is not null").withColumnRenamed("a", "id")
         # a class lies in a block of the hub of its largest dense bucket; blocks that meet in a bucket are compared
-        home = dense.groupBy("id", "component", "n").agg(F.max(F.struct("crowd", "key", "hub")).alias("h")).select("id", "component", "n", F.col("h.hub").alias("home"))
-        count = home.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_ELEMENTS))).alias("blocks"))
-        home = c.held(home.join(count, "home").select("id", "component", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")))
+        home = c.held(dense.groupBy("id", "component", "n").agg(F.max(F.struct("crowd", "key", "hub")).alias("h")).select("id", "component", "n", F.col("h.hub").alias("home")))
+        count = c.held(home.groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_ELEMENTS))).alias("blocks")))
+        home = c.held(spread.join(home, count, ["home"], F.col("members"), F.col("id")).select("id", "component", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")))
         met = dense.select("key", "id").join(home, "id").select("key", "block").distinct()
         twos = c.held(met.join(met.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct())
         held = twos.select(F.xxhash64("block", "other").alias("g"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
@@ -377,12 +401,15 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
         pairs = pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a", "left").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b", "left")
         pairs = pairs.select("a", "b", F.least("x", "y").alias("block"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.greatest("x", "y")).alias("other"))
         pairs = c.held(pairs.join(twos, ["block", "other"], "left_anti").select("a", "b").unionByName(found).distinct())
+        c.freed(spark)
     comp = components(c.held(links.unionByName(verify(pairs))))
+    c.freed(spark)
 
     comp = c.held(comp.withColumnRenamed("id", "rep").join(cls.select("rep", "first"), "rep"))
-    comp = comp.join(comp.groupBy("component").agg(F.min("first").alias("reached")), "component").select("rep", "reached")
-    cls = cls.select("s1", "s2", "n", "rep", "first").join(comp, "rep", "left").select("s1", "s2", "n", F.coalesce("reached", "first").alias("component"))
-    out = sketch.select("id", "key", "n", "s1", "s2").join(cls, ["s1", "s2", "n"], "left")
+    reached = c.held(comp.groupBy("component").agg(F.min("first").alias("reached"), F.count(F.lit(1)).alias("members")))
+    comp = spread.join(comp, reached, ["component"], F.col("members"), F.col("rep")).select("rep", "reached")
+    cls = c.held(cls.select("s1", "s2", "n", "rep", "first", "copies").join(comp, "rep", "left").select("s1", "s2", "n", F.coalesce("reached", "first").alias("component"), "copies"))
+    out = spread.join(sketch.select("id", "key", "n", "s1", "s2"), cls, ["s1", "s2", "n"], F.col("copies"), F.col("id"), "left")
     found = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("id") == found, found.isNull()).alias("kept"), "key")
 

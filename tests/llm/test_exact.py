@@ -58,9 +58,10 @@ def assert_components(got, docs):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(sets[i]), find(i), find(i) == i), i
 
 
-def test_near_dup_chains_and_large_groups(spark):
-    """Variants that the hub does not link, chains, and a bucket of many blocks."""
-    from tabloom.llm import near_dup
+@pytest.mark.parametrize(("small", "block", "hot"), [(3, 32, 1000), (3, 8, 20), (48, 512, 5)])
+def test_near_dup_chains_and_large_groups(spark, monkeypatch, small, block, hot):
+    """Variants that the hub does not link, chains, a bucket of many blocks and of many cells, keys that are dealt over tasks."""
+    from tabloom.llm import near_dup, spread
 
     r = random.Random(3)
     base = [f"w{i}" for i in range(200)]
@@ -74,12 +75,14 @@ def test_near_dup_chains_and_large_groups(spark):
     for i in range(20):  # a chain: each step changes a part
         docs[200 + i] = " ".join(long[5 * i : 300 + 5 * i])
     docs |= {300: "a b", 301: "A B", 302: "a b c", 303: "", 304: None}
-    small, near_dup.SMALL, block, near_dup.BLOCK = near_dup.SMALL, 3, near_dup.BLOCK, 32
-    try:
-        got = rows(near_dup.link_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string")))
-    finally:
-        near_dup.SMALL, near_dup.BLOCK = small, block
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    monkeypatch.setattr(spread, "HOT_ROWS", hot)
+    seen, join = [], spread.join
+    monkeypatch.setattr(spread, "join", lambda many, one, on, *rest: seen.append(on) or join(many, one, on, *rest))
+    got = rows(near_dup.link_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string")))
     assert_components(got, docs)
+    assert (["key", "sizes", "out"] in seen) == (block == 8)
 
 
 def test_estimate_is_near_the_truth():
