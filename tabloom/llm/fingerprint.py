@@ -21,27 +21,43 @@ from . import common as c
 LEAF, DIGITS = 64, 8
 
 
-def fingerprint(text: Column) -> Column:
-    """The fingerprint of a text without nulls."""
+def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
+    """The DataFrame with the fingerprint of a text column (without nulls) as one more column.
 
-    def paragraph(p: Column) -> Column:
-        leaves = F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{LEAF}}}"), F.lit(0)), F.md5)
-        return F.struct(F.md5(F.concat_ws("", leaves)).alias("digest"), leaves.alias("leaves"))
-
-    sections = F.transform(F.split(text, "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), paragraph))
-    digests = F.transform(sections, lambda s: F.md5(F.concat_ws("", s["digest"])))
-    flat = F.flatten(sections)
+    Each level of the tree is a projection of its own, from the leaves up, so that no
+    node is digested twice.
+    """
+    kept = [F.col(f"`{x}`") for x in df.columns]
+    leaves, paragraphs, sections = (c.fresh(df, x) for x in ("__leaves", "__paragraphs", "__sections"))
 
     def short(d: Column) -> Column:
         return F.substring(d, 1, DIGITS)
 
-    return F.concat_ws(
-        "|",
-        F.md5(F.concat_ws("", digests)),
-        F.concat_ws(" ", F.zip_with(digests, sections, lambda d, s: F.concat(short(d), F.lit("x"), F.size(s).cast("string")))),
-        F.concat_ws(" ", F.transform(flat, lambda p: F.concat(short(p["digest"]), F.lit("x"), F.size(p["leaves"]).cast("string")))),
-        F.concat_ws(" ", F.transform(F.flatten(F.transform(flat, lambda p: p["leaves"])), short)),
-    )
+    def counted(digest: Column, children: Column) -> Column:
+        return F.concat(short(digest), F.lit("x"), F.size(children).cast("string"))
+
+    def leaf(p: Column) -> Column:
+        return F.transform(F.regexp_extract_all(p, F.lit(f"(?s).{{1,{LEAF}}}"), F.lit(0)), F.md5)
+
+    def digest(children: Column) -> Column:
+        return F.md5(F.concat_ws("", children))
+
+    df = df.select(*kept, F.transform(F.split(F.col(text), "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), leaf)).alias(leaves))
+    df = df.select(*kept, leaves, F.transform(leaves, lambda s: F.transform(s, digest)).alias(paragraphs))
+    df = df.select(*kept, leaves, paragraphs, F.transform(paragraphs, digest).alias(sections))
+    parts = [
+        digest(F.col(sections)),
+        F.concat_ws(" ", F.zip_with(sections, paragraphs, counted)),
+        F.concat_ws(" ", F.zip_with(F.flatten(paragraphs), F.flatten(leaves), counted)),
+        F.concat_ws(" ", F.transform(F.flatten(F.flatten(leaves)), short)),
+    ]
+    return df.select(*kept, F.concat_ws("|", *parts).alias(name))
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
+    """The documents with the fingerprint of their text; a null text counts as an empty one."""
+    own = c.fresh(docs, "__text")
+    return with_fingerprint(docs.withColumn(own, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))), own, name).drop(own)
 
 
 def _nodes(fp: Column, level: int) -> Column:
@@ -93,17 +109,18 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = c.prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.lit(-(1 << 63))
-    # both joins take these very columns by these very keys, so the texts are shuffled once
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # both joins take these very columns by these very keys, so texts and fingerprints are shuffled once
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("k"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = with_fingerprint(own, "text", "fingerprint")
     # of each document: which one comes before it, and how many code points that one takes
-    pairs = successors(rows.select("k", "h", (F.length("text") / 4).cast("long").alias("take")), ["k", "h", "take"], c.partitions(spark))
+    pairs = successors(own.select("k", "h", (F.length("text") / 4).cast("long").alias("take")), ["k", "h", "take"], c.partitions(spark))
     before = pairs.select(F.col("next_k").alias("k"), F.col("next_h").alias("h"), F.col("k").alias("to_k"), F.col("h").alias("to_h"), "take")
-    sent = rows.join(before, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.expr("left(text, cast(take as int))").alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    sent = rows.join(before, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.expr("left(text, cast(take as int))").alias("head"), F.col("fingerprint").alias("next_fingerprint"))
     sent = sent.groupBy("k", "h").agg(F.first("head").alias("head"), F.first("next_fingerprint").alias("next_fingerprint"))
     n = F.length("text")
     doc_id = F.when(F.col("k") != none, F.col("k")).cast(docs.schema[id_col].dataType).alias("doc_id")
-    out = rows.join(sent, ["k", "h"]).select(doc_id, n.cast("long").alias("n_chars"), "text", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head")).alias("edited"), "next_fingerprint")
-    out = out.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    out = rows.join(sent, ["k", "h"]).select(doc_id, n.cast("long").alias("n_chars"), F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.col("head")).alias("edited"), "fingerprint", "next_fingerprint")
+    out = with_fingerprint(out, "edited", "edited_fingerprint").select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "next_fingerprint")
     a, b = F.col("fingerprint"), F.col("edited_fingerprint")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(a, b).alias("near_edited"), likeness(a, F.col("next_fingerprint")).alias("near_next"), differing(a, b).alias("edited_paragraphs"))
 
