@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as charrefs
 import math
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -36,15 +37,19 @@ def parse(html: str) -> Node:
     """The element tree of a page; text is kept as it stands, with its character references."""
     root = Node("#root", {}, None)
     open_: list[Node] = [root]
+    where: dict[str, list[int]] = {}  # places of open elements by tag, the innermost last
     at, n = 0, len(html)
 
+    def last(tags: tuple[str, ...]) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
     def close(tags: tuple[str, ...], stop: tuple[str, ...] = ()) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in tags:
-                del open_[i:]
-                return
-            if open_[i].tag in stop:
-                return
+        """Close the innermost open element of these tags, if no element of the others lies in it."""
+        i = last(tags)
+        if i and i >= last(stop):
+            for x in open_[i:]:
+                where[x.tag].pop()
+            del open_[i:]
 
     while at < n:
         m = _MARKUP.search(html, at)
@@ -84,7 +89,7 @@ def parse(html: str) -> Node:
                 close(("p",), ("td", "th", "table", "button"))
             if name in ENDS:
                 close(ENDS[name], SCOPE[name])
-            if name in ("html", "body") and any(x.tag == name for x in open_):
+            if name in ("html", "body") and where.get(name):
                 continue
             if name == "body":
                 close(("head",))
@@ -95,6 +100,7 @@ def parse(html: str) -> Node:
                 node.children.append(html[at : end.start() if end else n])
                 at = n if not end else (html.find(">", end.end()) + 1 or n)
             elif name not in VOID and not (closed and name in ("svg", "path", "math")):
+                where.setdefault(name, []).append(len(open_))
                 open_.append(node)
     if any(isinstance(x, str) and x.strip() for x in root.children):
         # text outside of all elements belongs to the body
@@ -161,7 +167,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
     rows: list[list[float]] = []
     order: list[tuple[int, int]] = []  # first and last character position
     at = 0
-    stack: list[tuple] = [(root, -1, 0, False, 0)]
+    stack: list[tuple] = [(root, -1, 0, False, 0, {})]
     # depth-first without recursion: pages may nest deeply
     while stack:
         item = stack.pop()
@@ -172,7 +178,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
                 for k, v in enumerate(own[i]):
                     own[parents[i]][k] += v
             continue
-        node, unit, depth, linked, place = item
+        node, unit, depth, linked, place, same = item  # same: how many siblings have which tag
         if isinstance(node, str):
             text = charrefs.unescape(node)
             n = len(text.strip())
@@ -197,19 +203,20 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, np.ndarray]:
             own.append([0.0] * 10)
             own[-1][5] = float(node.tag == "p")
             order.append((at, at))
-            same = [x for x in node.parent.children if isinstance(x, Node) and x.tag not in NEVER and x.tag not in VOID]
-            rows.append([depth, place, len(same), sum(x.tag == node.tag for x in same) / max(1, len(same)), place / max(1, len(same) - 1) if len(same) > 1 else 0])
+            k = same[""]
+            rows.append([depth, place, k, same[node.tag] / k, place / (k - 1) if k > 1 else 0])
             unit = node.index
-            stack.append((None, unit, 0, False, 0))
+            stack.append((None, unit))
         elif unit >= 0:
             own[unit][3] += 1
         if unit >= 0:
             own[unit][3] += 1
-        k = len([x for x in node.children if isinstance(x, Node) and x.tag not in NEVER and x.tag not in VOID])
-        for child in reversed(node.children):
-            is_node = isinstance(child, Node) and child.tag not in NEVER and child.tag not in VOID
+        shown = [isinstance(x, Node) and x.tag not in NEVER and x.tag not in VOID for x in node.children]
+        below = Counter(x.tag for x, is_node in zip(node.children, shown) if is_node)
+        k = below[""] = sum(shown)
+        for child, is_node in zip(reversed(node.children), reversed(shown)):
             k -= is_node
-            stack.append((child, unit, depth + 1, linked or node.tag == "a", k))
+            stack.append((child, unit, depth + 1, linked or node.tag == "a", k, below))
     n = len(units)
     if not n:
         return units, np.zeros((0, FEATURES)), np.zeros(0, int)

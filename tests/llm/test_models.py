@@ -5,6 +5,7 @@ import html
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tabloom.llm import queries as q
@@ -187,3 +188,19 @@ def test_decoding_never_keeps_below_a_dropped_element():
 
         best = max((k for k in (np.array([m >> i & 1 for i in range(n)], bool) for m in range(1 << n)) if all(parent[i] < 0 or k[parent[i]] or not k[i] for i in range(n))), key=value) if _ < 3 else kept
         assert value(kept) >= value(best) - 1e-9
+
+
+def test_wide_and_deep_pages_take_time_in_proportion():
+    """A hundred thousand siblings, and as many nested elements that nothing closes, some under an open p."""
+    import time
+
+    from tabloom.llm import dom
+
+    n = 100_000
+    for page, units in ((f"<body>{'<p>word' * n}</body>", n), ("<div>x" * n, n), ("<p><button>" + "<div><i>y" * n, n), ("<td>" + "<tr><b>" * n, n)):
+        began = time.process_time()
+        root = dom.parse(page)
+        found, x, parent = dom.features(root)
+        text = dom.block_text(root, np.ones(len(found), bool))
+        assert len(found) <= units + 5 and len(x) == len(parent) and time.process_time() - began < 30
+        assert len(text.split()) in (0, n)
