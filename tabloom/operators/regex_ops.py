@@ -43,23 +43,46 @@ def widened(pattern: str) -> str:
     return re.sub(r"(?<!\\)((?:\\\\)*)\\d\+", "\\1\0", marked).replace("\0", r"[\d,]+")
 
 
-#: Patterns tried for outputs of certain names, and for any two outputs.
-PAIRS = (r"([\d,]+)\s*[-/:]\s*([\d,]+)", r"([\d,]+)\s+(?:to|and)\s+([\d,]+)", r"([\d,]+)\D+([\d,]+)")
-DMS = r"(\d+)°\s*(\d+)'\s*(\d+(?:\.\d+)?)\"?\s*([NS])\W+(\d+)°\s*(\d+)'\s*(\d+(?:\.\d+)?)\"?\s*([EW])"
-DECIMAL = r"(-?\d+\.\d+)\s*[,;/ ]\s*(-?\d+\.\d+)"
+#: Patterns tried for outputs whose names hold one of these words.
+VOTE_WORDS = ("vote", "yes", "no")
+VOTES = (
+    r"([0-9,]+)[–—-]([0-9,]+)",
+    r"(\d[\d,]*)\s*[–—-]\s*(\d[\d,]*)",
+    r"([0-9,]+)",
+)
+#: Patterns tried first for outputs of which one has one of these names; the first two for eight outputs or more.
+COORDINATE_NAMES = ("lat_deg", "lat_min", "lon_deg", "lon_min", "lat", "lon", "latitude", "longitude")
+DEGREES = (
+    r"(\d+)°(\d+)'(?:(\d+)\")?([NS])\s+(\d+)°(\d+)'(?:(\d+)\")?([EW])",
+    r"(\d+)°(\d+)'(?:(\d+)\")?([NS])\s*/\s*(\d+)°(\d+)'(?:(\d+)\")?([EW])",
+)
+DECIMAL = r"(\d+\.?\d*)°([NS])\s+(\d+\.?\d*)°([EW])"
+#: Patterns tried for any two outputs.
+PAIRS = (
+    r"([0-9,]+)[–—:\-/]\s*([0-9,]+)",
+    r"(\d+)[–—:\-/]\s*(\d+)",
+)
 
 
 def attempts(patterns: list[str], outputs: list[str]) -> list[str]:
     """Patterns in the order in which they are tried: with commas allowed, as they are, then what the outputs' names suggest."""
     low = [o.lower() for o in outputs]
-    out = [w for p in patterns if (w := widened(p)) != p] + list(patterns)
-    if any(x in o for o in low for x in ("vote", "yes", "no")):
-        out += PAIRS
-    if any(x in o for o in low for x in ("lat", "lon", "coord")):
-        out.insert(0, DMS if len(outputs) >= 8 else DECIMAL)
+    first, out = (), [w for p in patterns if (w := widened(p)) != p] + list(patterns)
+    if any(x in o for o in low for x in VOTE_WORDS):
+        out += VOTES
+    if any(o in COORDINATE_NAMES for o in low):
+        first = DEGREES[::-1] if len(outputs) >= 8 else (DECIMAL,)
     if len(outputs) == 2:
         out += PAIRS
-    return [p for p in dict.fromkeys(out) if _fits(p, len(outputs))]
+    return [p for p in dict.fromkeys([*first, *out]) if _fits(p, len(outputs))]
+
+
+def _places(pattern: str, outputs: list[str]) -> list[int | None]:
+    """The group of each output: in order if there are as many, else by name; without one the output is the source itself."""
+    rx = tx.compiled(pattern)
+    if rx.groups == len(outputs) and not rx.groupindex:
+        return list(range(1, rx.groups + 1))
+    return [rx.groupindex.get(o) for o in outputs]
 
 
 def _fits(pattern: str, n: int) -> bool:
@@ -77,9 +100,11 @@ def extract_regex(df: DataFrame, ctx: Context, col=None, pattern=None, patterns=
     - ``patterns`` as dicts of ``regex``, ``out_col``, ``type``, ``default``: one output each;
     - else groups 1.. to ``out_groups``: of the one pattern (``mode="strict"``), or
       (``mode="best"``) of that one of several attempts that most rows match. One
-      aggregate over the data decides that; nothing matched gives the source itself as
-      the first output, and an output that fewer than a tenth of the rows have is filled
-      up from the source.
+      aggregate over the data decides that: the first that over three tenths of all its
+      groups' cells match, else the one with most. Nothing matched gives the source itself
+      as the first output; an output that fewer than a tenth of the rows have is filled up
+      from the source. A pattern with more groups than outputs, or with named ones, gives
+      outputs by name, and an output without a group is the source itself.
     """
     outs, kinds = listed(out_groups), listed(types)
     if isinstance(col, (list, tuple)):
@@ -106,20 +131,20 @@ def extract_regex(df: DataFrame, ctx: Context, col=None, pattern=None, patterns=
         return df.withColumns({o: tx.group(source, several[0], i + 1) for i, o in enumerate(outs)})
     tried = attempts(several, outs)
     # all attempts are measured in one pass over the data
-    cells = [F.sum(sum((F.when(tx.group(source, p, i + 1).isNotNull(), 1).otherwise(0) for i in range(len(outs))), F.lit(0))).alias(f"p{k}") for k, p in enumerate(tried)]
-    filled = [F.count(tx.group(source, p, i + 1)).alias(f"p{k}g{i}") for k, p in enumerate(tried) for i in range(len(outs))]
-    r = df.agg(F.count(F.lit(1)).alias("n"), *cells, *filled).first()
-    n = r["n"] * len(outs)
-    rates = [(r[f"p{k}"] or 0) / n if n else 0.0 for k in range(len(tried))]
+    sizes = [tx.groups(p) for p in tried]
+    filled = [F.count(tx.group(source, p, i + 1)).alias(f"p{k}g{i + 1}") for k, p in enumerate(tried) for i in range(sizes[k])]
+    r = df.agg(F.count(F.lit(1)).alias("n"), *filled).first()
+    rates = [sum(r[f"p{k}g{i + 1}"] for i in range(m)) / (r["n"] * m) if r["n"] and m else 0.0 for k, m in enumerate(sizes)]
     best = next((k for k, x in enumerate(rates) if x > 0.3), None)
     if best is None:
         best = max(range(len(tried)), key=lambda k: rates[k], default=None)
+    whole = q(col).cast("string")
     if best is None or not rates[best]:
-        return df.withColumns({o: q(col).cast("string") if i == 0 else F.lit(None).cast("string") for i, o in enumerate(outs)})
+        return df.withColumns({o: whole if i == 0 else F.lit(None).cast("string") for i, o in enumerate(outs)})
     made = {}
-    for i, o in enumerate(outs):
-        got = tx.group(source, tried[best], i + 1)
-        made[o] = F.coalesce(got, q(col).cast("string")) if r[f"p{best}g{i}"] < 0.1 * r["n"] else got
+    for o, i in zip(outs, _places(tried[best], outs)):
+        got = whole if i is None else tx.group(source, tried[best], i)
+        made[o] = F.coalesce(got, whole) if i is not None and r[f"p{best}g{i}"] < 0.1 * r["n"] else got
     return df.withColumns(made)
 
 

@@ -60,8 +60,22 @@ def test_regex(spark):
     assert got(apply(df, "extract_regex", col="s", pattern=r"(\d+) of (\d+)", out_groups=["a", "b"], mode="best"), "a", "b") == [("1,234", "5"), (None, None), (None, None)]
     assert got(apply(df, "extract_regex", col="s", pattern="(zzz)", out_groups=["a"], mode="best"), "a") == [("1,234 of 5",), ("none",), (None,)]
     assert got(apply(df, "extract_regex", column="s", patterns=[{"regex": r"(\d),", "out_col": "a", "type": "int", "default": 0}]), "a") == [(1,), (0,), (0,)]
-    dms = table(spark, "c string", ("40°26′46″N 79°58′56″W",))
-    assert got(apply(dms, "extract_regex", col="c", pattern="(x)", out_groups=[f"lat{i}" for i in range(8)], mode="best"), "lat0", "lat3", "lat7") == [("40", "N", "W")]
+    dms = table(spark, "c string", ("40°26′46″N 79°58′56″W",), ("1°2'3\"S / 4°5'E",))
+    eight = ["lat_deg", "lat_min", "lat_sec", "lat_dir", "lon_deg", "lon_min", "lon_sec", "lon_dir"]
+    assert got(apply(dms.limit(1), "extract_regex", col="c", pattern="(x)", out_groups=eight, mode="best"), *eight) == [("40", "26", "46", "N", "79", "58", "56", "W")]
+    assert got(apply(dms.offset(1), "extract_regex", col="c", pattern="(x)", out_groups=eight, mode="best"), *eight) == [("1", "2", "3", "S", "4", "5", None, "E")]
+    four = table(spark, "c string", ("40.5°N  79.25°W",), ("none",))
+    assert got(apply(four, "extract_regex", col="c", pattern="(x)", out_groups=["lat", "ns", "lon", "ew"], mode="best"), "lat", "ns", "lon", "ew") == [("40.5", "N", "79.25", "W"), (None,) * 4]
+    # four groups for two outputs: none is told which, so each is the source
+    assert got(apply(four, "extract_regex", col="c", pattern="(x)", out_groups=["lat", "lon"], mode="best"), "lat", "lon") == [("40.5°N  79.25°W",) * 2, ("none",) * 2]
+    # names that only hold such a word are no coordinates
+    assert got(apply(table(spark, "c string", ("1.5, 2.5 A7 B8",)), "extract_regex", col="c", pattern=r"A(\d) B(\d)", out_groups=["plate", "slate"], mode="best"), "plate", "slate") == [("7", "8")]
+    votes = table(spark, "c string", ("46,153 votes",), ("12 votes",))
+    assert got(apply(votes, "extract_regex", col="c", pattern="(x)", out_groups=["votes"], mode="best"), "votes") == [("46,153",), ("12",)]
+    ends = table(spark, "c string", ("46,153–14,747",), ("5 - 7",))
+    assert got(apply(ends, "extract_regex", col="c", pattern="(x)", out_groups=["yes", "no"], mode="best"), "yes", "no") == [("46,153", "14,747"), (None, None)]
+    named = table(spark, "c string", ("a1b2",))
+    assert got(apply(named, "extract_regex", col="c", pattern="(?P<m>[0-9])b(?P<n>[0-9])", out_groups=["n", "z"], mode="best"), "n", "z") == [("2", "a1b2")]
     assert got(apply(df, "parse_pattern", col="s", pattern=r"of (\d)", output_cols=["n", "m"], type_map={"n": "float"}), "n", "m")[0] == (5.0, None)
     assert got(apply(df, "extract_structured_data", col="s", out_cols=["a"], patterns=["of"]), "a") == [(None,)] * 3
     assert apply(df, "extract_structured_data", col="s", out_cols=["a"], patterns=[], ctx=Context("lenient")).columns == df.columns
