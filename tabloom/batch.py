@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import qa
 from .plans import Plan, execute, validate_plan
 from .position import POS
-from .providers import PlanProvider, SqlProvider
+from .providers import CodeProvider, PlanProvider, SqlProvider
 from .sources import load_dataset, read_csv, read_markdown
 from .sources.csv import inferred
 
@@ -52,7 +52,7 @@ def table_summary(rows: list[dict]) -> dict:
     return {"n": len(rows), "exact": exact, "exact_percent": round(100 * exact / len(rows), 1) if rows else 0.0, "mean_f1": round(sum(r["correct"][1] for r in rows) / len(rows), 4) if rows else 0.0}
 
 
-def run_table(spark: SparkSession, entry: dict, folder: str, plans: PlanProvider, sql: SqlProvider, force: bool = False) -> dict:
+def run_table(spark: SparkSession, entry: dict, folder: str, plans: PlanProvider, sql: SqlProvider, force: bool = False, code: CodeProvider | None = None) -> dict:
     """One table: its artefacts in ``folder``, and status and summary."""
     os.makedirs(folder, exist_ok=True)
     rows = None if force else answered(folder)
@@ -71,7 +71,7 @@ def run_table(spark: SparkSession, entry: dict, folder: str, plans: PlanProvider
             if plan is not None and checked.ok:
                 _dump(os.path.join(folder, "plan.json"), Plan.of(plan).json())
                 try:
-                    df, done = execute(raw, plan)
+                    df, done = execute(raw, plan, code=code)
                     report, status = json.loads(done.json()), "success"
                     df.limit(1).collect()
                 except Exception as e:  # the table as it came will do
@@ -90,13 +90,13 @@ def run_table(spark: SparkSession, entry: dict, folder: str, plans: PlanProvider
     return summary
 
 
-def run(spark: SparkSession, dataset_dir: str, out_dir: str, plans: PlanProvider, sql: SqlProvider, workers: int = 5, force: bool = False, first: int = 0, last: int | None = None) -> dict:
+def run(spark: SparkSession, dataset_dir: str, out_dir: str, plans: PlanProvider, sql: SqlProvider, workers: int = 5, force: bool = False, first: int = 0, last: int | None = None, code: CodeProvider | None = None) -> dict:
     """All tables of a folder (or a slice of them): a folder each, and ``pipeline_summary.json``."""
     entries = load_dataset(dataset_dir)[first:last]
 
     def one(entry: dict) -> dict:
         try:
-            return run_table(spark, entry, os.path.join(out_dir, entry["table_id"]), plans, sql, force)
+            return run_table(spark, entry, os.path.join(out_dir, entry["table_id"]), plans, sql, force, code)
         except Exception as e:
             return {"table_id": entry["table_id"], "status": "failed", "error": str(e).splitlines()[0], "n": 0, "exact": 0, "mean_f1": 0.0}
 

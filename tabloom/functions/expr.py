@@ -369,6 +369,21 @@ def condition(df: DataFrame, source: str, precedence: str = "standard") -> Colum
     return _Condition(df, source, precedence).whole()
 
 
+def sought(source: str, columns: Sequence[str] = ()) -> list[str]:
+    """The texts that the ``contains`` of a condition look for; none if it cannot be read."""
+    try:
+        every = tokens(source, columns)
+    except ExpressionError:
+        return []
+    out, wanted = [], False
+    for t in every:
+        if t.kind == "text" and wanted:
+            out.append(t.value)
+        elif t.kind in ("word", "name"):
+            wanted = t.value.lower() == "contains" or (wanted and t.value.lower() == "or")
+    return out
+
+
 _CAST = re.compile(r"(int|float|str)\((.+)\)$", re.S)
 _QUOTED = re.compile(r"'([^']*)'$|\"([^\"]*)\"$")
 

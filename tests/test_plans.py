@@ -50,7 +50,7 @@ def test_exploded_rows(spark):
 def test_failing_steps_are_reported(athletics):
     plan = {"steps": [{"step_id": "a", "op": "no_such", "reads": [], "writes": ["x"], "params": {}}, {"step_id": "b", "op": "cast_column", "reads": [], "writes": [], "params": {"col": "none", "dtype": "int"}}, {"step_id": "c", "op": "custom", "reads": [], "writes": ["x"], "params": {"description": "x", "out_cols": ["x"], "code_hint": "import os"}}]}
     df, report = execute(athletics, plan)
-    assert [s["status"] for s in report.steps] == ["failed", "ok", "ok"] and report.steps[1]["notes"] and report.steps[2]["notes"]
+    assert [s["status"] for s in report.steps] == ["failed", "ok", "issues"] and "x: empty" in report.steps[2]["notes"] and report.steps[1]["notes"] and report.steps[2]["notes"]
     assert df.columns == ["Year", "Venue", "Position", "Best_54_43_m"]  # x is empty and goes
     with pytest.raises((PlanError, ValueError)):
         execute(athletics, plan, mode="strict")
