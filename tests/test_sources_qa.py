@@ -91,6 +91,20 @@ def test_providers(tmp_path):
     assert providers.read_json('```json\n{"a": 1,}\n```') == {"a": 1}
     assert providers.read_json("so: {'x': 1}".replace("'x'", '"x"')) == {"x": 1}
     assert providers.read_json('[{"a": 1}, {"a": 2}]') == [{"a": 1}, {"a": 2}]
+    assert providers.clean_json('{"a": "é"} and {"b": 2}') == '{"a": "é"}'
+    loose = [
+        ("{'a': 'it's', \"b\": [1 2, 3,], c: True}", {"a": "it's", "b": ["1 2", 3], "c": True}),
+        ('{"a": {"b": 1} {"c": 2}', {"a": {"b": 1}, "c": 2}),
+        ('[{"a": 1} {"a": 2}, ]', [{"a": 1}, {"a": 2}]),
+        ('plan:\n{"steps": [{"op": "x"}, {"op": "y"', {"steps": [{"op": "x"}, {"op": "y"}]}),
+        ('{"a": "two\nlines", "b": "q\\"\\u00e9\\d", "c": None, "d": , "e": -1.5e3}', {"a": "two\nlines", "b": 'q"éd', "c": None, "d": None, "e": -1500.0}),
+        ('{"a": "say "hi" to", "b": "x"}', {"a": 'say "hi" to', "b": "x"}),
+        ("[}]:[]", []),
+    ]
+    for text, want in loose:
+        assert providers.read_json(text) == want, text
+    with pytest.raises(ValueError):
+        providers.read_json("no json here")
     assert providers.extract_sql("<reasoning>why</reasoning>```sql\nSELECT a FROM t;\n```") == ("SELECT a FROM t", "why")
     assert providers.extract_sql("WITH x AS (SELECT 1) SELECT * FROM x;")[0].startswith("WITH x")
     assert providers.extract_sql("I think SELECT a FROM t\n\nbecause")[0] == "SELECT a FROM t" and providers.extract_sql("none") == ("", "")
