@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,8 +68,10 @@ def deduplicate_rows(df: DataFrame, ctx: Context, keys=None, keep="first") -> Da
     """One row of those with equal keys (nulls are equal): the first, the last, or none of several (``keep=False``)."""
     own = [c for c in listed(keys) if c in df.columns] or [c for c in df.columns if c != POS]
     if keep is False or keep == "none":
-        w = Window.partitionBy(*[q(c) for c in own])
-        return df.withColumn("__n", F.count(F.lit(1)).over(w)).where("__n = 1").drop("__n")
+        # of a key with one row, the least row is that one; no key's rows meet in one task
+        rest = [c for c in df.columns if c not in own]
+        out = df.groupBy(*[q(c) for c in own]).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(F.lit(0), *[q(c) for c in rest])).alias("__row")).where("__n = 1")
+        return out.select(*[q(c) if c in own else F.col("__row").getField(c).alias(c) for c in df.columns])
     df, had = positioned(df)
     # the wanted position of each key is aggregated on the map side; no key's rows meet in one task
     rest = [c for c in df.columns if c not in own]
