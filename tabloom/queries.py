@@ -151,6 +151,50 @@ def extract_regex_best(spark, read):
     return apply(df, "extract_regex", col="s", pattern=r"(\d+) of (\d+)", out_groups=["first", "second"], mode="best").drop("s")
 
 
+@query("SELECT o_orderkey, format('{:,}', o_custkey * 1000 + o_orderkey % 1000) AS votes FROM orders")
+def extract_regex_votes(spark, read):
+    """One output for votes: the first number, with its commas."""
+    df = read("orders").select("o_orderkey", F.concat(F.format_number(F.col("o_custkey") * 1000 + F.col("o_orderkey") % 1000, 0), F.lit(" votes")).alias("s"))
+    return apply(df, "extract_regex", col="s", pattern="(none of this)", out_groups=["votes"], mode="best").drop("s")
+
+
+@query("SELECT o_orderkey, format('{:,}', o_custkey * 1000) AS yes, o_orderkey::VARCHAR AS no FROM orders")
+def extract_regex_vote_pairs(spark, read):
+    df = read("orders").select("o_orderkey", F.concat(F.format_number(F.col("o_custkey") * 1000, 0), F.lit("\u2013"), "o_orderkey").alias("s"))
+    return apply(df, "extract_regex", col="s", pattern="(none of this)", out_groups=["yes", "no"], mode="best").drop("s")
+
+
+_DEGREES = "SELECT c_custkey, (c_custkey % 90)::VARCHAR AS lat_deg, (c_custkey % 60)::VARCHAR AS lat_min, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey % 59)::VARCHAR END AS lat_sec, CASE WHEN c_custkey % 2 = 0 THEN 'N' ELSE 'S' END AS lat_dir, (c_custkey % 180)::VARCHAR AS lon_deg, (c_custkey % 58)::VARCHAR AS lon_min, (c_custkey % 57)::VARCHAR AS lon_sec, 'W' AS lon_dir FROM customer"
+
+
+def _coordinates(read, between: str):
+    k = F.col("c_custkey")
+    seconds = F.when(k % 3 > 0, F.concat(k % 59, F.lit("\u2033"))).otherwise("")
+    shown = F.concat(k % 90, F.lit("\u00b0"), k % 60, F.lit("\u2032"), seconds, F.when(k % 2 == 0, "N").otherwise("S"), F.lit(between), k % 180, F.lit("\u00b0"), k % 58, F.lit("'"), k % 57, F.lit('"W'))
+    names = ["lat_deg", "lat_min", "lat_sec", "lat_dir", "lon_deg", "lon_min", "lon_sec", "lon_dir"]
+    return apply(read("customer").select("c_custkey", shown.alias("s")), "extract_regex", col="s", pattern="(none of this)", out_groups=names, mode="best").drop("s")
+
+
+@query(_DEGREES)
+def extract_regex_degrees(spark, read):
+    """Eight outputs: degrees, minutes, seconds (where there are any) and directions."""
+    return _coordinates(read, " ")
+
+
+@query(_DEGREES)
+def extract_regex_degrees_slash(spark, read):
+    return _coordinates(read, " / ")
+
+
+@query("SELECT c_custkey, (c_custkey % 90) || '.5' AS lat, 'S' AS ns, (c_custkey % 180)::VARCHAR AS lon, 'E' AS ew, (c_custkey % 90) || '.5\u00b0S ' || (c_custkey % 180) || '\u00b0E' AS latitude FROM customer")
+def extract_regex_decimal_degrees(spark, read):
+    """Four outputs take the four groups; fewer cannot tell which, and get the source."""
+    k = F.col("c_custkey")
+    df = read("customer").select("c_custkey", F.concat(k % 90, F.lit(".5\u00b0S "), k % 180, F.lit("\u00b0E")).alias("s"))
+    df = apply(df, "extract_regex", col="s", pattern="(none of this)", out_groups=["lat", "ns", "lon", "ew"], mode="best")
+    return apply(df, "extract_regex", col="s", pattern="(none of this)", out_groups=["latitude"], mode="best").drop("s")
+
+
 @query("SELECT c_custkey, nullif(regexp_extract(c_name, '(\\w+)#0*(\\d+)', 1), '') AS kind, regexp_extract(c_name, '(\\w+)#0*(\\d+)', 2)::BIGINT AS num, nullif(regexp_extract(c_name, '#(\\d+)', 1), '') AS digits, regexp_extract(c_name, '(\\d)$', 1) AS last, regexp_matches(c_name, '(7)$') AS seven FROM customer")
 def parse_pattern_structured_flag(spark, read):
     df = read("customer").select("c_custkey", "c_name")
@@ -195,6 +239,12 @@ def bin_numeric(spark, read):
     return apply(read("part").select("p_partkey", "p_size"), "bin_numeric", col="p_size", bins=[1, 10, 30, 40], labels=["small", "mid", "large"], out="bin").drop("p_size")
 
 
+@query("WITH r AS (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part) SELECT p_partkey, 'b' || (CASE WHEN p_retailprice <= lo THEN 0 ELSE least(ceil((p_retailprice - lo) / ((hi - lo) / 4)) - 1, 3) END)::INT AS bin FROM part, r")
+def bin_numeric_equal_width(spark, read):
+    """As many bins of equal width as are asked for, between the least and the greatest value."""
+    return apply(read("part").select("p_partkey", "p_retailprice"), "bin_numeric", col="p_retailprice", bins=4, labels=["b0", "b1", "b2", "b3"], out="bin").drop("p_retailprice")
+
+
 @query("SELECT o_orderkey, o_orderstatus = 'F' AS s_F, o_orderstatus = 'O' AS s_O, o_orderstatus = 'P' AS s_P FROM orders")
 def one_hot(spark, read):
     df = apply(read("orders").select("o_orderkey", "o_orderstatus"), "one_hot", col="o_orderstatus", prefix="s")
@@ -215,19 +265,23 @@ def parse_date_text(spark, read):
     return apply(df, "parse_date_text", col="s", formats=["%B %d, %Y"], out_date="d", out_parts=["year", "month", "day", "day_of_week"]).drop("s")
 
 
-@query("SELECT o_orderkey, make_timestamp(1990, month(o_orderdate), day(o_orderdate), 0, 0, 0.0) AS d FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)")
-def parse_date_default_year(spark, read):
-    df = read("orders").where("not (month(o_orderdate) = 2 and day(o_orderdate) = 29)").select("o_orderkey", F.date_format("o_orderdate", "MMMM d").alias("s"))
-    return apply(df, "parse_date_text", col="s", out_date="d", default_year=1990).drop("s")
-
-
 @query("SELECT o_orderkey, CASE WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN NULL ELSE make_timestamp(1990, month(o_orderdate), day(o_orderdate), 0, 0, 0.0) END AS d FROM orders")
-def parse_date_default_year_all(spark, read):
+def parse_date_default_year(spark, read):
     """All orders; a day that the default year lacks is null."""
     df = read("orders").select("o_orderkey", F.date_format("o_orderdate", "MMMM d").alias("s"))
     return apply(df, "parse_date_text", col="s", out_date="d", default_year=1990).drop("s")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN NULL WHEN o_orderkey % 2 = 0 THEN make_timestamp(CASE WHEN o_orderkey % 4 = 0 THEN 1955 ELSE 1990 END, month(o_orderdate), day(o_orderdate), 0, 0, 0.0) WHEN month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN NULL ELSE make_timestamp(1990, month(o_orderdate), day(o_orderdate), 0, 0, 0.0) END AS d FROM orders")
+def parse_date_infer_year(spark, read):
+    """Dates without a year take the year of another text of their row, else the commonest of their column."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    day = F.date_format(d, "MMMM d")
+    own = F.when(k % 2 == 0, day).when(day == "February 29", "none").otherwise(F.concat(day, F.lit(", 1990")))
+    df = read("orders").select("o_orderkey", own.alias("s"), F.when(k % 4 == 0, "season of 1955").alias("note"))
+    return apply(df, "parse_date_text", col="s", out_date="d", infer_year=True).drop("s", "note")
+
+
 @query("SELECT o_orderkey, unnest(CASE o_orderkey % 4 WHEN 0 THEN [year(o_orderdate)::VARCHAR, (year(o_orderdate) // 100 * 100 + (year(o_orderdate) + 1) % 100)::VARCHAR] WHEN 2 THEN [year(o_orderdate)::VARCHAR, (year(o_orderdate) + 1)::VARCHAR] ELSE [year(o_orderdate)::VARCHAR] END) AS season FROM orders")
 def expand_year_range(spark, read):
     y = F.year("o_orderdate")
@@ -248,6 +302,14 @@ def derive_conditional(spark, read):
     return apply(df, "derive_conditional", out="open_value", cases=[{"if": "o_orderstatus in ['O', 'P']", "then": "o_totalprice"}], default=0).select("o_orderkey", "c", "open_value")
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'blank' WHEN contains(p_name, 'ring') THEN 'ring' ELSE 'other' END AS c FROM part")
+def derive_conditional_forms(spark, read):
+    """Cases in the words of plans: emptiness, and tests as of a data frame's text column."""
+    df = read("part").select("p_partkey", F.when(F.col("p_partkey") % 4 != 0, F.col("p_name")).otherwise(" ").alias("label"))
+    cases = [{"if": "label.str.contains('ring', na=False)", "then": "ring"}, {"if": "label is empty", "then": "blank"}]
+    return apply(df, "derive_conditional", out="c", conditions=cases, default="other").drop("label")
+
+
 @query("SELECT o_orderkey, (o_orderstatus = 'F' AND (o_totalprice > 100000 OR o_custkey < 50)) AS f FROM orders")
 def condition_or_first(spark, read):
     """The precedence in which ``or`` binds tighter than ``and``."""
@@ -387,10 +449,14 @@ def profile(spark, read):
     return stats_table(read("orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus")))
 
 
-@query("SELECT * FROM (VALUES ('dates', true), ('keys', false)) t(name, year)")
+@query("SELECT name, avg(regexp_matches(v, '\\b(19|20)\\d{2}\\b')::INT) >= 0.3 AS year FROM (SELECT 'dates' AS name, strftime(o_orderdate, '%B %-d, %Y') AS v FROM orders UNION ALL SELECT 'keys', '#' || o_orderkey FROM orders UNION ALL SELECT 'prices', 'EUR ' || floor(o_totalprice / 100)::BIGINT FROM orders UNION ALL SELECT 'some', CASE WHEN o_orderkey % 10 < 3 THEN 'in ' || year(o_orderdate) ELSE 'none' END FROM orders) GROUP BY name")
 def has_year_share(spark, read):
-    df = read("orders").select(F.date_format("o_orderdate", "MMMM d, yyyy").alias("dates"), F.concat(F.lit("#"), F.col("o_orderkey") % 100).alias("keys"))
-    return spark.createDataFrame(sorted(has_year(df, ["dates", "keys"]).items()), "name string, year boolean")
+    """Columns that mostly, hardly ever and now and then hold a year."""
+    k = F.col("o_orderkey")
+    df = read("orders").select(
+        F.date_format("o_orderdate", "MMMM d, yyyy").alias("dates"), F.concat(F.lit("#"), k).alias("keys"), F.concat(F.lit("EUR "), F.floor(F.col("o_totalprice") / 100)).alias("prices"), F.when(k % 10 < 3, F.concat(F.lit("in "), F.year("o_orderdate"))).otherwise("none").alias("some")
+    )
+    return spark.createDataFrame(sorted(has_year(df, df.columns).items()), "name string, year boolean")
 
 
 @query(
@@ -405,21 +471,6 @@ def issues_of_questions(spark, read):
     return issues(df).select("issue_id", "description", F.size("cols").alias("n_cols"), F.size("blocking_questions").alias("n_questions"), F.col("blocking_questions")[0].alias("first_question"))
 
 
-@query(
-    "WITH p AS (SELECT doc_id, regexp_replace(lower(substring(text, 1, 40)), '[^a-z ]', ' ', 'g') AS a, regexp_replace(lower(substring(text, 21, 40)), '[^a-z ]', ' ', 'g') AS b FROM documents WHERE lang = 'en'),"
-    " s AS (SELECT doc_id, a, b, list_distinct(list_filter(string_split_regex(a, ' +'), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split_regex(b, ' +'), lambda x: x <> '')) AS y FROM p)"
-    " SELECT doc_id, round(CASE WHEN trim(regexp_replace(a, ' +', ' ', 'g')) = trim(regexp_replace(b, ' +', ' ', 'g')) THEN 1.0 WHEN len(list_intersect(x, y)) = 0 THEN 0.0 ELSE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END, 9)::DOUBLE AS f1 FROM s"
-    " WHERE NOT regexp_matches(a || ' ' || b, '(^| )(i|ii|iii|iv|v|vi|x|ix|yes|no|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)( |$)')"
-)
-def score_token_f1(spark, read):
-    def part(start):
-        return F.regexp_replace(F.lower(F.substring("text", start, 40)), "[^a-z ]", " ")
-
-    df = read("documents").where("lang = 'en'").select("doc_id", part(1).alias("a"), part(21).alias("b"))
-    df = df.where(~F.concat("a", F.lit(" "), "b").rlike(r"(^| )(i|ii|iii|iv|v|vi|x|ix|yes|no|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec)( |$)"))
-    return df.select("doc_id", F.round(sc.token_f1(F.col("a"), F.col("b")), 9).alias("f1"))
-
-
 #: The words that scores take for others, as a map in DuckDB.
 _SAME_WORDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in {**sc.SHORT_MONTHS, **sc.ORDINALS, **sc.ROMANS, **sc.TRUTH}.items()) + "}"
 
@@ -435,7 +486,7 @@ _SAME_WORDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in {**sc.SHORT_MONTHS
     " p AS (SELECT x.doc_id, x.t, y.t AS u, x.v, y.v AS z, len(x.s) + len(y.s) AS n, len(list_intersect(x.s, y.s)) AS common FROM b x LEFT JOIN b y ON y.doc_id = x.doc_id + 1)"
     " SELECT doc_id, round(CASE WHEN t IS NULL OR u IS NULL THEN NULL WHEN t = u THEN 1.0 WHEN abs(v - z) < 0.01 THEN 1.0 WHEN common = 0 THEN 0.0 ELSE 2.0 * common / n END, 9)::DOUBLE AS f1 FROM p"
 )
-def score_token_f1_documents(spark, read):
+def score_token_f1(spark, read):
     """Every document's whole text against the whole text of the next one; the last has none, and no score."""
     d = read("documents").select("doc_id", sc.forms(F.col("text")).alias("form"))
     # each text meets two others but is normalised once, so its form goes to both instead of into a join
@@ -445,11 +496,31 @@ def score_token_f1_documents(spark, read):
     return pairs.select("doc_id", F.round(sc.forms_f1(F.col("own"), F.col("other")), 9).alias("f1"))
 
 
-@query("SELECT n_nationkey, true AS exact_match, 1.0::DOUBLE AS f1 FROM nation")
+@query(
+    "WITH a AS (SELECT o_orderkey, lower(monthname(o_orderdate)) AS m, day(o_orderdate) AS d, year(o_orderdate) AS y, o_orderkey % 6 AS k, o_custkey AS c FROM orders)"
+    " SELECT o_orderkey, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN c % 2 = 0 WHEN 4 THEN true ELSE false END AS exact_match,"
+    " CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 WHEN 2 THEN 1.0 WHEN 3 THEN CASE WHEN c % 2 = 0 THEN 1.0 ELSE 0.0 END WHEN 4 THEN 1.0 ELSE 0.5 END::DOUBLE AS f1 FROM a"
+)
 def score_exact(spark, read):
-    """The same answer in other words."""
-    df = read("nation").select("n_nationkey", F.concat(F.lit("The answer is '"), F.initcap("n_name"), F.lit("; "), "n_regionkey", F.lit(".0'")).alias("predicted"), F.array("n_name", F.col("n_regionkey").cast("string")).alias("targets"))
-    return sc.score_table(df).select("n_nationkey", "exact_match", "f1")
+    """Answers in other words: dates, numbers that are near, several targets, yes and no, holding all targets, half of the words."""
+    o, k, c, d = read("orders"), F.col("o_orderkey") % 6, F.col("o_custkey"), F.col("o_orderdate")
+    said = (
+        F.when(k == 0, F.concat(F.lit("Answer: '"), F.date_format(d, "yyyy-MM-dd"), F.lit("'")))
+        .when(k == 1, F.concat(c, F.lit(".004")))
+        .when(k == 2, F.concat(F.lit("The answer is red; "), F.format_number(c, 1)))
+        .when(k == 3, "yes")
+        .when(k == 4, F.concat(F.lit("both "), c, F.lit(" and the 1st")))
+        .otherwise("red cat")
+    )
+    targets = (
+        F.when(k == 0, F.array(F.date_format(d, "d MMM yyyy")))
+        .when(k == 1, F.array(F.concat(c, F.lit(".0"))))
+        .when(k == 2, F.array(F.lit("red"), c.cast("string")))
+        .when(k == 3, F.array(F.when(c % 2 == 0, "True").otherwise("No")))
+        .when(k == 4, F.array(F.lit("First"), c.cast("string")))
+        .otherwise(F.array(F.lit("blue dog"), F.lit("red dog")))
+    )
+    return sc.score_table(o.select("o_orderkey", said.alias("predicted"), targets.alias("targets"))).select("o_orderkey", "exact_match", "f1")
 
 
 @query("WITH q AS (SELECT o_orderkey, o_orderstatus = 'F' AS e, CASE WHEN o_orderstatus = 'F' THEN 1.0 WHEN o_orderstatus = 'O' THEN 0.5 ELSE 0.0 END AS f, o_orderpriority AS p FROM orders) SELECT p AS table_id, count(*) AS n, count(*) FILTER (e) AS exact, round(100 * avg(e::INT), 1) AS exact_percent, round(avg(f), 4) AS mean_f1 FROM q GROUP BY p")
