@@ -52,8 +52,12 @@ def table_summary(rows: list[dict]) -> dict:
     return {"n": len(rows), "exact": exact, "exact_percent": round(100 * exact / len(rows), 1) if rows else 0.0, "mean_f1": round(sum(r["correct"][1] for r in rows) / len(rows), 4) if rows else 0.0}
 
 
-def run_table(spark: SparkSession, entry: dict, folder: str, plans: PlanProvider, sql: SqlProvider, force: bool = False, code: CodeProvider | None = None) -> dict:
-    """One table: its artefacts in ``folder``, and status and summary."""
+def run_table(spark: SparkSession, entry: dict, folder: str, plans: PlanProvider, sql: SqlProvider, force: bool = False, code: CodeProvider | None = None, tables: str | None = None) -> dict:
+    """One table: its artefacts in ``folder``, and status and summary.
+
+    ``folder`` is the driver's; ``tables``: where Spark writes the final table, a folder that
+    all executors see (needed on a cluster whose machines do not share ``folder``).
+    """
     os.makedirs(folder, exist_ok=True)
     rows = None if force else answered(folder)
     status, report = "cached", None
@@ -79,7 +83,7 @@ def run_table(spark: SparkSession, entry: dict, folder: str, plans: PlanProvider
             else:
                 status = "invalid_plan"
         df = df.cache()
-        df.write.mode("overwrite").parquet(os.path.join(folder, "final"))
+        df.write.mode("overwrite").parquet(f"{(tables or folder).rstrip('/')}/final")
         rows = qa.answer_batch(df, entry["table_id"], entry["questions"], sql)
         df.unpersist()
         _dump(os.path.join(folder, "questions.json"), entry["questions"])
@@ -90,20 +94,20 @@ def run_table(spark: SparkSession, entry: dict, folder: str, plans: PlanProvider
     return summary
 
 
-def run(spark: SparkSession, dataset_dir: str, out_dir: str, plans: PlanProvider, sql: SqlProvider, workers: int = 5, force: bool = False, first: int = 0, last: int | None = None, code: CodeProvider | None = None) -> dict:
-    """All tables of a folder (or a slice of them): a folder each, and ``pipeline_summary.json``."""
+def run(spark: SparkSession, dataset_dir: str, out_dir: str, plans: PlanProvider, sql: SqlProvider, workers: int = 5, force: bool = False, first: int = 0, last: int | None = None, code: CodeProvider | None = None, tables: str | None = None) -> dict:
+    """All tables of a folder (or a slice of them): a folder each, and ``pipeline_summary.json``. ``tables``: as in run_table, for all of them."""
     entries = load_dataset(dataset_dir)[first:last]
 
     def one(entry: dict) -> dict:
         try:
-            return run_table(spark, entry, os.path.join(out_dir, entry["table_id"]), plans, sql, force, code)
+            return run_table(spark, entry, os.path.join(out_dir, entry["table_id"]), plans, sql, force, code, tables and f"{tables.rstrip('/')}/{entry['table_id']}")
         except Exception as e:
             return {"table_id": entry["table_id"], "status": "failed", "error": str(e).splitlines()[0], "n": 0, "exact": 0, "mean_f1": 0.0}
 
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        tables = list(pool.map(one, entries))
-    n = sum(t["n"] for t in tables)
-    total = {"tables": len(tables), "questions": n, "exact": sum(t["exact"] for t in tables), "exact_percent": round(100 * sum(t["exact"] for t in tables) / n, 1) if n else 0.0, "mean_f1": round(sum(t["mean_f1"] * t["n"] for t in tables) / n, 4) if n else 0.0, "by_table": tables}
+        done = list(pool.map(one, entries))
+    n = sum(t["n"] for t in done)
+    total = {"tables": len(done), "questions": n, "exact": sum(t["exact"] for t in done), "exact_percent": round(100 * sum(t["exact"] for t in done) / n, 1) if n else 0.0, "mean_f1": round(sum(t["mean_f1"] * t["n"] for t in done) / n, 4) if n else 0.0, "by_table": done}
     os.makedirs(out_dir, exist_ok=True)
     _dump(os.path.join(out_dir, "pipeline_summary.json"), total)
     return total

@@ -215,7 +215,8 @@ def report_outputs(done: list[tuple[Step, dict, DataFrame]], last: DataFrame, ne
         final += [(row, w) for w in stay]
         for w, found in looked_at(df, [w for w in own if w not in stay]).items():
             note(row, w, found)
-        moved |= get(step.op).kind == "rows" or step.op in FEWER_ROWS
+        # a replacement may do anything to the rows
+        moved |= row["status"] == "replaced" or get(step.op) is None or get(step.op).kind == "rows" or get(step.op).name in FEWER_ROWS
         later |= set(step.writes)
     found = looked_at(last, list(dict.fromkeys([*new, *(w for _, w in final)])))
     for row, w in final:

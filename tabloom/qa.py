@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import names
-from .position import POS, q
+from .position import POS, q, with_position
 
 NO_SQL = "No valid SQL"
 
@@ -65,11 +65,12 @@ def answer(df: DataFrame, table: str, sql: str | None) -> tuple[str, str | None]
 def column_descriptions(df: DataFrame, samples: int = 3) -> str:
     """Name, type and first distinct values of each column."""
     lines = []
+    df = with_position(df)
     for f in df.schema.fields:
         if f.name == POS:
             continue
         kind = "INTEGER" if isinstance(f.dataType, (T.IntegralType, T.BooleanType)) else "REAL" if isinstance(f.dataType, T.NumericType) else "TEXT"
-        some = [r[0] for r in df.where(q(f.name).isNotNull()).select(q(f.name)).distinct().limit(samples).collect()]
+        some = [r[0] for r in df.where(q(f.name).isNotNull()).groupBy(q(f.name)).agg(F.min(POS).alias("__first")).orderBy("__first").limit(samples).collect()]
         lines.append(f"- {f.name} ({kind}): {', '.join(map(str, some))}")
     return "\n".join(lines)
 
@@ -83,15 +84,19 @@ def prompt_material(df: DataFrame, table: str, rows: int = 50) -> dict[str, str]
 
 def answer_batch(df: DataFrame, table: str, questions: list[dict], provider, tries: int = 3) -> list[dict]:
     """Answers to questions (qid, text, ground_truth), with scores; an empty statement is asked for again."""
-    from .functions.score import score
+    from .functions.score import score_table
 
-    out = []
+    asked = []
     for one in questions:
         sql = next((s for s in (provider.sql(names.table_name(table), df, one["text"]) for _ in range(tries)) if s), "")
-        predicted, error = answer(df, table, sql)
-        em, f1 = score(df.sparkSession, predicted, one["ground_truth"])
-        out.append({"qid": one["qid"], "question": one["text"], "predicted": predicted, "targets": one["ground_truth"], "correct": [em, f1], "sql": sql, "failure_reason": error or "", "reasoning": ""})
-    return out
+        asked.append((one, sql, *answer(df, table, sql)))
+    # all answers are scored in one job
+    said = [(i, predicted, [str(t) for t in one["ground_truth"]]) for i, (one, _, predicted, _) in enumerate(asked)]
+    scored = {r.i: [r.exact_match, r.f1] for r in score_table(df.sparkSession.createDataFrame(said, "i long, predicted string, targets array<string>")).select("i", "exact_match", "f1").collect()} if said else {}
+    return [
+        {"qid": one["qid"], "question": one["text"], "predicted": predicted, "targets": one["ground_truth"], "correct": scored[i], "sql": sql, "failure_reason": error or "", "reasoning": ""}
+        for i, (one, sql, predicted, error) in enumerate(asked)
+    ]
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +40,13 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: below ``spark.checkpoint.dir``, or a temporary one if the session is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
+    return tempfile.mkdtemp(prefix="scratch-")

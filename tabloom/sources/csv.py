@@ -9,18 +9,27 @@ from pyspark.sql import types as T
 from ..functions import names
 from ..functions import text as tx
 from ..position import POS, q, with_position
+from ..session import plan_bytes
 
 #: Texts that mean a missing value.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def read_csv(spark: SparkSession, path: str, infer: bool = True, positions: bool = True, **options) -> DataFrame:
+#: Bytes of input up to which files are read whole, so that cells may hold line breaks.
+SPLIT_BYTES = 256 << 20
+
+
+def read_csv(spark: SparkSession, path: str, infer: bool = True, positions: bool = True, whole_files: bool | None = None, **options) -> DataFrame:
     """A CSV file (or folder) with a header. Broken lines are dropped; columns get unique names.
 
-    All is read as text, missing words become null, and ``infer`` then gives columns
+    Cells may hold line breaks only if files are read whole, a task each (``whole_files``);
+    otherwise Spark splits them. Unless that is told, files of up to ``SPLIT_BYTES`` in all
+    are read whole and larger ones are not. All is read as text, missing words become null, and ``infer`` then gives columns
     of whole numbers, numbers or truth values their type, by one aggregate.
     """
-    how = {"multiLine": True, "escape": '"', "mode": "DROPMALFORMED", "inferSchema": False, **options}
+    if whole_files is None:
+        whole_files = plan_bytes(spark.read.text(path)) <= SPLIT_BYTES
+    how = {"multiLine": whole_files, "escape": '"', "mode": "DROPMALFORMED", "inferSchema": False, **options}
     # Spark renames columns that differ in case only; the first line has their own names
     first = spark.read.options(**how).csv(path).first()
     df = spark.read.options(header=True, **how).csv(path)
