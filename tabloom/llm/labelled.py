@@ -15,8 +15,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
     """(doc_id, text, label) of at most ``most`` documents of either label that are not held out.
 
     Which ones follows from a hash of the id. A document labelled more than once has its
-    greatest label; rows without id or label are left out. The sample is bounded, so
-    it is broadcast to the documents.
+    greatest label, and of texts that share a doc_id the least counts; rows without id or
+    label are left out. The picked ids are bounded, so they are broadcast to the documents,
+    and one text an id comes back, so what comes back is bounded too.
     """
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     own = own.groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
@@ -25,4 +26,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, id_
         part = own.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(picked), "doc_id")
+    return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

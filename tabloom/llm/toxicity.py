@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
 Voters are small lexicons (insults written down here, words and stems mined from the
-training labels, dealt out over several voters) and patterns (several hits, dense hits,
-hits near "you", no hit at all). A generative model says how often each voter fires on
+training labels, and stems that tell only where two words have them, dealt out over several
+voters) and patterns (several hits, dense hits, hits near "you", no hit at all). A generative model says how often each voter fires on
 toxic and on clean texts; expectation maximisation estimates that from the vote patterns
 of all documents, the training label being one more voter where there is one. Voters that
 fire together more than the model explains share their weight, by their estimated
@@ -35,6 +35,8 @@ from .labelled import held_out, training_rows
 
 #: Labelled texts of either label that are mined, lengths of stems.
 MOST_LABELLED, STEMS = 4000, (4, 5, 6, 7)
+#: A stem that tells only where two words have it needs one of them in so many words.
+PAIR_SPAN = 250
 #: The score from which a text counts as toxic.
 THRESHOLD = 0.7
 #: Written lexicons, by voter.
@@ -47,11 +49,16 @@ LEXICONS = {
     "german": "idioten dummkopf arschloch abschaum trottel versager widerlich",
     "spanish": "imbécil estúpido estúpida basura asqueroso tonto inútil escoria",
 }
-MINED_WORD_VOTERS, MINED_STEM_VOTERS = 4, 4
+MINED_WORD_VOTERS, MINED_STEM_VOTERS, MINED_PAIR_VOTERS = 4, 4, 4
 YOU = frozenset(x.encode() for x in "you your youre du dein ihr tu toi vous tú usted eres".split())
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def _paired(n: int, words: int) -> bool:
+    """Whether so many different words of a stem in a text of so many words are more than one by chance."""
+    return n > 1 and PAIR_SPAN * n >= words
+
+
 def tokens(text: str) -> list[bytes]:
     """Lower-case words."""
     return text.lower().encode().translate(_TABLE).split() if text else []
@@ -60,27 +67,33 @@ def tokens(text: str) -> list[bytes]:
 class Voters:
     """All voters, and what they see in a text."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.names = [*LEXICONS, *(f"mined words {i}" for i in range(MINED_WORD_VOTERS)), *(f"mined stems {i}" for i in range(MINED_STEM_VOTERS)), "two terms", "three terms", "dense", "near you", "no term"]
-        self.words: dict[bytes, int] = {}
-        for i, x in enumerate(LEXICONS.values()):
-            for w in x.split():
-                self.words[w.encode()] = 1 << i
-        for i, w in enumerate(words):
-            self.words[w.encode()] = self.words.get(w.encode(), 0) | 1 << (len(LEXICONS) + i % MINED_WORD_VOTERS)
-        self.stems = {w: 1 << (len(LEXICONS) + MINED_WORD_VOTERS + i % MINED_STEM_VOTERS) for i, w in enumerate(stems)}
-        self.lengths = sorted({len(x) for x in stems})
-        self.lexical = len(LEXICONS) + MINED_WORD_VOTERS + MINED_STEM_VOTERS
-        self.known: dict[bytes, int] = {}
-
-    def _of(self, word: bytes) -> int:
-        bits = self.words.get(word, 0)
-        if self.stems:
+    def __init__(self, words: list[str], stems: list[str], pairs: list[str] = ()):
+        mined = [(f"mined {what} {i}", n) for what, n in (("words", MINED_WORD_VOTERS), ("stems", MINED_STEM_VOTERS), ("pairs", MINED_PAIR_VOTERS)) for i in range(n)]
+        self.names = [*LEXICONS, *(x for x, _ in mined), "two terms", "three terms", "dense", "near you", "no term"]
+        self.lexical = len(LEXICONS) + len(mined)
+
+        def dealt(terms: list[str], first: int, n: int) -> dict[str, int]:
+            return {w: 1 << (first + i % n) for i, w in enumerate(terms)}
+
+        at = len(LEXICONS)
+        self.words: dict[bytes, int] = {w.encode(): 1 << i for i, x in enumerate(LEXICONS.values()) for w in x.split()}
+        for w, bit in dealt(words, at, MINED_WORD_VOTERS).items():
+            self.words[w.encode()] = self.words.get(w.encode(), 0) | bit
+        self.stems = dealt(stems, at + MINED_WORD_VOTERS, MINED_STEM_VOTERS)
+        self.pairs = dealt(pairs, at + MINED_WORD_VOTERS + MINED_STEM_VOTERS, MINED_PAIR_VOTERS)
+        self.lengths = sorted({len(x) for x in (*stems, *pairs)})
+        self.known: dict[bytes, tuple[int, tuple[str, ...]]] = {}
+
+    def _of(self, word: bytes) -> tuple[int, tuple[str, ...]]:
+        """The votes of a word, and its stems that count only where two words have them."""
+        bits, pairs = self.words.get(word, 0), ()
+        if self.lengths:
             w = word.decode()
-            for k in self.lengths:
-                if len(w) > k:
-                    bits |= self.stems.get(w[:k], 0)
-        return bits
+            stems = [w[:k] for k in self.lengths if len(w) > k]
+            for x in stems:
+                bits |= self.stems.get(x, 0)
+            pairs = tuple(x for x in stems if x in self.pairs)
+        return bits, pairs
 
     def see(self, text: str) -> tuple[int, tuple[float, ...]]:
         """The votes as bits, and statistics of the hits: distinct terms, hits a hundred words, share of voters."""
@@ -90,12 +103,19 @@ class Voters:
         if len(known) > 400_000:
             known.clear()
         hit = {}
+        halves: dict[str, list[bytes]] = {}
         for w in kinds:
             b = known.get(w)
             if b is None:
                 b = known[w] = self._of(w)
-            if b:
-                hit[w] = b
+            if b[0]:
+                hit[w] = b[0]
+            for x in b[1]:
+                halves.setdefault(x, []).append(w)
+        for x, own in halves.items():
+            if _paired(len(own), len(words)):
+                for w in own:
+                    hit[w] = hit.get(w, 0) | self.pairs[x]
         bits = 0
         for b in hit.values():
             bits |= b
@@ -200,8 +220,8 @@ def _min_hashes(text: str) -> list[int]:
     return [int(c.mix(h, k).min().view(np.int64)) if len(h) else 0 for k in (61, 62, 63, 64)]
 
 
-def mine(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """Words and stems of toxic texts, from (text, label)."""
+def mine(rows: DataFrame) -> tuple[list[str], list[str], list[str]]:
+    """Words and stems of toxic texts, and stems that two words of such texts have, from (text, label)."""
 
     def signed(it):
         for b in it:
@@ -215,14 +235,16 @@ def mine(rows: DataFrame) -> tuple[list[str], list[str]]:
     n = {r.label: r.n for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
-        return [], []
+        return [], [], []
 
     def terms(it):
         counts = ({}, {})
         for b in it:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = {w.decode() for w in set(tokens(text))}
-                found = {"=" + w for w in words if len(w) > 2} | {w[:k] for k in STEMS for w in words if len(w) > k}
+                every = tokens(text)
+                words = {w.decode() for w in every}
+                stems = Counter(w[:k] for k in STEMS for w in words if len(w) > k)
+                found = ["=" + w for w in words if len(w) > 2] + list(stems) + ["+" + x for x, n in stems.items() if _paired(n, len(every))]
                 for t in found:
                     counts[y][t] = counts[y].get(t, 0) + 1
             if sum(map(len, counts)) > 500_000:
@@ -237,8 +259,9 @@ def mine(rows: DataFrame) -> tuple[list[str], list[str]]:
     # as many terms as words and stems of some texts: 100,000 times a level of 0.05; fewer texts, fewer terms
     level = 2 * math.log(min(1e5, 300.0 * (toxic + clean)) / 0.05)
     chosen = both.withColumn("ratio", ratio).where(F.col("ratio") >= level).orderBy(F.desc("ratio"), "term").collect()
-    words, stems = [r.term[1:] for r in chosen if r.term[0] == "="], [r.term for r in chosen if r.term[0] != "="]
-    return words, stems
+    words, pairs = ([r.term[1:] for r in chosen if r.term[0] == x] for x in "=+")
+    stems = [r.term for r in chosen if r.term[0] not in "=+"]
+    return words, stems, [x for x in pairs if x not in set(stems)]
 
 
 def _counted(counts) -> pa.RecordBatch:
