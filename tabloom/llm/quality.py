@@ -6,7 +6,12 @@ language. Counts are weighted by tf-idf over all documents; a singular value dec
 of the labelled sample gives the latent space. The labelled vectors (at most
 ``most_labelled`` of either label, some 60 numbers each) are broadcast; every document gets
 the exact cosine to all of them, block by block, and the nearest ``neighbours`` vote, each
-with its similarity as weight.
+with its similarity as weight; all that are as near as the last of them vote too, so ties
+and the order of rows decide nothing (similarities count to five decimals).
+
+Terms of repetition are few among many pairs, so they get a weight. It is the one of
+``REPEAT_WEIGHTS`` with the least squared error over five folds of the training sample;
+labels of held-out documents have no part in it. Equal texts lie in one fold.
 
 Edge cases: null and empty texts, and texts without similar neighbours, get the share of
 label 1 in the sample (0.5 without labels); null ids are kept and are not held out;
@@ -15,6 +20,8 @@ repeated rows get equal scores; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +35,8 @@ MOST_LABELLED, DIMENSIONS, NEIGHBOURS = 2000, 48, 15
 CLASSES = 40
 #: Bytes of text that are counted and compared at a time.
 CHUNK_BYTES = 1 << 20
-#: Weight of the terms of repetition, which are few among many pairs; from 2 to 8 it does not matter.
-REPEAT_WEIGHT = 3.0
+#: Weights that terms of repetition may get, and folds of the training sample that choose.
+REPEAT_WEIGHTS, FOLDS = (1.0, 2.0, 4.0, 8.0), 5
 TERMS = CLASSES * CLASSES + 4
 
 
@@ -81,9 +88,9 @@ def term_counts(texts: pa.Array) -> np.ndarray:
 class Space:
     """The latent space and the labelled vectors in it."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, weight: np.ndarray, dimensions: int, neighbours: int):
-        self.weight, self.neighbours = weight.astype(np.float32), neighbours
-        self.weight[CLASSES * CLASSES :] *= REPEAT_WEIGHT
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, weight: np.ndarray, dimensions: int, neighbours: int, repeat: float = 1.0):
+        self.weight, self.neighbours, self.repeat = weight.astype(np.float32), neighbours, repeat
+        self.weight[CLASSES * CLASSES :] *= repeat
         self.prior = float(labels.mean()) if len(labels) else 0.5
         x = self._weighted(counts)
         value, vector = np.linalg.eigh((x.T @ x).astype(np.float64))
@@ -100,16 +107,37 @@ class Space:
         z = self._weighted(counts) @ self.axes
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
+    def votes(self, own: np.ndarray, vectors: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """The share of label 1 among the nearest vectors, weighted by similarity; -1 where none is similar."""
+        near = np.round(own @ vectors.T, 5)
+        k = min(self.neighbours, near.shape[1])
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+        w = np.where(near >= least[:, None], np.maximum(near, 0), 0).astype(np.float64)
+        total = w.sum(axis=1)
+        return np.where(total > 1e-6, (w @ labels.astype(np.float64)) / np.maximum(total, 1e-6), -1)
+
     def scores(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        near = self.project(counts) @ self.vectors.T
-        k = min(self.neighbours, near.shape[1])
-        at = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.broadcast_to(np.arange(k), near.shape)
-        w = np.maximum(np.take_along_axis(near, at, axis=1), 0).astype(np.float64)
-        total = w.sum(axis=1)
-        out = np.where(total > 1e-6, (w * self.labels[at]).sum(axis=1) / np.maximum(total, 1e-6), self.prior)
-        return np.clip(np.where(counts.sum(axis=1) > 0, out, self.prior), 0, 1)
+        out = self.votes(self.project(counts), self.vectors, self.labels)
+        return np.clip(np.where((counts.sum(axis=1) > 0) & (out >= 0), out, self.prior), 0, 1)
+
+    def error(self, fold: np.ndarray) -> float:
+        """Mean squared error of the votes on the sample, each fold by the vectors of the others."""
+        total = 0.0
+        for f in np.unique(fold):
+            own, others = fold == f, fold != f
+            if others.any():
+                v = self.votes(self.vectors[own], self.vectors[others], self.labels[others])
+                total += float(((np.where(v >= 0, v, self.prior) - self.labels[own]) ** 2).sum())
+        return total / max(len(fold), 1)
+
+
+def fitted(counts: np.ndarray, labels: np.ndarray, weight: np.ndarray, dimensions: int, neighbours: int) -> Space:
+    """The space with the weight of repetition that does best over folds of the sample, the least of equals."""
+    fold = np.array([zlib.crc32(r.tobytes()) % FOLDS for r in counts], np.int64)
+    spaces = [Space(counts, labels, weight, dimensions, neighbours, r) for r in (REPEAT_WEIGHTS if len(labels) else REPEAT_WEIGHTS[:1])]
+    return min(spaces, key=lambda s: (round(s.error(fold), 6), s.repeat))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_labelled: int = MOST_LABELLED, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> Space:
@@ -136,8 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     parts = docs.select(text).mapInArrow(frequency, "n long, df binary").withColumn("k", (F.spark_partition_id() % 16).cast("int")).groupBy("k").applyInArrow(added, "k int, n long, df binary").collect()
     n, df = sum(r.n for r in parts), np.sum([np.frombuffer(r.df, np.int64) for r in parts], axis=0) if parts else np.zeros(TERMS)
     rows = training_rows(docs, labels, label, most_labelled, id_col, text_col).select("text", "label").mapInArrow(counted, "label int, counts binary").collect()
+    rows.sort(key=lambda r: (r.label, bytes(r.counts)))  # sums of floats depend on their order
     x = np.stack([np.frombuffer(r.counts, np.float32) for r in rows]) if rows else np.zeros((0, TERMS), np.float32)
-    return Space(x, np.array([r.label for r in rows], np.float32), np.log((1 + n) / (1 + df)) + 1, dimensions, neighbours)
+    return fitted(x, np.array([r.label for r in rows], np.float32), np.log((1 + n) / (1 + df)) + 1, dimensions, neighbours)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -41,6 +41,69 @@ def test_toxicity(spark, more):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r, _ in pairs)
 
 
+def test_toxic_texts_are_found_where_clean_ones_have_their_stems_too(spark, sf_dir):
+    """Recall and false alarms on held-out labels at the scale where stems of toxic words occur in clean texts."""
+    import os
+
+    big = os.path.join(os.path.dirname(sf_dir), "sf0.1")
+    if not os.path.isdir(big):
+        pytest.skip("no larger tables here")
+    held = [(r, y) for r, y in told(spark, big, q.op4_toxicity(spark, big), "toxic") if r.held_out]
+    assert sum(r.predicted for r, y in held if y) >= 0.9 * sum(y for _, y in held)
+    assert sum(r.predicted > y for r, y in held) <= 1
+
+
+def test_votes_against_plain_neighbours():
+    """Cosines and votes one by one, with neighbours that tie, equal vectors of both labels, and a text like none."""
+    from tabloom.llm.quality import TERMS, Space, fitted
+
+    rng = np.random.default_rng(4)
+    counts = np.zeros((40, TERMS), np.float32)
+    counts[:, :30] = rng.poisson(2, (40, 30))
+    counts[20:26] = counts[3]  # ties beyond the number of neighbours
+    labels = (rng.random(40) < 0.5).astype(np.float32)
+    space = Space(counts, labels, np.ones(TERMS), 20, 5)
+    test = np.zeros((12, TERMS), np.float32)
+    test[:10, :30] = rng.poisson(2, (10, 30))
+    test[0] = counts[3]
+    test[11, 500] = 7
+    own = space.project(test)
+    for i, score in enumerate(space.scores(test)):
+        near = sorted(((round(float(sum(a * b for a, b in zip(own[i], v))), 5), y) for v, y in zip(space.vectors, labels)), reverse=True)
+        chosen = [(max(s, 0.0), y) for s, y in near if s >= near[4][0] - 2e-5]
+        total = sum(s for s, _ in chosen)
+        want = sum(s * y for s, y in chosen) / total if total > 1e-3 else space.prior
+        assert abs(score - want) < 2e-3, i
+    order = rng.permutation(40)
+    assert np.allclose(Space(counts[order], labels[order], np.ones(TERMS), 20, 5).scores(test), space.scores(test), atol=1e-3)
+    assert fitted(counts, labels, np.ones(TERMS), 20, 5).repeat in (1.0, 2.0, 4.0, 8.0)
+
+
+def test_posteriors_against_the_truth():
+    """Independent voters with known rates: the model's posteriors are those of Bayes' rule."""
+    from tabloom.llm.toxicity import LabelModel
+
+    rng = np.random.default_rng(7)
+    y = rng.random(40_000) < 0.25
+    rates = np.array([[0.03, 0.05, 0.02, 0.04, 0.9], [0.6, 0.5, 0.4, 0.55, 0.1]])
+    fired = rng.random((len(y), 5)) < rates[y.astype(int)]
+    values, counts = np.unique(fired @ (1 << np.arange(5)), return_counts=True)
+    model = LabelModel(values.astype(np.int64), counts.astype(float), np.full(len(values), -1), 5)
+    x = (values[:, None] >> np.arange(5)) & 1
+    like = [np.prod(np.where(x, r, 1 - r), axis=1) for r in rates]
+    want = 0.25 * like[1] / (0.25 * like[1] + 0.75 * like[0])
+    assert (np.abs(model.posterior - want) * counts).sum() / counts.sum() < 0.02
+    assert np.abs(model.rates - rates).max() < 0.05 and abs(model.share - 0.25) < 0.03
+
+
+def test_one_text_of_a_labelled_id(spark):
+    from tabloom.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(7, "b"), (7, "a"), (7, "b"), (1, "c"), (2, "held out"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (1, None), (2, 1), (None, 1)], "doc_id long, toxic int")
+    assert [tuple(r) for r in training_rows(docs, labels, "toxic", 10).collect()] == [(7, "a", 1)]
+
+
 def test_toxicity_learns_words_and_correlation(spark):
     """Invented toxic words and stems are mined; voters that repeat each other weigh less than free ones."""
     import numpy as np
