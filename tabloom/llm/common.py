@@ -15,15 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable
 
-#: Documents handed to Python at a time; small enough for texts of some MB each.
-BATCH_ROWS = 1024
 #: Words a numpy chunk holds at most, besides those of its last document.
 CHUNK_WORDS = 500_000
 U64 = np.uint64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give the session a checkpoint folder if it has none, and small Arrow batches.
+    """Give the session a checkpoint folder if it has none.
 
     ``spark.checkpoint.dir`` wins where it is set: it names the folder all executors
     share. A folder of our own is only for local tests.
@@ -36,7 +34,6 @@ def prepare(spark: SparkSession) -> SparkSession:
             named = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     importable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
@@ -56,6 +53,12 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Delete a folder wherever Spark's file systems have it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

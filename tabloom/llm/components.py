@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from . import common as c
+from . import spread
 
 
 def _held(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -21,17 +22,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds: each end is tied to the least of its neighbours until
     nothing changes, which takes a number of rounds that grows with the logarithm of the
-    number of ends. Edges are rows in files throughout; each round is checkpointed.
+    number of ends. Edges are rows in files throughout; each round is checkpointed. The
+    edges of an end that has very many are dealt over tasks.
     """
     now, state = _held(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
         if not state[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges")).select("u", F.least("u", "m").alias("m"), "edges")
+        large = spread.join(both.where("v > u"), least, ["u"], F.col("edges"), F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges"))
+        small = spread.join(large, least, ["u"], F.col("edges"), F.col("v")).drop("edges")
         now, after = _held(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         if after == state:
             break

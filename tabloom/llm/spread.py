@@ -10,38 +10,49 @@ from pyspark.sql import functions as F
 from . import bloom
 from . import common as c
 
-#: Rows of a key from which on they are dealt over all partitions.
-HOT_ROWS = 1000
+#: Rows of a key from which on they are dealt over several tasks, and how many times as many tasks each further level of ``STEP`` times the rows gets.
+HOT_ROWS, STEP = 250, 8
 
 
 def join(many: DataFrame, one: DataFrame, on: list[str], rows: Column, row: Column, how: str = "inner") -> DataFrame:
-    """``many.join(one, on, how)``, where ``one`` (from files) has one row a key.
+    """``many.join(one, on, how)``, where ``one`` has one row a key and comes out the same whenever it is computed.
 
     ``rows``: how many rows of ``many`` a row of ``one`` meets; ``row``: what tells the rows
     of ``many`` apart. The rows of frequent keys get a salt, and their row of ``one`` comes
-    to each salt. Which keys are frequent is sent as a Bloom filter; a key that it takes for
+    to each salt: 8 salts from ``HOT_ROWS`` rows on, 64 from eight times as many, and so on
+    up to the number of partitions, so copies stay few against the rows they meet. Which
+    keys are how frequent is sent as a Bloom filter a level; a key that one takes for
     frequent in vain is salted on both sides alike.
     """
-    hot = one.where(rows > HOT_ROWS).select(F.xxhash64(*on).alias("h"))
-    if hot.isEmpty():
+    most = one.agg(F.max(rows).alias("m")).first().m or 0
+    if most <= HOT_ROWS:
         return many.join(one, on, how)
     parts = c.partitions(many.sparkSession)
-    sent = bloom.build(hot)
+    levels, limit, salts = [], HOT_ROWS, 1
+    while limit < most and salts < parts:
+        salts = min(STEP * salts, parts)
+        levels.append((bloom.build(one.where(rows > limit).select(F.xxhash64(*on).alias("h"))), salts))
+        limit *= STEP
+
+    def salts_of(h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), np.int32)
+        for sent, n in levels:
+            out[bloom.contains(sent.value, h)] = n
+        return out
 
     def salted(it):
         for b in it:
-            crowded = bloom.contains(sent.value, b.column(0).to_numpy())
-            salt = np.where(crowded, (c.mix(b.column(1).to_numpy().view(c.U64)) % c.U64(parts)).astype(np.int32), 0)
+            salt = c.mix(b.column(1).to_numpy().view(c.U64)) % salts_of(b.column(0).to_numpy()).astype(c.U64)
             yield pa.record_batch([*b.columns[2:], pa.array(salt.astype(np.int32))], [*b.schema.names[2:], "salt_"])
 
-    def flagged(it):
+    def counted(it):
         for b in it:
-            yield pa.record_batch([*b.columns[1:], pa.array(bloom.contains(sent.value, b.column(0).to_numpy()))], [*b.schema.names[1:], "hot_"])
+            yield pa.record_batch([*b.columns[1:], pa.array(salts_of(b.column(0).to_numpy()))], [*b.schema.names[1:], "salts_"])
 
     def schema(df: DataFrame, more: str) -> str:
         return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [more])
 
     left = many.select(F.xxhash64(*on).alias("h_"), F.xxhash64(row).alias("r_"), *many.columns).mapInArrow(salted, schema(many, "salt_ int"))
-    right = one.select(F.xxhash64(*on).alias("h_"), *one.columns).mapInArrow(flagged, schema(one, "hot_ boolean"))
-    right = right.withColumn("salt_", F.explode(F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("hot_")
+    right = one.select(F.xxhash64(*on).alias("h_"), *one.columns).mapInArrow(counted, schema(one, "salts_ int"))
+    right = right.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.col("salts_") - 1))).drop("salts_")
     return left.join(right, [*on, "salt_"], how).drop("salt_")
