@@ -1,8 +1,8 @@
 """Documents to tokens: five stages, each one operator over all that the one before kept.
 
 The first four return the columns of ``documents``: toxic documents go, one document of
-each group of near duplicates stays (the least doc_id), documents that hold benchmark
-passages go, and personal data is replaced by its kind in brackets. The last one gives
+each group of near duplicates stays (the least doc_id), documents with a verbatim
+benchmark passage go, and personal data is replaced by its kind in brackets. The last one gives
 the tokens of what is left.
 """
 
@@ -64,13 +64,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage; the others' are written beside the checkpoints."""
+    """The result of the last stage, from checkpoint files; what the stages before it wrote is deleted once the next one has been written."""
     c.prepare(spark)
     docs = c.read(spark, sf_dir, "documents")
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i + 1 == len(STAGES):
+                return c.held(docs)
             docs.write.parquet(f"{folder}/{i}-{name}")
             docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            if i:
+                c.deleted(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
+    finally:
+        c.deleted(spark, folder)
     return docs
