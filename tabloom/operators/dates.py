@@ -48,8 +48,30 @@ def cleaned(c: Column) -> Column:
     return tx.squeezed(F.regexp_replace(x, r"(?<=\d)(?:st|nd|rd|th)\b", ""))
 
 
+#: What letters of a format may stand for; a format with others is tried on every text.
+SHAPES = {"M": r"\d+", "d": r"\d+", "H": r"\d+", "h": r"\d+", "m": r"\d+", "s": r"\d+", "MMM": r"\p{L}+\.?", "MMMM": r"\p{L}+\.?", "EEE": r"\p{L}+\.?", "EEEE": r"\p{L}+\.?", "yyyy": r"[+-]?\d{4,}"}
+
+
+def shape(fmt: str) -> str | None:
+    """A pattern that every text of a format fits, or nothing if the format has other letters."""
+    out = ""
+    for m in re.finditer(r"'(?P<quoted>[^']*)'|(?P<letters>(?P<one>[A-Za-z])(?P=one)*)|(?P<other>[^A-Za-z'])", fmt):
+        if m["letters"]:
+            if m["letters"] not in SHAPES:
+                return None
+            out += SHAPES[m["letters"]]
+        else:
+            out += re.escape(m["quoted"] or m["other"] or "")
+    return f"^{out}$"
+
+
 def parsed(c: Column, formats: list[str]) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats])
+    """The timestamp by the first format that fits. A text is only parsed by formats of its shape: a failure costs an exception."""
+    tries = []
+    for f in formats:
+        got, rx = F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz"), shape(f)
+        tries.append(F.when(c.rlike(rx), got) if rx else got)
+    return F.coalesce(*tries)
 
 
 def _year_in(c: Column) -> Column:
@@ -72,18 +94,22 @@ def parse_date_text(df: DataFrame, ctx: Context, col: str, formats=None, out: st
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         when = q(col).cast("timestamp_ntz")
     else:
-        c = cleaned(q(col))
+        # each is a projection of its own, for what follows takes it several times
+        df = df.withColumn("__clean", cleaned(q(col)))
+        c = F.col("__clean")
         when = parsed(c, [java_format(f) for f in listed(formats)] + list(LADDER))
         year = F.lit(None).cast("string")
         if infer_year:
             own = _year_in(q(col))
             mode = df.select(own.alias("y")).where("y is not null").groupBy("y").count().orderBy(F.desc("count"), "y").first()
-            others = [_year_in(q(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in (col, POS)]
+            others = [_year_in(q(f.name)) for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in (col, POS, "__clean")]
             year = F.coalesce(*others, F.lit(mode.y if mode else None).cast("string"))
         if default_year is not None:
             year = F.lit(str(default_year))
         if infer_year or default_year is not None:
             when = F.coalesce(when, parsed(F.concat(c, F.lit(" "), year), list(WITHOUT_YEAR)))
+    df = df.withColumn("__when", when)
+    when = F.col("__when")
     if default_year is not None:
         when = F.make_timestamp_ntz(F.lit(int(default_year)), F.month(when), F.dayofmonth(when), F.hour(when), F.minute(when), F.second(when).cast("decimal(16,6)"))
     target = out or col
@@ -96,7 +122,7 @@ def parse_date_text(df: DataFrame, ctx: Context, col: str, formats=None, out: st
             made[name] = PARTS[part](when).cast("long")
         else:
             ctx.note(f"parse_date_text: no part {part!r}")
-    return df.withColumns(made)
+    return df.withColumns(made).drop("__clean", "__when")
 
 
 @operator("expand_year_range", "rows", column="col")
