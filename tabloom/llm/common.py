@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import importable
 
+#: Documents handed to Python at a time, where the session has Spark's default: texts are long, and workers are many.
+BATCH_ROWS = 1024
+_ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Words a numpy chunk holds at most, besides those of its last document.
 CHUNK_WORDS = 500_000
 U64 = np.uint64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Give the session a checkpoint folder if it has none.
+    """Give the session a checkpoint folder if it has none, and small Arrow batches if it has not chosen their size.
 
     ``spark.checkpoint.dir`` wins where it is set: it names the folder all executors
     share. A folder of our own is only for local tests.
@@ -34,6 +37,8 @@ def prepare(spark: SparkSession) -> SparkSession:
             named = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     importable(spark)
+    if spark.conf.get(_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     return spark
 
 
