@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -111,7 +112,9 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
             yield k, s, e, True
 
     def free(kind, s, e):
-        return all(e <= a or s >= b for a, b in taken.get(kind, ()))
+        own = taken.get(kind, [])
+        i = bisect_left(own, (e,))  # those before it start before e, and the last of them ends last
+        return not i or own[i - 1][1] <= s
 
     low = text.lower() if len(text.lower()) == len(text) else text
     if "at]" in low or "at)" in low:
@@ -142,7 +145,6 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
             left = s - 1 if s and text[s - 1] == "(" else s
             if 7 <= sum(y.isdigit() for y in x) <= 15 and free("phone", left, e) and free("card", left, e) and free("ip", left, e):
                 yield "phone", left, e, False
-    at = text.find("A")
     for mark in ("AKIA", "ASIA"):
         at = text.find(mark)
         while at >= 0:
@@ -283,10 +285,12 @@ def spans(text: str | None, model: SpanModel, known: dict | None = None) -> list
             ok = known.get((kind, v))
             if ok is None:
                 ok = known[kind, v] = model.accepts(kind, v)
-            if not ok or any(s < b and a < e for a, b, _ in out[kind]):
+            own = out[kind]
+            i = bisect_left(own, (e,))
+            if not ok or i and own[i - 1][1] > s:
                 continue
-        out[kind].append((s, e, base))
-    return [(k, *x) for k in KINDS for x in sorted(out[k])]
+        insort(out[kind], (s, e, base))
+    return [(k, *x) for k in KINDS for x in out[k]]
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
