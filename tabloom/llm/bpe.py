@@ -41,6 +41,31 @@ _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
+#: What a vocabulary file must say of itself, for this module does just that.
+_SAID = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+_ADDED = ("single_word", "lstrip", "rstrip", "normalized")
+
+
+def _understood(spec: dict) -> None:
+    """Raise ValueError for a vocabulary whose texts are normalised, cut, merged or decoded in another way than here."""
+    other = [k for k, v in _SAID.items() if spec.get(k) != v]
+    other += [f"model.{k}" for k, v in _MODEL.items() if spec["model"].get(k, v) != v]
+    other += [f"added_tokens.{k}" for k in _ADDED if any(x.get(k) for x in spec["added_tokens"])]
+    if other:
+        raise ValueError(f"this vocabulary file is not understood: {', '.join(other)}")
+
+
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: itself if it prints, else one from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,6 +78,7 @@ class Codec:
 
     def __init__(self, content: bytes):
         spec = json.loads(content)
+        _understood(spec)
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
