@@ -157,15 +157,19 @@ def _most_differing(n: np.ndarray, percent: int) -> np.ndarray:
     return used * p + 5 * np.sqrt(used * p * (1 - p)) + 3
 
 
-def _sets(size, ids):
-    def run(it):
+def _sets(size, ids=None):
+    """Registers and sets of texts; with a filter, of those that it knows."""
+
+    def known(it):
         for b in it:
-            b = b.filter(pa.array(bloom.contains(ids.value, b.column(0).to_numpy())))
-            for s in c.batches([b], 1):
-                words, counts = c.split_words(s.column(1), lower=True)
-                x, n = shingles(c.word_hashes(words), counts, size)
-                ends = np.cumsum(n)
-                yield pa.record_batch([s.column(0), pa.array([r.tobytes() for r in registers(x, n)], pa.binary()), pa.array(n.astype(np.int64)), pa.array([x[e - k : e].tobytes() for e, k in zip(ends, n)], pa.binary())], ["id", "regs", "n", "elements"])
+            yield b if ids is None else b.filter(pa.array(bloom.contains(ids.value, b.column(0).to_numpy())))
+
+    def run(it):
+        for s in c.batches(known(it), 1):
+            words, counts = c.split_words(s.column(1), lower=True)
+            x, n = shingles(c.word_hashes(words), counts, size)
+            ends = np.cumsum(n)
+            yield pa.record_batch([s.column(0), pa.array([r.tobytes() for r in registers(x, n)], pa.binary()), pa.array(n.astype(np.int64)), pa.array([x[e - k : e].tobytes() for e, k in zip(ends, n)], pa.binary())], ["id", "regs", "n", "elements"])
 
     return run
 
@@ -311,16 +315,17 @@ def _key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, least: float = LEAST_ESTIMATE) -> DataFrame:
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, size: int = SHINGLE, least: float = LEAST_ESTIMATE, filter_bits: int = 1 << 30) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each document.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets;
-    component_id is the least doc_id of those that links reach.
+    component_id is the least doc_id of those that links reach. ``filter_bits``: how large the
+    filter of classes whose sets are needed may be; where that is too small they are joined.
     """
-    return _linked(docs, id_col, text_col, percent, size, least).drop("key")
+    return _linked(docs, id_col, text_col, percent, size, least, filter_bits).drop("key")
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, size: int = SHINGLE, least: float = LEAST_ESTIMATE) -> DataFrame:
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, size: int = SHINGLE, least: float = LEAST_ESTIMATE, filter_bits: int = 1 << 30) -> DataFrame:
     """The columns of link_components and the key of each row's text. Within, the id of a class is the least key of its texts."""
     spark = c.prepare(docs.sparkSession)
     parts = c.partitions(spark)
@@ -346,8 +351,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
     # members meet their hub in parts of some hundreds, each with a copy of the hub's set
     star = large.where("id <> hub").groupBy("id", "hub").agg(F.max("crowd").alias("crowd")).select("id", "hub", F.pmod(F.xxhash64("id"), F.ceil(F.col("crowd") / F.lit(BLOCK))).alias("part"))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
-    sets = c.held(own.select(F.col("key").alias("id"), "text").mapInArrow(_sets(size, bloom.build(ids)), "id long, regs binary, n long, elements binary").dropDuplicates(["id"]))
+    ids = c.held(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct())
+    texts = own.select(F.col("key").alias("id"), "text")
+    known = None
+    if 8 * ids.count() <= filter_bits:
+        known = bloom.build(ids, filter_bits)
+    else:  # such a filter would let most through, and their sets are large
+        texts = texts.join(ids, "id", "left_semi")
+    sets = c.held(texts.mapInArrow(_sets(size, known), "id long, regs binary, n long, elements binary").dropDuplicates(["id"]))
     c.freed(spark)
 
     def side(k: str) -> DataFrame:

@@ -80,7 +80,7 @@ def test_near_dup_chains_and_large_groups(spark, monkeypatch, small, block, hot)
     monkeypatch.setattr(spread, "HOT_ROWS", hot)
     seen, join = [], spread.join
     monkeypatch.setattr(spread, "join", lambda many, one, on, *rest: seen.append(on) or join(many, one, on, *rest))
-    got = rows(near_dup.link_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string")))
+    got = rows(near_dup.link_components(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), filter_bits=8 if block == 32 else 1 << 30))
     assert_components(got, docs)
     assert (["key", "sizes", "out"] in seen) == (block == 8)
 
@@ -253,6 +253,20 @@ def test_bpe(spark, sf_dir, docs, library):
         assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_other_kinds_of_vocabularies_are_refused():
+    import json
+
+    from tabloom.llm.bpe import Codec
+
+    with open(VOCABULARY, "rb") as f:
+        spec = json.load(f)
+    for k, v in (("normalizer", None), ("decoder", {"type": "ByteLevel"}), ("pre_tokenizer", {"type": "ByteLevel"})):
+        with pytest.raises(ValueError, match=k):
+            Codec(json.dumps(spec | {k: v}).encode())
+    with pytest.raises(ValueError, match="byte_fallback"):
+        Codec(json.dumps(spec | {"model": spec["model"] | {"byte_fallback": True}}).encode())
+
+
 def test_bpe_odd_texts(library):
     import numpy as np
     from tabloom.llm.bpe import Codec
