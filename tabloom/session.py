@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -25,8 +26,12 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def plan_bytes(df) -> int:
-    """The optimiser's estimate of a DataFrame's size; a guard, never a result."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimiser's estimate of a DataFrame's size; a guard, never a result.
+
+    It does not know how many rows an explosion makes of one, so such a plan counts as large.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return 1 << 62 if re.search(r"(?m)^[\s:+-]*Generate ", plan.toString()) else int(str(plan.stats().sizeInBytes()))
 
 
 def importable(spark: SparkSession) -> None:
