@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..position import q
 from .registry import Context, listed, operator, present
 
+#: Scores of matches that were not played out, and a set.
 DEFAULTED = r"(?i)DEF|W/O|RET|Walkover|Retired"
 SET = r"(\d+)[-–—](\d+)(?:\(\d+\))?"
 

@@ -12,6 +12,7 @@ from .model import Plan, Step
 
 #: Separators every split of a cell knows.
 SEPARATORS = (",", ";", "/", " and ", " & ", "\n")
+#: Roles of output columns that are kept.
 KEPT_ROLES = ("canonical", "derived")
 
 
