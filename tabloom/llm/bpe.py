@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -66,6 +68,27 @@ def _understood(spec: dict) -> None:
         raise ValueError(f"this vocabulary file is not understood: {', '.join(other)}")
 
 
+@cache
+def _late_pieces() -> tuple[regex.Pattern, regex.Pattern]:
+    """The letters and numbers that ``regex`` knows but Python's own, older tables do not, and the pieces where they are none.
+
+    The tokenizer's tables are of about the age of Python's.
+    """
+    known = regex.findall(r"[\p{L}\p{N}]", "".join(chr(p) for p in range(sys.maxunicode + 1) if not 0xD800 <= p < 0xE000))
+    late = [ord(x) for x in known if unicodedata.category(x) == "Cn"]
+    heads = [p for i, p in enumerate(late) if not i or late[i - 1] != p - 1]
+    tails = [p for i, p in enumerate(late) if i + 1 == len(late) or late[i + 1] != p + 1]
+    some = "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(heads, tails)) + "]" if late else r"(?!)"
+    return regex.compile(some), regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?!{some})\p{{L}})+|(?!{some})\p{{N}}|(?:[^\s\p{{L}}\p{{N}}]|{some})+")
+
+
+def _pieces(text: str) -> list[str]:
+    if text.isascii() or max(text) < "\u0558":  # the first one that is not assigned
+        return _PIECES.findall(text)
+    late, pieces = _late_pieces()
+    return (pieces if late.search(text) else _PIECES).findall(text)
+
+
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: itself if it prints, else one from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -192,7 +215,7 @@ class Codec:
                 # each character is lower-cased alone, so a final sigma is like any other
                 text = unicodedata.normalize("NFC", part)
                 text = text.lower() if "Σ" not in text else "".join([x.lower() for x in text])
-                for x in _PIECES.findall(text):
+                for x in _pieces(text):
                     out += self.piece(x)
         return np.array(out, "<u4").tobytes()
 
