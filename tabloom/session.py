@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -54,4 +56,11 @@ def scratch(spark: SparkSession) -> str:
         return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
     if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
-    return tempfile.mkdtemp(prefix="scratch-")
+    return local_folder("scratch-")
+
+
+def local_folder(prefix: str) -> str:
+    """A temporary folder of this machine, for local sessions only; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, True)
+    return folder

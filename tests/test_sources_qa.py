@@ -58,6 +58,14 @@ def test_hierarchical(spark, tmp_path):
     assert hierarchical.read_corpus(spark, str(tmp_path)).count() == 8
 
 
+def test_csv_files_that_are_split(spark, tmp_path):
+    """Large input is not read file by file; types and missing words are the same."""
+    (tmp_path / "a.csv").write_text('n,s\n1,"x, y"\n2,N/A\n', encoding="utf-8")
+    for whole in (True, False, None):
+        df = read_csv(spark, str(tmp_path / "a.csv"), whole_files=whole, positions=False)
+        assert [tuple(r) for r in df.orderBy("n").collect()] == [(1, "x, y"), (2, None)] and dict(df.dtypes)["n"] == "bigint"
+
+
 def test_sql(spark):
     df = spark.createDataFrame([(1, "Ab", True), (2, None, False)], "n long, `full name` string, b boolean")
     assert qa.answer(df, "t 1", 'SELECT "full name" FROM t_1 WHERE "full name" LIKE \'aB\'') == ("Ab", None)
