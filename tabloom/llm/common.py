@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import itertools
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import importable
+from ..session import importable, local_folder
 
 #: Documents handed to Python at a time, where the session has Spark's default: texts are long, and workers are many.
 BATCH_ROWS = 1024
@@ -34,7 +33,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         if not named:
             if spark.sparkContext.master.split("[")[0] != "local":
                 raise RuntimeError("spark.checkpoint.dir is not set on this cluster")
-            named = tempfile.mkdtemp(prefix="checkpoint-")
+            named = local_folder("checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     importable(spark)
     if spark.conf.get(_ROWS) == _DEFAULT_ROWS:
