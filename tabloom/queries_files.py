@@ -28,6 +28,15 @@ def csv_round_trip(spark, read):
     return read_csv(spark, folder, whole_files=True, positions=False)
 
 
+@query("SELECT n_nationkey AS key, n_name AS name, lower(n_name) AS Name_1, n_regionkey AS column_4, 'x' AS name_2 FROM nation")
+def csv_column_names(spark, read):
+    """A header with a name twice, in another case, and a blank one; files that Spark may split."""
+    n = read("nation").select(F.concat_ws(",", "n_nationkey", "n_name", F.lower("n_name"), "n_regionkey", F.lit("x")).alias("line"))
+    folder = f"{scratch(spark)}/csv"
+    spark.createDataFrame([("key,name,Name,,name",)], "line string").union(n).coalesce(1).write.text(folder)
+    return read_csv(spark, folder, whole_files=False, positions=False)
+
+
 @query("SELECT n_regionkey::VARCHAR AS table_id, CASE n_regionkey % 2 WHEN 0 THEN 'markdown' ELSE 'csv_path' END AS kind, n_nationkey::VARCHAR AS qid, 'key of ' || n_name || '?' AS text, [n_nationkey::VARCHAR] AS ground_truth FROM nation")
 def question_sets(spark, read):
     """Files of questions of both forms: lists with a table beside them, and objects that name their table."""
