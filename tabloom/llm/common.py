@@ -88,14 +88,19 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> U64(33))
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of all texts, and the number of words of each.
+def hashed_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of all texts, and the number of words of each.
 
     ``bytes.split()`` splits at just those characters. Null texts have no words.
-    ``lower`` folds A-Z only, as ``bytes.lower()`` does.
+    ``lower`` folds A-Z only, as ``bytes.lower()`` does. Words are held one text at a time.
     """
-    lists = [(x.encode().lower() if lower else x.encode()).split() if x else [] for x in texts.to_pylist()]
-    return flat(lists)
+    parts = [hash_list((x.encode().lower() if lower else x.encode()).split() if x else []) for x in texts.to_pylist()]
+    return np.concatenate([np.zeros(0, U64), *parts]), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def hash_list(words: list[bytes]) -> np.ndarray:
+    """XXH3 of each word, 64 bits."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
 
 
 def flat(lists: list[list[bytes]]) -> tuple[pa.Array, np.ndarray]:

@@ -110,8 +110,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 def _sketches(percent_size):
     def run(it):
         for b in c.gathered(it, 1):
-            words, counts = c.split_words(b.column(1), lower=True)
-            x, n = shingles(c.word_hashes(words), counts, percent_size)
+            x, n = shingles(*c.hashed_words(b.column(1), lower=True), percent_size)
             regs = registers(x, n)
             sums = []
             for salt in (31, 32):
@@ -166,8 +165,7 @@ def _sets(size, ids=None):
 
     def run(it):
         for s in c.batches(known(it), 1):
-            words, counts = c.split_words(s.column(1), lower=True)
-            x, n = shingles(c.word_hashes(words), counts, size)
+            x, n = shingles(*c.hashed_words(s.column(1), lower=True), size)
             ends = np.cumsum(n)
             yield pa.record_batch([s.column(0), pa.array([r.tobytes() for r in registers(x, n)], pa.binary()), pa.array(n.astype(np.int64)), pa.array([x[e - k : e].tobytes() for e, k in zip(ends, n)], pa.binary())], ["id", "regs", "n", "elements"])
 

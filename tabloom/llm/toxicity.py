@@ -37,6 +37,8 @@ from .labelled import held_out, training_rows
 MOST_LABELLED, STEMS = 4000, (4, 5, 6, 7)
 #: A stem that tells only where two words have it needs one of them in so many words.
 PAIR_SPAN = 250
+#: Words that a task remembers, and what marks those with such a stem.
+MOST_WORDS, HALF = 200_000, 1 << 40
 #: The score from which a text counts as toxic.
 THRESHOLD = 0.7
 #: Written lexicons, by voter.
@@ -82,25 +84,25 @@ class Voters:
         self.stems = dealt(stems, at + MINED_WORD_VOTERS, MINED_STEM_VOTERS)
         self.pairs = dealt(pairs, at + MINED_WORD_VOTERS + MINED_STEM_VOTERS, MINED_PAIR_VOTERS)
         self.lengths = sorted({len(x) for x in (*stems, *pairs)})
-        self.known: dict[bytes, tuple[int, tuple[str, ...]]] = {}
-
-    def _of(self, word: bytes) -> tuple[int, tuple[str, ...]]:
-        """The votes of a word, and its stems that count only where two words have them."""
-        bits, pairs = self.words.get(word, 0), ()
-        if self.lengths:
-            w = word.decode()
-            stems = [w[:k] for k in self.lengths if len(w) > k]
-            for x in stems:
-                bits |= self.stems.get(x, 0)
-            pairs = tuple(x for x in stems if x in self.pairs)
-        return bits, pairs
+        self.known: dict[bytes, int] = {}
+
+    def _stems(self, word: bytes) -> list[str]:
+        w = word.decode()
+        return [w[:k] for k in self.lengths if len(w) > k]
+
+    def _of(self, word: bytes) -> int:
+        """The votes of a word, and ``HALF`` if it has a stem that counts only where two words have it."""
+        bits = self.words.get(word, 0)
+        for x in self._stems(word) if self.lengths else ():
+            bits |= self.stems.get(x, 0) | (HALF if x in self.pairs else 0)
+        return bits
 
     def see(self, text: str) -> tuple[int, tuple[float, ...]]:
         """The votes as bits, and statistics of the hits: distinct terms, hits a hundred words, share of voters."""
         words = tokens(text)
         kinds = set(words)
         known = self.known
-        if len(known) > 400_000:
+        if len(known) > MOST_WORDS:
             known.clear()
         hit = {}
         halves: dict[str, list[bytes]] = {}
@@ -108,10 +110,13 @@ class Voters:
             b = known.get(w)
             if b is None:
                 b = known[w] = self._of(w)
-            if b[0]:
-                hit[w] = b[0]
-            for x in b[1]:
-                halves.setdefault(x, []).append(w)
+            if b & HALF:
+                for x in self._stems(w):
+                    if x in self.pairs:
+                        halves.setdefault(x, []).append(w)
+                b ^= HALF
+            if b:
+                hit[w] = b
         for x, own in halves.items():
             if _paired(len(own), len(words)):
                 for w in own:
@@ -213,8 +218,7 @@ class Classifier:
 
 
 def _min_hashes(text: str) -> list[int]:
-    words, _ = c.flat([tokens(text)])
-    h = c.word_hashes(words)
+    h = c.hash_list(tokens(text))
     if len(h) > 4:
         h = c.sequence_hashes(h, np.arange(len(h) - 4), 5, 60)
     return [int(c.mix(h, k).min().view(np.int64)) if len(h) else 0 for k in (61, 62, 63, 64)]
