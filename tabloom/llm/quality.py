@@ -93,8 +93,12 @@ class Space:
         self.weight[CLASSES * CLASSES :] *= repeat
         self.prior = float(labels.mean()) if len(labels) else 0.5
         x = self._weighted(counts)
-        value, vector = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.axes = np.ascontiguousarray(vector[:, np.argsort(value)[::-1][:dimensions]]).astype(np.float32)
+        few = len(x) < x.shape[1]  # then the texts' own products have the same values, and are fewer
+        value, vector = np.linalg.eigh((x @ x.T if few else x.T @ x).astype(np.float64))
+        top = np.argsort(value)[::-1][:dimensions]
+        top = top[value[top] > 1e-6]
+        axes = x.T @ vector[:, top] / np.sqrt(value[top]) if few else vector[:, top]
+        self.axes = np.ascontiguousarray(axes).astype(np.float32)
         self.labels = labels.astype(np.float32)
         self.vectors = self.project(counts)
 
