@@ -57,7 +57,7 @@ def f1(p, t):
 def test_whole_texts_of_all_documents(spark, tmp_path):
     rows = [(i, t, ("en", "fr", "de", "es")[i % 4]) for i, t in enumerate(TEXTS)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.f1 for r in q.QUERIES["score_token_f1_documents"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.f1 for r in q.QUERIES["score_token_f1"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(len(TEXTS)))
     for i, (t, other) in enumerate(zip(TEXTS, [*TEXTS[1:], None])):
         assert got[i] == (None if t is None or other is None else pytest.approx(f1(t, other), abs=1e-9)), (t, other)
