@@ -279,7 +279,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(it):
         codec = _codec(content)
-        for b in it:
+        for b in c.batches(it, 1):
             made: list[list] = [[] for _ in columns]
             for text in b.column(1).to_pylist():
                 ids = np.frombuffer(codec.encode(text), "<u4")

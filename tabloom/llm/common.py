@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 from collections.abc import Iterable, Iterator
@@ -19,6 +20,9 @@ BATCH_ROWS = 1024
 _ROWS, _DEFAULT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Words a numpy chunk holds at most, besides those of its last document.
 CHUNK_WORDS = 500_000
+#: Bytes of text that are worked on at a time, besides those of the last document.
+CHUNK_BYTES = 3 << 19
+_LIBC = ctypes.CDLL(None)
 U64 = np.uint64
 
 
@@ -129,8 +133,20 @@ def sequence_hashes(h: np.ndarray, starts: np.ndarray | None, size: int, salt: i
     return mix(out, salt)
 
 
-def batches(it: Iterable[pa.RecordBatch], text: int, most_chars: int = 6 * CHUNK_WORDS) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with at most about ``most_chars`` bytes of text each (one document at least)."""
+def trimmed() -> None:
+    """Give memory that is free back to the system: a worker serves tasks of many stages and would keep the most that any took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def batches(it: Iterable[pa.RecordBatch], text: int, most_chars: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most about ``most_chars`` bytes of text each (one document at least); memory is trimmed at the end."""
+    yield from _slices(it, text, most_chars)
+    trimmed()
+
+
+def _slices(it: Iterable[pa.RecordBatch], text: int, most_chars: int) -> Iterator[pa.RecordBatch]:
     for b in it:
         if not b.num_rows:
             continue
@@ -143,11 +159,11 @@ def batches(it: Iterable[pa.RecordBatch], text: int, most_chars: int = 6 * CHUNK
             at = end
 
 
-def gathered(it: Iterable[pa.RecordBatch], text: int, most_chars: int = 6 * CHUNK_WORDS) -> Iterator[pa.RecordBatch]:
+def gathered(it: Iterable[pa.RecordBatch], text: int, most_chars: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Like ``batches``, but small batches of one task are joined up to that size too."""
     held: list[pa.RecordBatch] = []
     size = 0
-    for b in batches(it, text, most_chars):
+    for b in _slices(it, text, most_chars):
         n = b.column(text).nbytes
         if held and size + n > most_chars:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -156,3 +172,5 @@ def gathered(it: Iterable[pa.RecordBatch], text: int, most_chars: int = 6 * CHUN
         size += n
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held = []
+    trimmed()

@@ -299,7 +299,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
 
     def run(it):
         counts: Counter = Counter()
-        for b in it:
+        for b in c.batches(it, 0):
             for text in b.column(0).to_pylist():
                 for kind, s, e, base in candidates(text):
                     counts[pattern(kind, votes(text, kind, s, e, base), base)] += 1
@@ -320,7 +320,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def run(it):
         known: dict = {}
-        for b in it:
+        for b in c.batches(it, 1):
             rows = [spans(text, sent.value, known) for text in b.column(1).to_pylist()]
             count = [pa.array([sum(1 for x in r if x[0] == k and x[3]) for r in rows], pa.int64()) for k in BASE]
             joined = [",".join(f"{k}:{s}:{e}" for k, s, e, base in r if base) for r in rows]
@@ -338,7 +338,7 @@ def redact(docs: DataFrame, text_col: str = "text", model: SpanModel | None = No
 
     def run(it):
         known: dict = {}
-        for b in it:
+        for b in c.batches(it, at):
             out = []
             for text in b.column(at).to_pylist():
                 if text:

@@ -140,7 +140,7 @@ def _chunks(it, window, segment):
     A long document is several segments that overlap by a window less one word. Each window
     lies in one of them, and its anchor depends on nothing around it.
     """
-    for b in c.gathered(it, 2):
+    for b in c.gathered(it, 2, 6 * c.CHUNK_WORDS):
         rows: list[int] = []
         offsets: list[int] = []
         parts: list[list[bytes]] = []

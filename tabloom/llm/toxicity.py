@@ -281,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     def patterns(it):
         counts: Counter = Counter()
-        for b in it:
+        for b in c.batches(it, 0):
             for text in b.column(0).to_pylist():
                 counts[sent.value.see(text)[0]] += 1
         yield pa.record_batch([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["bits", "n"])
@@ -319,7 +319,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_
     own = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(it):
-        for b in it:
+        for b in c.batches(it, 2):
             s = model.value.scores(b.column(2).to_pylist())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -332,7 +332,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col:
     at = docs.columns.index(text_col)
 
     def run(it):
-        for b in it:
+        for b in c.batches(it, at):
             yield b.filter(pa.array(model.value.scores(b.column(at).to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
