@@ -31,9 +31,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges")).select("u", F.least("u", "m").alias("m"), "edges")
-        large = spread.join(both.where("v > u"), least, ["u"], F.col("edges"), F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges"))
-        small = spread.join(large, least, ["u"], F.col("edges"), F.col("v")).drop("edges")
+        least, seen = spread.held(least, F.col("edges"))
+        large = spread.join(both.where("v > u"), least, ["u"], F.col("edges"), F.col("v"), "inner", seen).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = c.held(large)
+        least, seen = spread.held(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("edges")), F.col("edges"))
+        small = spread.join(large, least, ["u"], F.col("edges"), F.col("v"), "inner", seen).drop("edges")
         now, after = _held(small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         if after == state:
             break
