@@ -49,6 +49,8 @@ PERCENT, LEAST_ESTIMATE = 85, 0.7
 SMALL, BLOCK, BLOCK_ELEMENTS = 48, 512, 300_000
 #: Likely pairs a member that a cell lists; with more its members' sets are compared.
 DENSE = 4
+#: Groups of more rows give memory back when they are done.
+TRIM_ROWS = 256
 
 
 def shingles(h: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +135,7 @@ def _bands(known=None):
                     some = bloom.contains(known.value, key)
                     row, key = row[some], key[some]
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(b.column(0).to_numpy()[row])], ["key", "id"])
+        c.trimmed()
 
     return run
 
@@ -147,6 +150,7 @@ def _signed(it):
         if b.num_rows:
             sig = signatures(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, BUCKETS))
             yield pa.record_batch([b.column(0), b.column(1), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "n", "sig"])
+    c.trimmed()
 
 
 def _most_differing(n: np.ndarray, percent: int) -> np.ndarray:
@@ -189,10 +193,23 @@ def _verified(percent, least):
                 both = len(np.intersect1d(x, y, assume_unique=True)) if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) else 0
                 ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             yield pa.record_batch(b.columns[:2], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        c.trimmed()
 
     return run
 
 
+def _trimming(run):
+    """The function of a group, which gives back what a large group took."""
+
+    def trimming(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.num_rows > TRIM_ROWS:
+            c.trimmed()
+        return out
+
+    return trimming
+
+
 def _small_pairs(percent):
     """Likely pairs of classes of each (small) bucket of a group of buckets."""
 
@@ -340,7 +357,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
     c.freed(spark)
 
     small = shared.where(F.col("crowd") <= SMALL).withColumn("g", F.pmod("key", F.lit(4 * parts)))
-    pairs = c.held(small.select("g", "key", "id", "n", "sig").groupBy("g").applyInArrow(_small_pairs(percent), "a long, b long").distinct())
+    pairs = c.held(small.select("g", "key", "id", "n", "sig").groupBy("g").applyInArrow(_trimming(_small_pairs(percent)), "a long, b long").distinct())
 
     large = shared.where(F.col("crowd") > SMALL)
     hub = large.groupBy("key").agg(F.max(F.struct("company", F.bitwise_not("id").alias("minus"))).alias("h"), F.first("crowd").alias("members"))
@@ -393,7 +410,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
             two = met.where("sizes2 > sizes or out2 <> out or cell2 > cell").select("g", "key", *[F.col(f"{x}2").alias(x) for x in ("sizes", "out", "cell")], F.lit(True).alias("high"))
             rest = spread.join(rest, count, ["key", "sizes", "out"], F.col("members"), F.col("id")).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks", "members")
             cells = cells.unionByName(one.unionByName(two).join(rest, ["key", "sizes", "out", "cell"]).select(*columns))
-        likely = c.held(cells.groupBy("g").applyInArrow(_cell_pairs(percent), "a long, b long, key long, component long, crowd long, hub long, n long"))
+        likely = c.held(cells.groupBy("g").applyInArrow(_trimming(_cell_pairs(percent)), "a long, b long, key long, component long, crowd long, hub long, n long"))
         found = likely.where("key is null").select("a", "b")
         dense = likely.where("key is not null").withColumnRenamed("a", "id")
         # a class lies in a block of the hub of its largest dense bucket; blocks that meet in a bucket are compared
@@ -404,7 +421,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT,
         twos = c.held(met.join(met.withColumnRenamed("block", "other"), "key").where("block <= other").select("block", "other").distinct())
         held = twos.select(F.xxhash64("block", "other").alias("g"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
         held = held.join(home, "block").join(sets.select("id", "elements"), "id").select("g", "id", "component", "elements")
-        links = links.unionByName(c.held(held.groupBy("g").applyInArrow(_block_links(percent), "a long, b long")))
+        links = links.unionByName(c.held(held.groupBy("g").applyInArrow(_trimming(_block_links(percent)), "a long, b long")))
         # pairs of small buckets that blocks have compared need no other look
         blocks = home.select("id", "block")
         pairs = pairs.join(blocks.select(F.col("id").alias("a"), F.col("block").alias("x")), "a", "left").join(blocks.select(F.col("id").alias("b"), F.col("block").alias("y")), "b", "left")
