@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..position import POS, filled, positioned, q, with_position
+from ..position import POS, filled, ordered, positioned, q
 from .numeric import _key
 from .registry import Context, listed, operator, present
 
@@ -89,8 +89,10 @@ def sort(df: DataFrame, ctx: Context, by=None, ascending=True, limit: int | None
         return df
     up = listed(ascending) * (1 if isinstance(ascending, (list, tuple)) else len(own))
     order = [q(c).asc_nulls_last() if up[i] else q(c).desc_nulls_last() for i, c in enumerate(own)]
-    had = POS in df.columns
-    out = df.orderBy(*order, *([F.col(POS)] if had else []))
-    if limit is not None:
-        out = out.limit(limit)
-    return out.drop(POS).withColumn(POS, F.monotonically_increasing_id()) if had else out
+    if POS in df.columns:
+        order.append(F.col(POS))
+        if limit is None:
+            return ordered(df, order)
+        return df.orderBy(*order).limit(limit).drop(POS).withColumn(POS, F.monotonically_increasing_id())
+    out = df.orderBy(*order)
+    return out if limit is None else out.limit(limit)

@@ -4,20 +4,28 @@ Positions are any ascending longs. Ordered work is done bucket by bucket (a buck
 range of 2**20 positions, so it is the same in every evaluation), and what one bucket
 hands to the next (a count, a last value) is one row a bucket. No task ever sees the
 whole table unless the table is small.
+
+That work reads the table twice, so a row must get the same position each time. Spark cuts
+a sorted table by a new sample whenever it sorts, so positions numbered after a sort are
+kept in a cache (on disk); a key of whole numbers that hardly repeats is the position as it stands.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .session import plan_bytes
 
 POS, _BUCKET = "__pos", "__bucket"
 #: A table whose estimated size is below is ordered by one window.
 SMALL_BYTES = 64 << 20
+#: Keys that span more are not positions themselves, for they might fill a bucket each.
+MOST_BUCKETS = 1 << 16
 
 
 def q(name: str) -> Column:
@@ -25,15 +33,32 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def with_position(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The table with positions: by the keys (nulls last), or in the order of the scan."""
+def with_position(df: DataFrame, keys: Sequence[str] = (), small: int = SMALL_BYTES) -> DataFrame:
+    """The table with positions: by the keys (nulls last), or in the order of the scan. ``small``: bytes below which one window does it."""
     if not keys:
         return df if POS in df.columns else df.withColumn(POS, F.monotonically_increasing_id())
-    order = [q(k).asc_nulls_last() for k in keys]
     df = df.drop(POS)
-    if plan_bytes(df) < SMALL_BYTES:
-        return df.withColumn(POS, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return df.orderBy(*order).withColumn(POS, F.monotonically_increasing_id())
+    if plan_bytes(df) >= small and len(keys) == 1 and _serves(df, keys[0]):
+        return df.withColumn(POS, q(keys[0]).cast("long"))
+    return ordered(df, [q(k).asc_nulls_last() for k in keys], small)
+
+
+def ordered(df: DataFrame, order: Sequence[Column], small: int = SMALL_BYTES) -> DataFrame:
+    """The table sorted, with new positions; a large one goes to a cache, so that they stay what they are."""
+    if plan_bytes(df) < small:
+        new = df.withColumn("__new", F.row_number().over(Window.orderBy(*order)).cast("long"))
+        return new.drop(POS).withColumnRenamed("__new", POS)
+    return df.orderBy(*order).drop(POS).withColumn(POS, F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+
+
+def _serves(df: DataFrame, key: str) -> bool:
+    """Whether a key can be the position: whole numbers, none null, hardly any there twice, and not too far apart."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        return False
+    k = q(key).cast("long")
+    span = F.shiftright(F.max(k), 20) - F.shiftright(F.min(k), 20)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count(k).alias("own"), F.approx_count_distinct(k, 0.02).alias("distinct"), span.alias("span")).first()
+    return 0 < r.n == r.own and r.distinct > 0.9 * r.n and r.span < MOST_BUCKETS
 
 
 def positioned(df: DataFrame) -> tuple[DataFrame, bool]:
