@@ -11,6 +11,9 @@ from ..position import POS, filled, ordered, positioned, q
 from .numeric import _key
 from .registry import Context, listed, operator, present
 
+#: Types whose values an aggregate replaces in place.
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
 
 @operator("fillna_static", column="col", columns="col")
 def fillna_static(df: DataFrame, ctx: Context, col=None, value=None) -> DataFrame:
@@ -67,17 +70,21 @@ def fill_down(df: DataFrame, ctx: Context, col: str) -> DataFrame:
 def deduplicate_rows(df: DataFrame, ctx: Context, keys=None, keep="first") -> DataFrame:
     """One row of those with equal keys (nulls are equal): the first, the last, or none of several (``keep=False``)."""
     own = [c for c in listed(keys) if c in df.columns] or [c for c in df.columns if c != POS]
-    if keep is False or keep == "none":
-        # of a key with one row, the least row is that one; no key's rows meet in one task
-        rest = [c for c in df.columns if c not in own]
-        out = df.groupBy(*[q(c) for c in own]).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(F.lit(0), *[q(c) for c in rest])).alias("__row")).where("__n = 1")
-        return out.select(*[q(c) if c in own else F.col("__row").getField(c).alias(c) for c in df.columns])
-    df, had = positioned(df)
-    # the wanted position of each key is aggregated on the map side; no key's rows meet in one task
+    alone = keep is False or keep == "none"
+    df, had = (df, True) if alone else positioned(df)
+    # the wanted position of each key is aggregated on the map side, and of a key with one row
+    # the first row is that one; no key's rows meet in one task
+    pick = F.first if alone else lambda x: (F.min_by if keep == "first" else F.max_by)(x, F.col(POS))
     rest = [c for c in df.columns if c not in own]
-    pick = F.min_by if keep == "first" else F.max_by
-    out = df.groupBy(*[q(c) for c in own]).agg(pick(F.struct(*[q(c) for c in rest]), F.col(POS)).alias("__row"))
-    out = out.select(*[q(c) if c in own else F.col("__row").getField(c).alias(c) for c in df.columns])
+    if all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in rest):
+        # picked one by one, all from the same row: hash tables hold those, while structs are sorted
+        wanted, at = [pick(q(c)).alias(f"__r{i}") for i, c in enumerate(rest)], {c: F.col(f"__r{i}") for i, c in enumerate(rest)}
+    else:
+        wanted, at = [pick(F.struct(*[q(c) for c in rest])).alias("__row")], {c: F.col("__row").getField(c) for c in rest}
+    out = df.groupBy(*[q(c) for c in own]).agg(F.count(F.lit(1)).alias("__n"), *wanted)
+    if alone:
+        out = out.where("__n = 1")
+    out = out.select(*[at[c].alias(c) if c in at else q(c) for c in df.columns])
     return out if had else out.drop(POS)
 
 

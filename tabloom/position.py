@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from .session import plan_bytes
 
 POS, _BUCKET = "__pos", "__bucket"
-#: A table whose estimated size is below is ordered by one window.
-SMALL_BYTES = 64 << 20
+#: A table whose estimated size is below is ordered by one window. The estimate is of packed files: one task takes many times that.
+SMALL_BYTES = 4 << 20
 #: Keys that span more are not positions themselves, for they might fill a bucket each.
 MOST_BUCKETS = 1 << 16
 

@@ -41,3 +41,21 @@ def test_keys_that_are_no_positions(spark, large):
         rows = with_position(df, [key]).select(POS, key).orderBy(POS).collect()
         values = [r[1] for r in rows]
         assert len({r[0] for r in rows}) == 50000 and values == sorted(values, key=lambda x: (x is None, x))
+
+
+def test_eight_megabytes_are_not_ordered_by_one_window(spark):
+    df = with_position(spark.range(1_000_000).withColumn("g", (F.col("id") % 1000).cast("string")), ["id"])
+    for keep, first in (("first", 0), ("last", 999_000), (False, None)):
+        out = apply(df, "deduplicate_rows", keys=["g"], keep=keep)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "SortAggregate" not in plan
+        got = {r.g: r.id for r in out.collect()}
+        assert got == ({} if first is None else {str(i): first + i for i in range(1000)})
+
+
+def test_rows_stay_whole(spark):
+    """Columns picked one by one, with nulls among them, come from the same row."""
+    rows = [(1, None, 5.0, 3), (1, 7, None, 1), (1, 8, 2.0, 2), (2, None, None, 4)]
+    df = spark.createDataFrame(rows, f"g long, a long, b double, {POS} long")
+    for keep, want in (("first", {(1, 7, None), (2, None, None)}), ("last", {(1, None, 5.0), (2, None, None)}), (False, {(2, None, None)})):
+        assert {tuple(r) for r in apply(df, "deduplicate_rows", keys=["g"], keep=keep).select("g", "a", "b").collect()} == want
