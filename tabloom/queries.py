@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import qa
@@ -490,9 +490,10 @@ def score_token_f1(spark, read):
     """Every document's whole text against the whole text of the next one; the last has none, and no score."""
     d = read("documents").select("doc_id", sc.forms(F.col("text")).alias("form"))
     # each text meets two others but is normalised once, so its form goes to both instead of into a join
-    sides = F.array(F.struct("doc_id", F.col("form").alias("own"), F.lit(None).alias("other")), F.struct((F.col("doc_id") - 1).alias("doc_id"), F.lit(None).alias("own"), F.col("form").alias("other")))
-    met = d.select(F.explode(sides).alias("side")).groupBy("side.doc_id").agg(F.collect_list("side.own").alias("own"), F.collect_list("side.other").alias("other"))
-    pairs = met.select("doc_id", F.explode("own").alias("own"), F.when(F.col("doc_id").isNotNull(), F.col("other")).alias("other")).select("doc_id", "own", F.explode_outer("other").alias("other"))
+    sides = F.array(*[F.struct(at.alias("doc_id"), F.lit(own).alias("own"), "form") for at, own in ((F.col("doc_id"), True), (F.col("doc_id") - 1, False))])
+    rows = d.select(F.inline(sides)).where("own OR doc_id IS NOT NULL")
+    met = rows.withColumn("others", F.collect_list(F.when(~F.col("own"), F.col("form"))).over(Window.partitionBy("doc_id"))).where("own")
+    pairs = met.select("doc_id", F.col("form").alias("own"), F.explode_outer("others").alias("other"))
     return pairs.select("doc_id", F.round(sc.forms_f1(F.col("own"), F.col("other")), 9).alias("f1"))
 
 
